@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one group of documents holds when an operator deals documents into groups.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 _U = np.uint64
 #: Odd multipliers of the polynomial hashes and of the finalizer (any odd 64-bit constants do).

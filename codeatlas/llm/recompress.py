@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from codeatlas.llm.common import BASES, Powers, bucket_of, chunks, dealt, mix, on_group, on_pair, prefix_hash, span_hash
 from codeatlas.llm.suffix import _by_id, _shared
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BIG = np.iinfo(np.int64).max
 _U = np.uint64
 
