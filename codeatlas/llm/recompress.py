@@ -105,7 +105,7 @@ def windows(data: np.ndarray, starts: np.ndarray, width: int, rounds: int, phras
         h3 = prefix_hash(names, powers[0])
         k = np.arange(len(names) - phrase + 1)
         phrases = span_hash(h3, k, k + phrase, powers[0])
-        name[deep] = _least_in(phrases, a[deep], b[deep])
+        name[deep] = mix(_least_in(phrases, a[deep], b[deep]))  # least hashes are small ones: spread them again
     return name, hashes, doc[at] if len(at) else at, at, (begin, end, doc)
 
 

@@ -52,7 +52,7 @@ def sampled(data: np.ndarray, starts: np.ndarray, width: int, gram: int, powers:
     pad = np.zeros(w - 1, np.uint64)
     most = _slide(np.concatenate([pad, least, pad]), w, np.maximum)  # over the strings that hold the gram
     at = np.flatnonzero(g == most)
-    return at, g[at]
+    return at, mix(g[at])  # least hashes are small ones: spread them again
 
 
 def _joined(texts, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
