@@ -8,17 +8,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.llm import chat, decontam, recompress, simhash, suffix
+from codeatlas.llm import ann, chat, decontam, pieces, quality, recompress, secrets, shard, simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    weights = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, weights).select("doc_id", *[F.round(c, 9).alias(c) for c in ("p_document", "p_site", "p_quality")], "keep")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(suffix.dedup_substrings(_table(spark, sf_dir, "documents")))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def tokenizer_file(name: str) -> str:
     """A public tokenizer's vocabulary; the folder is a setting, and nothing of it is copied."""
     return os.path.join(os.environ.get("CODEATLAS_TOKENIZERS", "/opt/tokenizers"), name)
@@ -43,16 +53,33 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
 
 
+def op7_vp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    dealt = shard.shuffle_into_shards(rows, 40)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.digests(recompress.dedup_phrases(_table(spark, sf_dir, "documents")))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.Model(tokenizer_file("piece_bpe_32k.model"))
+    return pieces.digests(pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model), model))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_chat_formatting": op4_chat_formatting,
-    "op5_simhash_dedup": op5_simhash_dedup,
-    "op6_decontamination": op6_decontamination,
-    "op2_suffix_dedup": op2_suffix_dedup,
-    "op9_recompression_dedup": op9_recompression_dedup,
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_suffix_dedup, op3_secret_scan, op4_chat_formatting, op5_simhash_dedup, op6_decontamination,
+        op7_vp_tree_search, op8_hypergeometric_shards, op9_recompression_dedup, op10_sentencepiece,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -54,7 +54,7 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
     ends = F.aggregate(
         lengths,
         F.array().cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + x["g"] + x["m"])) if True else acc,
+        lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(0) + x["g"] + x["m"])),
     )
     out = F.transform(found, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), F.lit(kind).alias("kind"), m.alias("value")))
     return F.when(F.regexp_like(text, F.lit(pattern)), out).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>"))
@@ -62,13 +62,11 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
 
 def base_spans(text: Column) -> list[Column]:
     """The spans of the three kinds that are long enough."""
-    out = []
-    for kind, pattern, group, least in KINDS:
-        spans = _spans(text, kind, pattern)
-        if group:
-            spans = F.filter(spans, lambda s, group=group, least=least: F.length(F.regexp_extract(s["value"], group, 1)) >= least)
-        out.append(spans)
-    return out
+    return [_long_enough(_spans(text, kind, pattern), group, least) for kind, pattern, group, least in KINDS]
+
+
+def _long_enough(spans: Column, group: str | None, least: int) -> Column:
+    return F.filter(spans, lambda s: F.length(F.regexp_extract(s["value"], group, 1)) >= least) if group else spans
 
 
 def normal_tail(z: Column) -> Column:
@@ -91,7 +89,7 @@ def _values(token: Column, encoding: Column) -> Column:
     alphabet = F.lit("")
     for name, letters, _ in ENCODINGS:
         alphabet = F.when(encoding == name, letters).otherwise(alphabet)
-    return F.transform(F.split(token, ""), lambda c: F.locate_position(c, alphabet) if False else F.expr("1") * (F.call_function("instr", alphabet, c) - 1))
+    return F.transform(F.split(token, ""), lambda c: F.call_function("instr", alphabet, c) - 1)
 
 
 def _size(encoding: Column) -> Column:
@@ -128,7 +126,7 @@ def battery(tokens: DataFrame) -> DataFrame:
     x = x.withColumn("chi2", squares * F.col("k") / F.col("n") - F.col("n"))
     z = (F.pow(F.greatest(F.col("chi2"), F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     mean = F.aggregate("values", F.lit(0.0), lambda a, v: a + v) / F.col("n")
-    x = x.withColumn("centred", F.transform("values", lambda v: v - F.col("mean"))) if "mean" in x.columns else x.withColumn("mean", mean).withColumn("centred", F.transform("values", lambda v: v - F.col("mean")))
+    x = x.withColumn("mean", mean).withColumn("centred", F.transform("values", lambda v: v - F.col("mean")))
     power = F.aggregate("centred", F.lit(0.0), lambda a, v: a + v * v)
     lag = F.aggregate(F.sequence(F.lit(1), F.size("centred") - 1), F.lit(0.0), lambda a, i: a + F.get(F.col("centred"), i) * F.get(F.col("centred"), i - 1))
     r = F.when(power > 0, lag / power).otherwise(F.lit(1.0))

@@ -50,17 +50,21 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(np.packbits(bits * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (null as the largest number), no_id and fp of each row."""
-
+def _fp_udf(size: int):
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, size) for t in text], dtype="int64")
 
+    return fp
+
+
+def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (null as the largest number), no_id and fp of each row."""
+
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_BIG)).alias("doc_id"),
         F.col(id_col).isNull().alias("no_id"),
-        fp(F.col(text_col).cast("string")).alias("fp"),
+        _fp_udf(size)(F.col(text_col).cast("string")).alias("fp"),
     )
 
 
@@ -165,14 +169,35 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _named(own: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """(fp, rep, component_id) of the distinct fingerprints of a saved table. Where no row has an id, rep is a number
+    of its own beyond 2**62."""
+    rep = F.min(F.when(~F.col("no_id"), F.col("doc_id")))
+    distinct = own.groupBy("fp").agg(F.coalesce(rep, F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))).alias("rep"))
+    distinct = save(distinct, "distinct")
+    found = components(hamming_links(distinct, radius, bucket_rows))
+    return distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, bucket_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each row."""
+    """doc_id, fingerprint (16 hex digits), component_id for each row; a component without ids has a null one."""
     own = save(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    distinct = save(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(hamming_links(distinct, radius, bucket_rows))
-    named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(named, "fp").select(
+    return own.join(_named(own, radius, bucket_rows).drop("rep"), "fp").select(
         F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("component_id") != _BIG, F.col("component_id")).alias("component_id"),
+        F.when(F.col("component_id") < (1 << 62), F.col("component_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 4, bucket_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component: the one with the smallest id (any one, of rows that repeat it)."""
+    own = save(fingerprints(docs, size, id_col, text_col), "fingerprints")
+    first = _named(own, radius, bucket_rows).filter("rep = component_id").select(F.col("fp").alias("_fp"), F.col("rep").alias("_rep"))
+    key = F.when(F.col("no_id"), F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))).otherwise(F.col("doc_id"))
+    first = first.join(own.select("fp", key.alias("key")), (F.col("_fp") == F.col("fp")) & (F.col("_rep") == F.col("key"))).groupBy("_fp", "_rep").agg((F.count("*") > 1).alias("_again"))
+    first = save(first, "first")
+    marked = docs.withColumn("_own", _fp_udf(size)(docs[text_col].cast("string")))
+    rep = F.coalesce(docs[id_col].cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("_own"), F.lit(1 << 61)))
+    kept = marked.withColumn("_id", rep).join(first, (F.col("_own") == F.col("_fp")) & (F.col("_id") == F.col("_rep")))
+    once, again = kept.filter("not _again"), kept.filter("_again").dropDuplicates(["_fp", "_rep"])
+    return once.unionByName(again).select(*docs.columns)
