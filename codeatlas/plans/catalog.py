@@ -1,4 +1,7 @@
 """Every query of the library by name, with its DuckDB equivalent."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from codeatlas.plans import graph_queries, history_queries, stream_queries, text_queries
+
+_ALL = (graph_queries, text_queries, history_queries, stream_queries)
+QUERIES: dict = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in _ALL for k, v in m.ORACLE_SQL.items()}
