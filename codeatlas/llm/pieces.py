@@ -98,8 +98,9 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     """(pid, unit, ids) of the distinct (pid, unit) of a table."""
     table = F.broadcast(piece_table(units.sparkSession, model))  # the model's size
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - i)), lambda k: F.struct(i.alias("start"), k.alias("size")))))
-    exploded = units.select("pid", "unit", F.explode(spans).alias("e")).select("pid", "unit", "e.start", "e.size", F.substring(F.col("unit"), F.col("e.start") + 1, F.col("e.size")).alias("piece"))
+    starts = units.select("pid", "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    exploded = starts.select("pid", "unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start")))).alias("size"))
+    exploded = exploded.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("size")))
     edges = exploded.join(table, "piece", "left").filter("id is not null or size = 1")
     edge = F.struct((F.col("start") + F.col("size")).alias("stop"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.least - 10)).alias("score"))
     grouped = edges.groupBy("pid", "unit").agg(F.collect_list(edge).alias("edges"))
@@ -117,22 +118,23 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
 def _assemble(key, docs: pd.DataFrame, units: pd.DataFrame, pattern: str) -> pd.DataFrame:
     find = re.compile(pattern).findall
     own = {u: np.asarray(x, np.int32).tobytes() for u, x in zip(units["unit"], units["ids"], strict=True)}
-    ids, no_id, texts = docs["doc_id"].tolist(), docs["no_id"].tolist(), docs["text"].tolist()
     rows = []
-    for i, none, raw in zip(ids, no_id, texts, strict=True):
-        text = bytes(raw).decode()
+    for raw in docs["row"]:
+        text = bytes(raw[9:]).decode()
         parts = find(SPACE + text.replace(" ", SPACE)) if text else []
-        rows.append((None if none else i, len(parts), b"".join([own[u] for u in parts])))
+        rows.append((None if raw[8] else int.from_bytes(raw[:8], "big", signed=True), len(parts), b"".join([own[u] for u in parts])))
     out = pd.DataFrame(rows, columns=["doc_id", "n_units", "packed"])
     out["doc_id"] = out["doc_id"].astype("Int64")
     return out
 
 
-def encode(docs: DataFrame, model: Model, group_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: Model, group_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_units and the ids of each row, packed as little-endian 32-bit numbers."""
-    deal, _ = dealt(docs, id_col, text_col, group_bytes)
-    deal = deal.repartition("pid")
-    text = F.decode("text", "UTF-8")
+    deal, n = dealt(docs, id_col, text_col, group_bytes)
+    # id and text in one column: both sides below read the same columns, and so share one exchange
+    row = F.concat(F.unhex(F.lpad(F.hex("doc_id"), 16, "0")), F.when(F.col("no_id"), F.lit(b"\x01")).otherwise(F.lit(b"\x00")), "text")
+    deal = deal.select("pid", row.alias("row")).repartition(min(n, 100_000), "pid")
+    text = F.decode(F.substring("row", 10, (1 << 31) - 1), "UTF-8")
     units = deal.select("pid", F.explode(F.array_distinct(F.regexp_extract_all(escaped(text), F.lit(model.java), F.lit(0)))).alias("unit")).distinct()
     known = encode_units(units, model)
     known = known.withColumnRenamed("pid", "own")
