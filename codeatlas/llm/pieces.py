@@ -128,7 +128,7 @@ def _assemble(key, docs: pd.DataFrame, units: pd.DataFrame, pattern: str) -> pd.
     return out
 
 
-def encode(docs: DataFrame, model: Model, group_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: Model, group_bytes: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_units and the ids of each row, packed as little-endian 32-bit numbers."""
     deal, n = dealt(docs, id_col, text_col, group_bytes)
     # id and text in one column: both sides below read the same columns, and so share one exchange
