@@ -164,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shingl
     if not 0 < shingle <= width:
         raise ValueError("shingle must be from 1 to width")
     spark = docs.sparkSession
-    out = docs.withColumns({"_hits": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>"), "_n": F.lit(0).cast("long")})
+    out = docs.withColumns({"_hits": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>"), "_n": F.lit(0).cast("long"), "_hit": F.lit(0).cast("long")})
     for part in blocks(benchmark, width, block_windows, item_col, item_text_col):
         index = Index([(r["item"], words_of(r["text"])) for r in part.toLocalIterator()], width, shingle)
         if not index.items:
@@ -187,7 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shingl
         def search(frames: Iterator[pd.DataFrame], shared=shared, schema=schema) -> Iterator[pd.DataFrame]:
             for x in frames:
                 words = [words_of(t) for t in x[text_col]]
-                hits, items, sizes = [], [], []
+                hits, items, sizes, counts = [], [], [], []
                 for w, old, had, (s, e, found) in zip(words, x["_hits"], x["_items"], shared.value.search(words), strict=True):
                     sizes.append(len(w))
                     if len(s):
@@ -199,14 +199,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shingl
                             hit |= np.unpackbits(np.frombuffer(old, np.uint8), count=len(w)).astype(bool)
                         old = np.packbits(hit).tobytes()
                     hits.append(old)
+                    counts.append(0 if old is None else int(np.bitwise_count(np.frombuffer(old, np.uint8)).sum()))
                     items.append(sorted({*had, *found}))
-                x["_hits"], x["_items"], x["_n"] = hits, items, sizes
+                x["_hits"], x["_items"], x["_n"], x["_hit"] = hits, items, sizes, counts
                 yield x[schema.names]
 
         out = out.mapInPandas(search, schema)
-    @F.pandas_udf("long")
-    def ones(x: pd.Series) -> pd.Series:
-        return pd.Series([0 if v is None else int(np.bitwise_count(np.frombuffer(v, np.uint8)).sum()) for v in x], dtype="int64")
-
-    out = out.withColumns({"n_words": F.col("_n"), "n_hit": ones("_hits"), "items": F.col("_items")})
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).drop("_hits", "_items", "_n")
+    out = out.withColumns({"n_words": F.col("_n"), "n_hit": F.col("_hit"), "items": F.col("_items")})
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).drop("_hits", "_items", "_n", "_hit")

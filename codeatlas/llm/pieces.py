@@ -115,21 +115,28 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     return grouped.select("pid", "unit", known.alias("ids"))
 
 
-def _assemble(key, docs: pd.DataFrame, units: pd.DataFrame, pattern: str) -> pd.DataFrame:
+def _assemble(key, docs: pd.DataFrame, units: pd.DataFrame, pattern: str, surface: list[bytes] | None) -> pd.DataFrame:
     find = re.compile(pattern).findall
     own = {u: np.asarray(x, np.int32).tobytes() for u, x in zip(units["unit"], units["ids"], strict=True)}
     rows = []
     for raw in docs["row"]:
         text = bytes(raw[9:]).decode()
         parts = find(SPACE + text.replace(" ", SPACE)) if text else []
-        rows.append((None if raw[8] else int.from_bytes(raw[:8], "big", signed=True), len(parts), b"".join([own[u] for u in parts])))
-    out = pd.DataFrame(rows, columns=["doc_id", "n_units", "packed"])
+        packed = b"".join([own[u] for u in parts])
+        rows.append((None if raw[8] else int.from_bytes(raw[:8], "big", signed=True), len(parts), packed, surface and _decoded(packed, surface)))
+    out = pd.DataFrame(rows, columns=["doc_id", "n_units", "packed", "decoded"])
     out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+    return out if surface else out.drop(columns="decoded")
 
 
-def encode(docs: DataFrame, model: Model, group_bytes: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_units and the ids of each row, packed as little-endian 32-bit numbers."""
+def _decoded(packed: bytes, surface: list[bytes]) -> str:
+    t = b"".join(map(surface.__getitem__, np.frombuffer(packed, np.int32).tolist())).decode(errors="replace").replace(SPACE, " ")
+    return t[1:] if t.startswith(" ") else t
+
+
+def encode(docs: DataFrame, model: Model, group_bytes: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_units and the ids of each row, packed as little-endian 32-bit numbers; and what they decode to, if
+    asked for (in the same tasks, which then need one Python worker each instead of two)."""
     deal, n = dealt(docs, id_col, text_col, group_bytes)
     # id and text in one column: both sides below read the same columns, and so share one exchange
     row = F.concat(F.unhex(F.lpad(F.hex("doc_id"), 16, "0")), F.when(F.col("no_id"), F.lit(b"\x01")).otherwise(F.lit(b"\x00")), "text")
@@ -138,7 +145,7 @@ def encode(docs: DataFrame, model: Model, group_bytes: int = 3 << 20, id_col: st
     units = deal.select("pid", F.explode(F.array_distinct(F.regexp_extract_all(escaped(text), F.lit(model.java), F.lit(0)))).alias("unit")).distinct()
     known = encode_units(units, model)
     known = known.withColumnRenamed("pid", "own")
-    return deal.groupBy("pid").cogroup(known.groupBy("own")).applyInPandas(on_pair(_assemble, pattern=model.python.pattern), "doc_id long, n_units long, packed binary")
+    return deal.groupBy("pid").cogroup(known.groupBy("own")).applyInPandas(on_pair(_assemble, pattern=model.python.pattern, surface=model.surface() if decoded else None), "doc_id long, n_units long, packed binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
@@ -147,13 +154,8 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
     schema = encoded.select("*", F.lit("").alias("decoded")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = surface.__getitem__
         for x in frames:
-            texts = []
-            for packed in x["packed"]:
-                t = b"".join(map(get, np.frombuffer(packed, np.int32).tolist())).decode(errors="replace").replace(SPACE, " ")
-                texts.append(t[1:] if t.startswith(" ") else t)
-            x["decoded"] = texts
+            x["decoded"] = [_decoded(packed, surface) for packed in x["packed"]]
             yield x
 
     return encoded.mapInPandas(run, schema)

@@ -71,7 +71,7 @@ def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.Model(tokenizer_file("piece_bpe_32k.model"))
-    return pieces.digests(pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model), model))
+    return pieces.digests(pieces.encode(_table(spark, sf_dir, "documents"), model, decoded=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
