@@ -83,13 +83,17 @@ def cache_stats(s, d):
 
 
 ORDER = "PARTITION BY user_id ORDER BY ts, event_id"
-_w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def _user_order():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
 
 
 @query(f"WITH x AS (SELECT *, sum((event_type = 'signup')::INT) OVER ({ORDER} ROWS UNBOUNDED PRECEDING) AS episode FROM events) SELECT user_id, episode::BIGINT AS episode, count(*) AS n, min(ts) AS started, max(ts) AS ended FROM x GROUP BY user_id, episode")
 def episodes(s, d):
     """Gaps and islands: a signup begins an episode; the last one is open."""
-    x = table(s, d, "events").withColumn("episode", F.sum((F.col("event_type") == "signup").cast("int")).over(_w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = table(s, d, "events").withColumn("episode", F.sum((F.col("event_type") == "signup").cast("int")).over(_user_order().rowsBetween(Window.unboundedPreceding, 0)))
     return x.groupBy("user_id", F.col("episode").cast("long").alias("episode")).agg(F.count("*").alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
 
 
@@ -103,13 +107,13 @@ def recovery_latency(s, d):
 
 @query(f"WITH x AS (SELECT *, (event_type <> lag(event_type) OVER ({ORDER}))::INT AS switched FROM events) SELECT event_id, round(coalesce(sum(switched) OVER ({ORDER} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW), 0) / 15, 6) AS density FROM x")
 def module_density(s, d):
-    x = table(s, d, "events").withColumn("switched", (F.col("event_type") != F.lag("event_type").over(_w)).cast("int"))
-    return x.select("event_id", F.round(F.coalesce(F.sum("switched").over(_w.rowsBetween(-14, 0)), F.lit(0)) / 15, 6).alias("density"))
+    x = table(s, d, "events").withColumn("switched", (F.col("event_type") != F.lag("event_type").over(_user_order())).cast("int"))
+    return x.select("event_id", F.round(F.coalesce(F.sum("switched").over(_user_order().rowsBetween(-14, 0)), F.lit(0)) / 15, 6).alias("density"))
 
 
 @query(f"WITH x AS (SELECT user_id, lag(event_type) OVER ({ORDER}) || '>' || event_type AS pair FROM events), c AS (SELECT user_id, pair, count(*) AS n FROM x WHERE pair IS NOT NULL GROUP BY 1, 2) SELECT user_id, round(sum(n - 1) / sum(n), 6)::DOUBLE AS oscillation FROM c GROUP BY user_id")
 def oscillation(s, d):
-    x = table(s, d, "events").select("user_id", F.concat(F.lag("event_type").over(_w), F.lit(">"), "event_type").alias("pair")).filter("pair is not null").groupBy("user_id", "pair").agg(F.count("*").alias("n"))
+    x = table(s, d, "events").select("user_id", F.concat(F.lag("event_type").over(_user_order()), F.lit(">"), "event_type").alias("pair")).filter("pair is not null").groupBy("user_id", "pair").agg(F.count("*").alias("n"))
     return x.groupBy("user_id").agg(F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("oscillation"))
 
 
