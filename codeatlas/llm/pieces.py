@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text is cut into units that no piece reaches across: the escaped space begins one, and characters that are in no
-longer piece stand alone. Documents are dealt into groups by a hash; a group's distinct units are what is encoded.
-Substrings of a unit of at most the longest piece's length are exploded and equi-joined to the piece table (its size
-is the model's, broadcast); edges are grouped by unit; and a fold with ``aggregate`` takes, place by place, the best
-score that ends there (Viterbi), then walks back. Ties go to the longer last piece. Characters without a piece take
-one edge of the least score less 10 and become byte pieces, or the unknown id if the model has none.
+A text is cut into units that no piece reaches across: the escaped space begins one, letters and other characters part
+(where the model has no piece that mixes them), and characters that are in no longer piece stand alone. Documents are
+packed into compressed blocks of about 16 MB; a block's distinct units go, once each, to one exchange by unit, so that
+each unit of the whole table is encoded once, however many blocks hold it. Substrings of a unit of at most the longest
+piece's length are exploded and equi-joined to the piece table (its size is the model's, broadcast); edges are grouped
+by unit; and a fold with ``aggregate`` takes, place by place, the best score that ends there (Viterbi), then walks
+back. Ties go to the longer last piece. Characters without a piece take one edge of the least score less 10 and become
+byte pieces, or the unknown id if the model has none. The ids return to the blocks by the unit's number in its block.
 
-Nothing but the group's exchange moves: exploding, joining and both groupings keep its partitioning.
+Three exchanges: blocks (read twice), units, and ids. A unit counts once in a block, so a frequent one isn't hot.
 
 Scores are the table's, and the ids are their exact optimum, whatever way the model was trained: for a BPE model they
 are those of its piece table read as a unigram one, not the ids that its merges give.
@@ -22,12 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import dealt, on_pair
+from codeatlas.llm.common import on_pair
 
 SPACE = "▁"
+#: Bytes of text in a block of documents, and for each partition of units.
+BLOCK_BYTES, UNIT_BYTES = 16 << 20, 4 << 20
 
 
 class Model:
@@ -45,11 +52,14 @@ class Model:
         self.longest = max(len(p) for p, _, _ in self.normal)
         self.least = min(s for _, _, s in self.normal)
         inside = {c for p, _, _ in self.normal if len(p) > 1 for c in p}
-        alone = "".join(f"\\x{{{c:02x}}}" for c in range(32) if chr(c) not in inside)
+        alone = "".join(f"\\x{c:02x}" for c in range(32) if chr(c) not in inside)
         if any(SPACE in p.lstrip(SPACE) for p, _, _ in self.normal):
             raise ValueError("a piece holds an escaped space after another character")
-        self.java = f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+|[{alone}]" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
-        self.python = re.compile(re.sub(r"\\x\{(..)\}", r"\\x\1", self.java))
+        letters = sorted(c for c in inside if c.isalpha())
+        mixed = any(len({c.isalpha() for c in p.lstrip(SPACE)}) > 1 for p, _, _ in self.normal)
+        other = f"[^{SPACE}{alone}{'' if mixed else ''.join(letters)}]+"
+        kinds = [other] if mixed or not letters else [f"[{''.join(letters)}]+", other]
+        self.pattern = f"{SPACE}+(?:{'|'.join(kinds)})?|{'|'.join(kinds)}" + (f"|[{alone}]" if alone else "")
 
     def surface(self) -> list[bytes]:
         """What each id stands for, in bytes."""
@@ -62,11 +72,6 @@ class Model:
         return out
 
 
-def escaped(text: Column) -> Column:
-    """Spaces escaped, one before a text that isn't empty."""
-    return F.when(F.length(text) > 0, F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))).otherwise("")
-
-
 def viterbi(unit: Column, edges: Column) -> Column:
     """Array of (start, id) of the best path. edges: array of (stop, start, id, score)."""
     step = lambda best, e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id"))
@@ -95,15 +100,15 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(pid, unit, ids) of the distinct (pid, unit) of a table."""
+    """(unit, ids) of the distinct units of a table; keeps its partitioning by unit."""
     table = F.broadcast(piece_table(units.sparkSession, model))  # the model's size
     n = F.length("unit")
-    starts = units.select("pid", "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    exploded = starts.select("pid", "unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start")))).alias("size"))
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    exploded = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start")))).alias("size"))
     exploded = exploded.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("size")))
     edges = exploded.join(table, "piece", "left").filter("id is not null or size = 1")
     edge = F.struct((F.col("start") + F.col("size")).alias("stop"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.least - 10)).alias("score"))
-    grouped = edges.groupBy("pid", "unit").agg(F.collect_list(edge).alias("edges"))
+    grouped = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
     path = viterbi(F.col("unit"), F.col("edges"))
     if model.bytes:
         ids = F.array(*[F.lit(model.bytes[b]) for b in range(256)])
@@ -112,21 +117,89 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
         known = F.flatten(F.transform(path, lambda s: F.when(s["id"] >= 0, F.array(s["id"])).otherwise(spelt(raw(s)))))
     else:
         known = F.transform(path, lambda s: F.when(s["id"] >= 0, s["id"]).otherwise(model.unknown))
-    return grouped.select("pid", "unit", known.alias("ids"))
+    return grouped.select("unit", known.alias("ids"))
+
+
+def _units(text: str, find) -> list[str]:
+    return find(SPACE + text.replace(" ", SPACE)) if text else []
+
+
+def _block(rows: list[tuple[int, bool, bytes]]) -> dict:
+    """A block's row: a hash of its contents, and they: ids, marks of null ids, lengths and texts, compressed."""
+    ids, nulls, texts = zip(*rows, strict=True)
+    head = np.array(ids, np.int64).tobytes() + np.array([len(t) for t in texts], np.int64).tobytes() + np.array(nulls, np.uint8).tobytes()
+    raw = len(rows).to_bytes(8, "little") + head + b"".join(texts)
+    return {"block": [xxhash.xxh64_intdigest(raw) - (1 << 63)], "packed": [zstandard.compress(raw, 3)]}
+
+
+def _unblock(packed: bytes) -> Iterator[tuple[int | None, str]]:
+    raw = zstandard.decompress(packed)
+    n = int.from_bytes(raw[:8], "little")
+    ids, lengths = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n).tolist()
+    nulls, at = raw[8 + 16 * n : 8 + 17 * n], 8 + 17 * n
+    for i, null, length in zip(ids, nulls, lengths, strict=True):
+        yield None if null else i, raw[at : at + length].decode()
+        at += length
 
 
-def _assemble(key, docs: pd.DataFrame, units: pd.DataFrame, pattern: str, surface: list[bytes] | None) -> pd.DataFrame:
+def _pack(frames: Iterator[pd.DataFrame], block_bytes: int) -> Iterator[pd.DataFrame]:
+    rows, held = [], 0
+    for x in frames:
+        for i, null, text in zip(x["doc_id"], x["no_id"], x["text"], strict=True):
+            rows.append((i, null, text := bytes(text)))
+            held += len(text) + 64
+            if held >= block_bytes:
+                yield pd.DataFrame(_block(rows))
+                rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(_block(rows))
+
+
+def _distinct(packed: bytes, find) -> list[str]:
+    """A block's units, in order of first occurrence."""
+    out: dict[str, None] = {}
+    for _, text in _unblock(packed):
+        out.update(dict.fromkeys(_units(text, find)))
+    return list(out)
+
+
+def _places(frames: Iterator[pd.DataFrame], pattern: str) -> Iterator[pd.DataFrame]:
     find = re.compile(pattern).findall
-    own = {u: np.asarray(x, np.int32).tobytes() for u, x in zip(units["unit"], units["ids"], strict=True)}
-    rows = []
-    for raw in docs["row"]:
-        text = bytes(raw[9:]).decode()
-        parts = find(SPACE + text.replace(" ", SPACE)) if text else []
-        packed = b"".join([own[u] for u in parts])
-        rows.append((None if raw[8] else int.from_bytes(raw[:8], "big", signed=True), len(parts), packed, surface and _decoded(packed, surface)))
-    out = pd.DataFrame(rows, columns=["doc_id", "n_units", "packed", "decoded"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out if surface else out.drop(columns="decoded")
+    for x in frames:
+        for block, packed in zip(x["block"], x["packed"], strict=True):
+            own = _distinct(packed, find)
+            for a in range(0, len(own), 50_000):
+                part = own[a : a + 50_000]
+                yield pd.DataFrame({"block": block, "place": np.arange(a, a + len(part), dtype=np.int32), "unit": part})
+
+
+def _assemble(key, blocks: pa.Table, known: pa.Table, pattern: str, surface: list[bytes] | None) -> pa.Table:
+    """Ids of a block's documents. Equal blocks share a key and have the same units; blocks that differ can't pass for
+    each other, as the number of units and every lookup are checked."""
+    find = re.compile(pattern).findall
+    place = known["place"].to_numpy()
+    lists = known["ids"].combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    flat = lists.flatten().to_numpy().astype(np.int32).tobytes()
+    ends = (np.cumsum(lists.value_lengths().to_numpy()) * 4).tolist() if len(lists) else []
+    by_place: list[bytes | None] = [None] * (int(place.max()) + 1 if len(place) else 0)
+    start = 0
+    for p, end in zip(place.tolist(), ends, strict=True):
+        by_place[p], start = flat[start:end], end
+    out = {"doc_id": [], "n_units": [], "packed": []} | ({"decoded": []} if surface else {})
+    for packed in blocks["packed"]:
+        packed = packed.as_py()
+        own = dict(zip(_distinct(packed, find), by_place, strict=True))
+        for i, text in _unblock(packed):
+            parts = _units(text, find)
+            ids = b"".join([own[u] for u in parts])
+            out["doc_id"].append(i)
+            out["n_units"].append(len(parts))
+            out["packed"].append(ids)
+            if surface:
+                out["decoded"].append(_decoded(ids, surface))
+    kinds = {"doc_id": pa.int64(), "n_units": pa.int64(), "packed": pa.binary(), "decoded": pa.string()}
+    return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
 def _decoded(packed: bytes, surface: list[bytes]) -> str:
@@ -134,18 +207,23 @@ def _decoded(packed: bytes, surface: list[bytes]) -> str:
     return t[1:] if t.startswith(" ") else t
 
 
-def encode(docs: DataFrame, model: Model, group_bytes: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """doc_id, n_units and the ids of each row, packed as little-endian 32-bit numbers; and what they decode to, if
     asked for (in the same tasks, which then need one Python worker each instead of two)."""
-    deal, n = dealt(docs, id_col, text_col, group_bytes)
-    # id and text in one column: both sides below read the same columns, and so share one exchange
-    row = F.concat(F.unhex(F.lpad(F.hex("doc_id"), 16, "0")), F.when(F.col("no_id"), F.lit(b"\x01")).otherwise(F.lit(b"\x00")), "text")
-    deal = deal.select("pid", row.alias("row")).repartition(min(n, 100_000), "pid")
-    text = F.decode(F.substring("row", 10, (1 << 31) - 1), "UTF-8")
-    units = deal.select("pid", F.explode(F.array_distinct(F.regexp_extract_all(escaped(text), F.lit(model.java), F.lit(0)))).alias("unit")).distinct()
-    known = encode_units(units, model)
-    known = known.withColumnRenamed("pid", "own")
-    return deal.groupBy("pid").cogroup(known.groupBy("own")).applyInPandas(on_pair(_assemble, pattern=model.python.pattern, surface=model.surface() if decoded else None), "doc_id long, n_units long, packed binary" + ", decoded string" * decoded)
+    light = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"),
+        F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"),
+    )
+    total = int(light.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0)
+    n, n_units = (min(100_000, max(2, -(-total // size))) for size in (block_bytes, UNIT_BYTES))
+    pattern = model.pattern
+    blocks = light.mapInPandas(lambda frames: _pack(frames, block_bytes), "block long, packed binary").repartition(n, "block")
+    places = blocks.mapInPandas(lambda frames: _places(frames, pattern), "block long, place int, unit string").repartition(n_units, "unit")
+    # reads every column, so that both uses of the places share one exchange
+    own = places.groupBy("unit").agg(F.min("block").alias("block"), F.min("place").alias("place")).filter("block is not null and place is not null")
+    known = places.join(encode_units(own.select("unit"), model).hint("shuffle_hash"), "unit").select(F.col("block").alias("own"), "place", "ids")
+    schema = "doc_id long, n_units long, packed binary" + ", decoded string" * decoded
+    return blocks.groupBy("block").cogroup(known.groupBy("own")).applyInArrow(on_pair(_assemble, pattern=pattern, surface=model.surface() if decoded else None), schema)
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
