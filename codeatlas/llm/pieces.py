@@ -2,14 +2,15 @@
 
 A text is cut into units that no piece reaches across: the escaped space begins one, letters and other characters part
 (where the model has no piece that mixes them), and characters that are in no longer piece stand alone. Documents are
-packed into compressed blocks of about 16 MB; a block's distinct units go, once each, to one exchange by unit, so that
+packed into compressed blocks of about 16 MB; a block's distinct units go, once each, to buckets by their hash, so that
 each unit of the whole table is encoded once, however many blocks hold it. Substrings of a unit of at most the longest
 piece's length are exploded and equi-joined to the piece table (its size is the model's, broadcast); edges are grouped
 by unit; and a fold with ``aggregate`` takes, place by place, the best score that ends there (Viterbi), then walks
 back. Ties go to the longer last piece. Characters without a piece take one edge of the least score less 10 and become
 byte pieces, or the unknown id if the model has none. The ids return to the blocks by the unit's number in its block.
 
-Three exchanges: blocks (read twice), units, and ids. A unit counts once in a block, so a frequent one isn't hot.
+Three exchanges: blocks (read twice), units (a row for each block and bucket), and ids (likewise, compressed). A unit
+counts once in a block, so a frequent one isn't hot.
 
 Scores are the table's, and the ids are their exact optimum, whatever way the model was trained: for a BPE model they
 are those of its piece table read as a unigram one, not the ids that its merges give.
@@ -35,6 +36,8 @@ from codeatlas.llm.common import on_pair
 SPACE = "▁"
 #: Bytes of text in a block of documents, and for each partition of units.
 BLOCK_BYTES, UNIT_BYTES = 16 << 20, 4 << 20
+#: Between units that travel in one row.
+SEPARATOR = "\x1f"
 
 
 class Model:
@@ -100,15 +103,15 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) of the distinct units of a table; keeps its partitioning by unit."""
+    """(bucket, unit, ids) of the distinct (bucket, unit) of a table; keeps its partitioning by bucket."""
     table = F.broadcast(piece_table(units.sparkSession, model))  # the model's size
     n = F.length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    exploded = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start")))).alias("size"))
+    starts = units.select("bucket", "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    exploded = starts.select("bucket", "unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start")))).alias("size"))
     exploded = exploded.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("size")))
     edges = exploded.join(table, "piece", "left").filter("id is not null or size = 1")
     edge = F.struct((F.col("start") + F.col("size")).alias("stop"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.least - 10)).alias("score"))
-    grouped = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    grouped = edges.groupBy("bucket", "unit").agg(F.collect_list(edge).alias("edges"))
     path = viterbi(F.col("unit"), F.col("edges"))
     if model.bytes:
         ids = F.array(*[F.lit(model.bytes[b]) for b in range(256)])
@@ -117,7 +120,7 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
         known = F.flatten(F.transform(path, lambda s: F.when(s["id"] >= 0, F.array(s["id"])).otherwise(spelt(raw(s)))))
     else:
         known = F.transform(path, lambda s: F.when(s["id"] >= 0, s["id"]).otherwise(model.unknown))
-    return grouped.select("unit", known.alias("ids"))
+    return grouped.select("bucket", "unit", known.alias("ids"))
 
 
 def _units(text: str, find) -> list[str]:
@@ -155,58 +158,97 @@ def _pack(frames: Iterator[pd.DataFrame], block_bytes: int) -> Iterator[pd.DataF
         yield pd.DataFrame(_block(rows))
 
 
-def _distinct(packed: bytes, find) -> list[str]:
-    """A block's units, in order of first occurrence."""
-    out: dict[str, None] = {}
-    for _, text in _unblock(packed):
-        out.update(dict.fromkeys(_units(text, find)))
-    return list(out)
+class _Numbers(dict):
+    """Numbers things from 0 as they are first asked for."""
 
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
-def _places(frames: Iterator[pd.DataFrame], pattern: str) -> Iterator[pd.DataFrame]:
+
+def _bucketed(units: list[str], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a block's units by bucket, and their buckets in that order. A unit's place is its number there."""
+    bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units)) % np.uint64(n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order].astype(np.int32)
+
+
+def _places(frames: Iterator[pd.DataFrame], pattern: str, n_buckets: int) -> Iterator[pd.DataFrame]:
+    """Rows of a block's units in a bucket, joined by SEPARATOR; a unit that holds it has a row of its own."""
     find = re.compile(pattern).findall
     for x in frames:
         for block, packed in zip(x["block"], x["packed"], strict=True):
-            own = _distinct(packed, find)
-            for a in range(0, len(own), 50_000):
-                part = own[a : a + 50_000]
-                yield pd.DataFrame({"block": block, "place": np.arange(a, a + len(part), dtype=np.int32), "unit": part})
-
-
-def _assemble(key, blocks: pa.Table, known: pa.Table, pattern: str, surface: list[bytes] | None) -> pa.Table:
+            own: dict[str, None] = {}
+            for _, text in _unblock(packed):
+                own.update(dict.fromkeys(_units(text, find)))
+            units = list(own)
+            order, buckets = _bucketed(units, n_buckets)
+            units = [units[i] for i in order.tolist()]
+            odd = [i for i, u in enumerate(units) if SEPARATOR in u]
+            cuts = np.unique(np.concatenate([[0, len(units)], np.flatnonzero(np.diff(buckets)) + 1, odd, np.array(odd, np.int64) + 1]).astype(np.int64)).tolist()
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            yield pd.DataFrame({"bucket": [int(buckets[a]) for a, _ in spans], "block": block, "first": [a for a, _ in spans], "units": [SEPARATOR.join(units[a:b]) for a, b in spans], "alone": [b == a + 1 for a, b in spans]})
+
+
+def _answer(key, rows: pa.Table, known: pa.Table, wide: bool) -> pa.Table:
+    """(own, found) for each row of a bucket: the block, and the compressed places, lengths and ids of its units."""
+    lists = known["ids"]
+    lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    kind = np.int32 if wide else np.uint16
+    flat = lists.flatten().to_numpy().astype(kind).tobytes()
+    size = np.dtype(kind).itemsize
+    ends = (np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64) * size).tolist()
+    ids = dict(zip(known["unit"].to_pylist(), [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+    found = []
+    for first, joined, alone in zip(rows["first"].to_pylist(), rows["units"].to_pylist(), rows["alone"].to_pylist(), strict=True):
+        own = [ids[u] for u in ([joined] if alone else joined.split(SEPARATOR))]
+        head = np.array([first, len(own), *[len(x) // size for x in own]], np.int32)
+        found.append(zstandard.compress(head.tobytes() + b"".join(own), 3))
+    return pa.table({"own": rows["block"], "found": pa.array(found, pa.binary())})
+
+
+def _assemble(key, blocks: pa.Table, known: pa.Table, pattern: str, n_buckets: int, wide: bool, surface: list[bytes] | None) -> pa.Table:
     """Ids of a block's documents. Equal blocks share a key and have the same units; blocks that differ can't pass for
-    each other, as the number of units and every lookup are checked."""
+    each other, as the number of units is checked."""
     find = re.compile(pattern).findall
-    place = known["place"].to_numpy()
-    lists = known["ids"].combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    flat = lists.flatten().to_numpy().astype(np.int32).tobytes()
-    ends = (np.cumsum(lists.value_lengths().to_numpy()) * 4).tolist() if len(lists) else []
-    by_place: list[bytes | None] = [None] * (int(place.max()) + 1 if len(place) else 0)
-    start = 0
-    for p, end in zip(place.tolist(), ends, strict=True):
-        by_place[p], start = flat[start:end], end
+    by_place: dict[int, bytes] = {}
+    for found in known["found"]:
+        raw = zstandard.decompress(found.as_py())
+        first, n = np.frombuffer(raw, np.int32, 2).tolist()
+        ends = np.cumsum(np.frombuffer(raw, np.int32, n, 8), dtype=np.int64) * 4
+        flat = np.frombuffer(raw, np.int32 if wide else np.uint16, -1, 8 + 4 * n).astype(np.int32).tobytes()
+        by_place.update(enumerate([flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)], first))
     out = {"doc_id": [], "n_units": [], "packed": []} | ({"decoded": []} if surface else {})
     for packed in blocks["packed"]:
-        packed = packed.as_py()
-        own = dict(zip(_distinct(packed, find), by_place, strict=True))
-        for i, text in _unblock(packed):
-            parts = _units(text, find)
-            ids = b"".join([own[u] for u in parts])
+        numbers, parts = _Numbers(), []
+        for i, text in _unblock(packed.as_py()):
+            own = _units(text, find)
             out["doc_id"].append(i)
-            out["n_units"].append(len(parts))
-            out["packed"].append(ids)
-            if surface:
-                out["decoded"].append(_decoded(ids, surface))
+            out["n_units"].append(len(own))
+            parts.append(np.array([numbers[u] for u in own], np.int32))
+        order, _ = _bucketed(list(numbers), n_buckets)
+        if len(order) != len(by_place):
+            raise ValueError("blocks share a key but not their units")
+        ids: list[bytes] = [b""] * len(order)
+        for place, number in enumerate(order.tolist()):
+            ids[number] = by_place[place]
+        out["packed"] += [b"".join([ids[u] for u in own.tolist()]) for own in parts]
+        if surface:
+            spelt = [b"".join([surface[k] for k in np.frombuffer(x, np.int32).tolist()]) for x in ids]
+            out["decoded"] += [_spoken(b"".join([spelt[u] for u in own.tolist()])) for own in parts]
     kinds = {"doc_id": pa.int64(), "n_units": pa.int64(), "packed": pa.binary(), "decoded": pa.string()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
-def _decoded(packed: bytes, surface: list[bytes]) -> str:
-    t = b"".join(map(surface.__getitem__, np.frombuffer(packed, np.int32).tolist())).decode(errors="replace").replace(SPACE, " ")
+def _spoken(raw: bytes) -> str:
+    t = raw.decode(errors="replace").replace(SPACE, " ")
     return t[1:] if t.startswith(" ") else t
 
 
+def _decoded(packed: bytes, surface: list[bytes]) -> str:
+    return _spoken(b"".join(map(surface.__getitem__, np.frombuffer(packed, np.int32).tolist())))
+
+
 def encode(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """doc_id, n_units and the ids of each row, packed as little-endian 32-bit numbers; and what they decode to, if
     asked for (in the same tasks, which then need one Python worker each instead of two)."""
@@ -216,14 +258,18 @@ def encode(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, id_col
     )
     total = int(light.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0)
     n, n_units = (min(100_000, max(2, -(-total // size))) for size in (block_bytes, UNIT_BYTES))
-    pattern = model.pattern
+    pattern, wide = model.pattern, len(model.pieces) > 1 << 16
     blocks = light.mapInPandas(lambda frames: _pack(frames, block_bytes), "block long, packed binary").repartition(n, "block")
-    places = blocks.mapInPandas(lambda frames: _places(frames, pattern), "block long, place int, unit string").repartition(n_units, "unit")
+    rows = blocks.mapInPandas(lambda frames: _places(frames, pattern, n_units), "bucket int, block long, first int, units string, alone boolean").repartition(n_units, "bucket")
+    units = F.when(F.col("alone"), F.array("units")).otherwise(F.split("units", SEPARATOR))
+    places = rows.select("bucket", "block", "first", F.posexplode(units).alias("at", "unit")).select("bucket", "block", (F.col("first") + F.col("at")).alias("place"), "unit")
     # reads every column, so that both uses of the places share one exchange
-    own = places.groupBy("unit").agg(F.min("block").alias("block"), F.min("place").alias("place")).filter("block is not null and place is not null")
-    known = places.join(encode_units(own.select("unit"), model).hint("shuffle_hash"), "unit").select(F.col("block").alias("own"), "place", "ids")
+    own = places.groupBy("bucket", "unit").agg(F.min("block").alias("block"), F.min("place").alias("place")).filter("block is not null and place is not null")
+    known = encode_units(own.select("bucket", "unit"), model).withColumnRenamed("bucket", "own_bucket")
+    found = rows.groupBy("bucket").cogroup(known.groupBy("own_bucket")).applyInArrow(on_pair(_answer, wide=wide), "own long, found binary")
     schema = "doc_id long, n_units long, packed binary" + ", decoded string" * decoded
-    return blocks.groupBy("block").cogroup(known.groupBy("own")).applyInArrow(on_pair(_assemble, pattern=pattern, surface=model.surface() if decoded else None), schema)
+    f = on_pair(_assemble, pattern=pattern, n_buckets=n_units, wide=wide, surface=model.surface() if decoded else None)
+    return blocks.groupBy("block").cogroup(found.groupBy("own")).applyInArrow(f, schema)
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
