@@ -38,6 +38,7 @@ SPACE = "▁"
 BLOCK_BYTES, UNIT_BYTES = 16 << 20, 4 << 20
 #: Between units that travel in one row.
 SEPARATOR = "\x1f"
+_SPACED = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class Model:
@@ -123,8 +124,13 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     return grouped.select("bucket", "unit", known.alias("ids"))
 
 
-def _units(text: str, find) -> list[str]:
-    return find(SPACE + text.replace(" ", SPACE)) if text else []
+def _words(text: str) -> list[str]:
+    """Words of a text, each without the escaped space that begins it; units don't reach across them."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or SPACE in text:
+        return [w[1:] for w in _SPACED.findall(SPACE + text.replace(" ", SPACE))]
+    return text.split(" ")
 
 
 def _block(rows: list[tuple[int, bool, bytes]]) -> dict:
@@ -178,9 +184,12 @@ def _places(frames: Iterator[pd.DataFrame], pattern: str, n_buckets: int) -> Ite
     find = re.compile(pattern).findall
     for x in frames:
         for block, packed in zip(x["block"], x["packed"], strict=True):
-            own: dict[str, None] = {}
+            words: dict[str, None] = {}
             for _, text in _unblock(packed):
-                own.update(dict.fromkeys(_units(text, find)))
+                words.update(dict.fromkeys(_words(text)))
+            own: dict[str, None] = {}
+            for w in words:
+                own.update(dict.fromkeys(find(SPACE + w)))
             units = list(own)
             order, buckets = _bucketed(units, n_buckets)
             units = [units[i] for i in order.tolist()]
@@ -220,22 +229,26 @@ def _assemble(key, blocks: pa.Table, known: pa.Table, pattern: str, n_buckets: i
         by_place.update(enumerate([flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)], first))
     out = {"doc_id": [], "n_units": [], "packed": []} | ({"decoded": []} if surface else {})
     for packed in blocks["packed"]:
-        numbers, parts = _Numbers(), []
+        words, texts = _Numbers(), []
         for i, text in _unblock(packed.as_py()):
-            own = _units(text, find)
             out["doc_id"].append(i)
-            out["n_units"].append(len(own))
-            parts.append(np.array([numbers[u] for u in own], np.int32))
-        order, _ = _bucketed(list(numbers), n_buckets)
+            texts.append(np.array([words[w] for w in _words(text)], np.int32))
+        units = _Numbers()
+        parts = [[units[u] for u in find(SPACE + w)] for w in words]
+        order, _ = _bucketed(list(units), n_buckets)
         if len(order) != len(by_place):
             raise ValueError("blocks share a key but not their units")
         ids: list[bytes] = [b""] * len(order)
         for place, number in enumerate(order.tolist()):
             ids[number] = by_place[place]
-        out["packed"] += [b"".join([ids[u] for u in own.tolist()]) for own in parts]
+        counts = np.array([len(x) for x in parts], np.int64)
+        out["n_units"] += [int(counts[own].sum()) for own in texts]
+        of_word = [b"".join([ids[u] for u in x]) for x in parts]
+        out["packed"] += [b"".join([of_word[w] for w in own.tolist()]) for own in texts]
         if surface:
             spelt = [b"".join([surface[k] for k in np.frombuffer(x, np.int32).tolist()]) for x in ids]
-            out["decoded"] += [_spoken(b"".join([spelt[u] for u in own.tolist()])) for own in parts]
+            of_word = [b"".join([spelt[u] for u in x]) for x in parts]
+            out["decoded"] += [_spoken(b"".join([of_word[w] for w in own.tolist()])) for own in texts]
     kinds = {"doc_id": pa.int64(), "n_units": pa.int64(), "packed": pa.binary(), "decoded": pa.string()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 

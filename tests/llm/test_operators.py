@@ -141,8 +141,8 @@ def test_shards_are_exact(spark):
 
 def test_pieces_are_optimal_and_round_trip(spark):
     model = pieces.Model(tokenizer_file("piece_bpe_32k.model"))
-    got = {r.doc_id: r for r in pieces.decode(pieces.encode(docs(spark, [*TEXTS, (12, "  two\n\nlines 你好😀\t\x1f \x1fa\x1f\x1f")]), model), model).collect()}
-    assert all(got[i].decoded == (t or "") for i, t in [*TEXTS, (12, "  two\n\nlines 你好😀\t\x1f \x1fa\x1f\x1f")])
+    got = {r.doc_id: r for r in pieces.decode(pieces.encode(docs(spark, [*TEXTS, (12, "  two\n\nlines 你好😀\t\x1f \x1fa\x1f\x1f x  y ")]), model), model).collect()}
+    assert all(got[i].decoded == (t or "") for i, t in [*TEXTS, (12, "  two\n\nlines 你好😀\t\x1f \x1fa\x1f\x1f x  y ")])
     score = {p: (i, s) for p, i, s in model.normal}
     best = [(0.0, 0, [])]
     text = "▁start"
