@@ -2,7 +2,7 @@
 
 A text is cut into units that no piece reaches across: the escaped space begins one, letters and other characters part
 (where the model has no piece that mixes them), and characters that are in no longer piece stand alone. Documents are
-packed into compressed blocks of about 16 MB; a block's distinct units go, once each, to buckets by their hash, so that
+packed into compressed blocks of about 8 MB; a block's distinct units go, once each, to buckets by their hash, so that
 each unit of the whole table is encoded once, however many blocks hold it. Substrings of a unit of at most the longest
 piece's length are exploded and equi-joined to the piece table (its size is the model's, broadcast); edges are grouped
 by unit; and a fold with ``aggregate`` takes, place by place, the best score that ends there (Viterbi), then walks
@@ -35,7 +35,7 @@ from codeatlas.llm.common import on_pair
 
 SPACE = "▁"
 #: Bytes of text in a block of documents, and for each partition of units.
-BLOCK_BYTES, UNIT_BYTES = 16 << 20, 4 << 20
+BLOCK_BYTES, UNIT_BYTES = 8 << 20, 4 << 20
 #: Between units that travel in one row.
 SEPARATOR = "\x1f"
 _SPACED = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -235,7 +235,9 @@ def _assemble(key, blocks: pa.Table, known: pa.Table, pattern: str, n_buckets: i
             texts.append(np.array([words[w] for w in _words(text)], np.int32))
         units = _Numbers()
         parts = [[units[u] for u in find(SPACE + w)] for w in words]
+        del words
         order, _ = _bucketed(list(units), n_buckets)
+        del units
         if len(order) != len(by_place):
             raise ValueError("blocks share a key but not their units")
         ids: list[bytes] = [b""] * len(order)
