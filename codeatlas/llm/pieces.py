@@ -2,7 +2,8 @@
 
 A text is cut into units that no piece reaches across: the escaped space begins one, letters and other characters part
 (where the model has no piece that mixes them), and characters that are in no longer piece stand alone. Documents are
-packed into compressed blocks of about 4 MB; a block's distinct units go, once each, to buckets by their hash, so that
+packed into compressed blocks of about 4 MB of text, which hold the numbers of their words and the units of each
+distinct word, so that a text is split once; a block's distinct units go, once each, to buckets by their hash, so that
 each unit of the whole table is encoded once, however many blocks hold it. Substrings of a unit of at most the longest
 piece's length are exploded and equi-joined to the piece table (its size is the model's, broadcast); edges are grouped
 by unit; and a fold with ``aggregate`` takes, place by place, the best score that ends there (Viterbi), then walks
@@ -133,35 +134,30 @@ def _words(text: str) -> list[str]:
     return text.split(" ")
 
 
-def _block(rows: list[tuple[int, bool, bytes]]) -> dict:
-    """A block's row: a hash of its contents, and they: ids, marks of null ids, lengths and texts, compressed."""
-    ids, nulls, texts = zip(*rows, strict=True)
-    head = np.array(ids, np.int64).tobytes() + np.array([len(t) for t in texts], np.int64).tobytes() + np.array(nulls, np.uint8).tobytes()
-    raw = len(rows).to_bytes(8, "little") + head + b"".join(texts)
-    return {"block": [xxhash.xxh64_intdigest(raw) - (1 << 63)], "packed": [zstandard.compress(raw, 3)]}
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of them all, which compresses better."""
+    return x.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unblock(packed: bytes) -> Iterator[tuple[int | None, str]]:
-    raw = zstandard.decompress(packed)
-    n = int.from_bytes(raw[:8], "little")
-    ids, lengths = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n).tolist()
-    nulls, at = raw[8 + 16 * n : 8 + 17 * n], 8 + 17 * n
-    for i, null, length in zip(ids, nulls, lengths, strict=True):
-        yield None if null else i, raw[at : at + length].decode()
-        at += length
+def _numbers(raw: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view(np.int32).ravel()
 
 
-def _pack(frames: Iterator[pd.DataFrame], block_bytes: int) -> Iterator[pd.DataFrame]:
-    rows, held = [], 0
-    for x in frames:
-        for i, null, text in zip(x["doc_id"], x["no_id"], x["text"], strict=True):
-            rows.append((i, null, text := bytes(text)))
-            held += len(text) + 64
-            if held >= block_bytes:
-                yield pd.DataFrame(_block(rows))
-                rows, held = [], 0
-    if rows:
-        yield pd.DataFrame(_block(rows))
+def _edges(lengths: np.ndarray) -> np.ndarray:
+    """Where each of consecutive runs begins, and the end."""
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def _gather(flat: np.ndarray, edges: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat that index names, one after another, and their edges."""
+    lengths = edges[index + 1] - edges[index]
+    out = _edges(lengths)
+    return flat[np.repeat(edges[index] - out[:-1], lengths) + np.arange(out[-1])], out
+
+
+def _runs(flat: bytes, edges: np.ndarray) -> list[bytes]:
+    at = edges.tolist()
+    return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 class _Numbers(dict):
@@ -172,31 +168,64 @@ class _Numbers(dict):
         return n
 
 
-def _bucketed(units: list[str], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of a block's units by bucket, and their buckets in that order. A unit's place is its number there."""
+def _units(units: list[str], n_buckets: int) -> tuple[bytes, np.ndarray]:
+    """A block's units as rows of a bucket, joined by SEPARATOR (a unit that holds it has a row of its own), and the
+    place of each unit: the units in the order of their buckets."""
     bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units)) % np.uint64(n_buckets)
     order = np.argsort(bucket, kind="stable")
-    return order, bucket[order].astype(np.int32)
+    buckets = bucket[order].astype(np.int32)
+    units = [units[i] for i in order.tolist()]
+    odd = [i for i, u in enumerate(units) if SEPARATOR in u]
+    cuts = np.unique(np.concatenate([[0, len(units)], np.flatnonzero(np.diff(buckets)) + 1, odd, np.array(odd, np.int64) + 1]).astype(np.int64))
+    joined = [SEPARATOR.join(units[a:b]).encode() for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+    head = np.concatenate([[len(joined)], cuts, buckets[cuts[:-1]], [len(x) for x in joined]]).astype(np.int32)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return head.tobytes() + b"".join(joined), place
+
+
+def _block(rows: list[tuple[int, bool, bytes]], find, n_buckets: int) -> dict:
+    """A block's row: a hash of its contents, and they, compressed: its units; and its documents (id, mark of a null
+    id, numbers of their words), with the places of the units of each distinct word."""
+    words, texts = _Numbers(), []
+    for _, _, text in rows:
+        texts.append(np.array([words[w] for w in _words(text.decode())], np.int32))
+    units = _Numbers()
+    parts = [[units[u] for u in find(SPACE + w)] for w in words]
+    told, place = _units(list(units), n_buckets)
+    flat = place[np.fromiter((u for x in parts for u in x), np.int64)]
+    each = np.concatenate(texts)
+    head = np.array([len(rows), len(each), len(parts), len(flat), len(place)], np.int64).tobytes()
+    ids = np.array([r[0] for r in rows], np.int64).tobytes() + np.array([r[1] for r in rows], np.uint8).tobytes()
+    counts = (np.array([len(x) for x in texts]), each, np.array([len(x) for x in parts]), flat)
+    first = zstandard.compress(told, 3)
+    packed = len(first).to_bytes(8, "little") + first + zstandard.compress(head + ids + b"".join(map(_planes, counts)), 3)
+    return {"block": [xxhash.xxh64_intdigest(packed) - (1 << 63)], "packed": [packed]}
+
+
+def _pack(frames: Iterator[pd.DataFrame], pattern: str, n_buckets: int, block_bytes: int) -> Iterator[pd.DataFrame]:
+    find = re.compile(pattern).findall
+    rows, held = [], 0
+    for x in frames:
+        for i, null, text in zip(x["doc_id"], x["no_id"], x["text"], strict=True):
+            rows.append((i, null, text := bytes(text)))
+            held += len(text) + 64
+            if held >= block_bytes:
+                yield pd.DataFrame(_block(rows, find, n_buckets))
+                rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(_block(rows, find, n_buckets))
 
 
-def _places(frames: Iterator[pd.DataFrame], pattern: str, n_buckets: int) -> Iterator[pd.DataFrame]:
-    """Rows of a block's units in a bucket, joined by SEPARATOR; a unit that holds it has a row of its own."""
-    find = re.compile(pattern).findall
+def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a block's units in a bucket, with the place of the first."""
     for x in frames:
         for block, packed in zip(x["block"], x["packed"], strict=True):
-            words: dict[str, None] = {}
-            for _, text in _unblock(packed):
-                words.update(dict.fromkeys(_words(text)))
-            own: dict[str, None] = {}
-            for w in words:
-                own.update(dict.fromkeys(find(SPACE + w)))
-            units = list(own)
-            order, buckets = _bucketed(units, n_buckets)
-            units = [units[i] for i in order.tolist()]
-            odd = [i for i, u in enumerate(units) if SEPARATOR in u]
-            cuts = np.unique(np.concatenate([[0, len(units)], np.flatnonzero(np.diff(buckets)) + 1, odd, np.array(odd, np.int64) + 1]).astype(np.int64)).tolist()
-            spans = list(zip(cuts, cuts[1:], strict=False))
-            yield pd.DataFrame({"bucket": [int(buckets[a]) for a, _ in spans], "block": block, "first": [a for a, _ in spans], "units": [SEPARATOR.join(units[a:b]) for a, b in spans], "alone": [b == a + 1 for a, b in spans]})
+            raw = zstandard.decompress(packed[8 : 8 + int.from_bytes(packed[:8], "little")])
+            n = int.from_bytes(raw[:4], "little")
+            cuts, buckets, sizes = np.split(np.frombuffer(raw, np.int32, 3 * n + 1, 4), [n + 1, 2 * n + 1])
+            joined = _runs(raw, 8 + 12 * n + _edges(sizes))
+            yield pd.DataFrame({"bucket": buckets, "block": block, "first": cuts[:-1], "units": [u.decode() for u in joined], "alone": np.diff(cuts) == 1})
 
 
 def _answer(key, rows: pa.Table, known: pa.Table, wide: bool) -> pa.Table:
@@ -216,41 +245,48 @@ def _answer(key, rows: pa.Table, known: pa.Table, wide: bool) -> pa.Table:
     return pa.table({"own": rows["block"], "found": pa.array(found, pa.binary())})
 
 
-def _assemble(key, blocks: pa.Table, known: pa.Table, pattern: str, n_buckets: int, wide: bool, surface: list[bytes] | None) -> pa.Table:
+def _assemble(key, blocks: pa.Table, known: pa.Table, wide: bool, surface: list[bytes] | None) -> pa.Table:
     """Ids of a block's documents. Equal blocks share a key and have the same units; blocks that differ can't pass for
     each other, as the number of units is checked."""
-    find = re.compile(pattern).findall
-    by_place: dict[int, bytes] = {}
+    sizes, flat = {}, {}
     for found in known["found"]:
         raw = zstandard.decompress(found.as_py())
         first, n = np.frombuffer(raw, np.int32, 2).tolist()
-        ends = np.cumsum(np.frombuffer(raw, np.int32, n, 8), dtype=np.int64) * 4
-        flat = np.frombuffer(raw, np.int32 if wide else np.uint16, -1, 8 + 4 * n).astype(np.int32).tobytes()
-        by_place.update(enumerate([flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)], first))
+        sizes[first] = np.frombuffer(raw, np.int32, n, 8)
+        flat[first] = np.frombuffer(raw, np.int32 if wide else np.uint16, -1, 8 + 4 * n).astype(np.int32)
+    first = sorted(sizes)
+    edges = _edges(np.concatenate([np.zeros(0, np.int32), *[sizes[i] for i in first]]))
+    ids = np.concatenate([np.zeros(0, np.int32), *[flat[i] for i in first]])
+    del sizes, flat
+    if surface:
+        letters, at = np.frombuffer(b"".join(surface), np.uint8), _edges([len(x) for x in surface])
     out = {"doc_id": [], "n_units": [], "packed": []} | ({"decoded": []} if surface else {})
     for packed in blocks["packed"]:
-        words, texts = _Numbers(), []
-        for i, text in _unblock(packed.as_py()):
-            out["doc_id"].append(i)
-            texts.append(np.array([words[w] for w in _words(text)], np.int32))
-        units = _Numbers()
-        parts = [[units[u] for u in find(SPACE + w)] for w in words]
-        del words
-        order, _ = _bucketed(list(units), n_buckets)
-        del units
-        if len(order) != len(by_place):
+        packed = packed.as_py()
+        raw = zstandard.decompress(packed[8 + int.from_bytes(packed[:8], "little") :])
+        n, n_each, n_words, n_parts, n_units = np.frombuffer(raw, np.int64, 5).tolist()
+        if n_units != len(edges) - 1:
             raise ValueError("blocks share a key but not their units")
-        ids: list[bytes] = [b""] * len(order)
-        for place, number in enumerate(order.tolist()):
-            ids[number] = by_place[place]
-        counts = np.array([len(x) for x in parts], np.int64)
-        out["n_units"] += [int(counts[own].sum()) for own in texts]
-        of_word = [b"".join([ids[u] for u in x]) for x in parts]
-        out["packed"] += [b"".join([of_word[w] for w in own.tolist()]) for own in texts]
+        nulls = np.frombuffer(raw, np.uint8, n, 40 + 8 * n).tolist()
+        out["doc_id"] += [None if null else i for i, null in zip(np.frombuffer(raw, np.int64, n, 40).tolist(), nulls, strict=True)]
+        at_doc, places = 40 + 9 * n, []
+        for size in (n, n_each, n_words, n_parts):
+            places.append(_numbers(raw, at_doc, size))
+            at_doc += 4 * size
+        del raw
+        lengths, each, counts, parts = places
+        docs, words = _edges(lengths), _edges(counts)
+        total = _edges(counts[each])
+        out["n_units"] += (total[docs[1:]] - total[docs[:-1]]).tolist()
+        del total
+        own, own_edges = _gather(ids, edges, parts)
+        of_word = _runs(own.tobytes(), 4 * own_edges[words])
+        texts = [each[a:b].tolist() for a, b in zip(docs, docs[1:], strict=False)]
+        out["packed"] += [b"".join(map(of_word.__getitem__, x)) for x in texts]
         if surface:
-            spelt = [b"".join([surface[k] for k in np.frombuffer(x, np.int32).tolist()]) for x in ids]
-            of_word = [b"".join([spelt[u] for u in x]) for x in parts]
-            out["decoded"] += [_spoken(b"".join([of_word[w] for w in own.tolist()])) for own in texts]
+            spelt, ends = _gather(letters, at, own)
+            of_word = _runs(spelt.tobytes(), ends[own_edges[words]])
+            out["decoded"] += [_spoken(b"".join(map(of_word.__getitem__, x))) for x in texts]
     kinds = {"doc_id": pa.int64(), "n_units": pa.int64(), "packed": pa.binary(), "decoded": pa.string()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
@@ -274,8 +310,8 @@ def encode(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, id_col
     total = int(light.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0)
     n, n_units = (min(100_000, max(2, -(-total // size))) for size in (block_bytes, UNIT_BYTES))
     pattern, wide = model.pattern, len(model.pieces) > 1 << 16
-    blocks = light.mapInPandas(lambda frames: _pack(frames, block_bytes), "block long, packed binary").repartition(n, "block")
-    rows = blocks.mapInPandas(lambda frames: _places(frames, pattern, n_units), "bucket int, block long, first int, units string, alone boolean").repartition(n_units, "bucket")
+    blocks = light.mapInPandas(lambda frames: _pack(frames, pattern, n_units, block_bytes), "block long, packed binary").repartition(n, "block")
+    rows = blocks.mapInPandas(_places, "bucket int, block long, first int, units string, alone boolean").repartition(n_units, "bucket")
     units = F.when(F.col("alone"), F.array("units")).otherwise(F.split("units", SEPARATOR))
     places = rows.select("bucket", "block", "first", F.posexplode(units).alias("at", "unit")).select("bucket", "block", (F.col("first") + F.col("at")).alias("place"), "unit")
     # reads every column, so that both uses of the places share one exchange
@@ -283,7 +319,7 @@ def encode(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, id_col
     known = encode_units(own.select("bucket", "unit"), model).withColumnRenamed("bucket", "own_bucket")
     found = rows.groupBy("bucket").cogroup(known.groupBy("own_bucket")).applyInArrow(on_pair(_answer, wide=wide), "own long, found binary")
     schema = "doc_id long, n_units long, packed binary" + ", decoded string" * decoded
-    f = on_pair(_assemble, pattern=pattern, n_buckets=n_units, wide=wide, surface=model.surface() if decoded else None)
+    f = on_pair(_assemble, wide=wide, surface=model.surface() if decoded else None)
     return blocks.groupBy("block").cogroup(found.groupBy("own")).applyInArrow(f, schema)
 
 
