@@ -2,7 +2,7 @@
 
 A text is cut into units that no piece reaches across: the escaped space begins one, letters and other characters part
 (where the model has no piece that mixes them), and characters that are in no longer piece stand alone. Documents are
-packed into compressed blocks of about 4 MB of text, which hold the numbers of their words and the units of each
+packed into compressed blocks of about 8 MB of text, which hold the numbers of their words and the units of each
 distinct word, so that a text is split once; a block's distinct units go, once each, to buckets by their hash, so that
 each unit of the whole table is encoded once, however many blocks hold it. Substrings of a unit of at most the longest
 piece's length are exploded and equi-joined to the piece table (its size is the model's, broadcast); edges are grouped
@@ -36,7 +36,7 @@ from codeatlas.llm.common import on_pair
 
 SPACE = "▁"
 #: Bytes of text in a block of documents, and for each partition of units.
-BLOCK_BYTES, UNIT_BYTES = 4 << 20, 2 << 20
+BLOCK_BYTES, UNIT_BYTES = 8 << 20, 2 << 20
 #: Between units that travel in one row.
 SEPARATOR = "\x1f"
 _SPACED = re.compile(f"{SPACE}+[^{SPACE}]*")
