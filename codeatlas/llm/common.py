@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,11 +109,31 @@ def chunks(lengths: np.ndarray, most: int):
         yield at, len(lengths)
 
 
+def give_back() -> None:
+    """Hand memory that is no longer in use back to the system: Python workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def on_group(f, **kw):
     """f with its settings, as a function of one group."""
-    return lambda pdf: f(pdf, **kw)
+
+    def run(pdf):
+        out = f(pdf, **kw)
+        give_back()
+        return out
+
+    return run
 
 
 def on_pair(f, **kw):
     """f with its settings, as a function of a key and two groups that share it."""
-    return lambda key, a, b: f(key, a, b, **kw)
+
+    def run(key, a, b):
+        out = f(key, a, b, **kw)
+        give_back()
+        return out
+
+    return run

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeatlas.llm.common import give_back
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
@@ -177,6 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shingl
             for x in frames:
                 for key, n in shared.value.held([words_of(t) for t in x["text"]]).items():
                     total[key] = total.get(key, 0) + n
+            give_back()
             yield pd.DataFrame([(k, v, n) for (k, v), n in total.items()], columns=["size", "key", "n"])
 
         counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(rarity, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
@@ -202,7 +205,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shingl
                     counts.append(0 if old is None else int(np.bitwise_count(np.frombuffer(old, np.uint8)).sum()))
                     items.append(sorted({*had, *found}))
                 x["_hits"], x["_items"], x["_n"], x["_hit"] = hits, items, sizes, counts
+                del words
                 yield x[schema.names]
+            give_back()
 
         out = out.mapInPandas(search, schema)
     out = out.withColumns({"n_words": F.col("_n"), "n_hit": F.col("_hit"), "items": F.col("_items")})

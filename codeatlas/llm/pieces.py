@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import on_pair
+from codeatlas.llm.common import give_back, on_pair
 
 SPACE = "▁"
 #: Bytes of text in a block of documents, and for each partition of units.
@@ -215,6 +215,8 @@ def _pack(frames: Iterator[pd.DataFrame], pattern: str, n_buckets: int, block_by
                 rows, held = [], 0
     if rows:
         yield pd.DataFrame(_block(rows, find, n_buckets))
+        rows = []
+    give_back()
 
 
 def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,6 +228,7 @@ def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cuts, buckets, sizes = np.split(np.frombuffer(raw, np.int32, 3 * n + 1, 4), [n + 1, 2 * n + 1])
             joined = _runs(raw, 8 + 12 * n + _edges(sizes))
             yield pd.DataFrame({"bucket": buckets, "block": block, "first": cuts[:-1], "units": [u.decode() for u in joined], "alone": np.diff(cuts) == 1})
+    give_back()
 
 
 def _answer(key, rows: pa.Table, known: pa.Table, wide: bool) -> pa.Table:

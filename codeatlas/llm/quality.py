@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import save
+from codeatlas.llm.common import give_back, save
 
 FEATURES = 16
 
@@ -102,6 +102,7 @@ def score(docs: DataFrame, weights: np.ndarray, host_col: str = "source", path_c
     @F.pandas_udf("double")
     def probability(text: pd.Series) -> pd.Series:
         z = [w[0] + float(features(t) @ np.array(w[1:])) for t in text]
+        give_back()
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))), dtype="float64")
 
     key = F.coalesce(docs[host_col].cast("string"), F.lit(""))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import save
+from codeatlas.llm.common import give_back, save
 
 _BIG = (1 << 63) - 1
 
@@ -53,7 +53,9 @@ def fingerprint(text: str | None, size: int = 4) -> int:
 def _fp_udf(size: int):
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, size) for t in text], dtype="int64")
+        out = pd.Series([fingerprint(t, size) for t in text], dtype="int64")
+        give_back()
+        return out
 
     return fp
 
