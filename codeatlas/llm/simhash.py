@@ -1,4 +1,4 @@
-"""SimHash near-dedup by covering locality-sensitive hashing.
+"""SimHash near-dedup by covering locality-sensitive hashing, and near-dedup by verified similarity (``keep_one``).
 
 Fingerprints: 64 majority bits over the XXH64 of word shingles. Tables: each of the 2**(r+1) - 1 nonzero vectors v of
 r+1 bits makes a mask, the bits i whose own vector c(i) has an odd product with v. The at most r bits in which two
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import give_back, save
+from codeatlas.llm.common import give_back, mix, save
 
 _BIG = (1 << 63) - 1
 
@@ -191,14 +191,161 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, bucket_rows
     )
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 4, bucket_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: the one with the smallest id (any one, of rows that repeat it)."""
-    own = save(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    first = _named(own, radius, bucket_rows).filter("rep = component_id").select(F.col("fp").alias("_fp"), F.col("rep").alias("_rep"))
-    key = F.when(F.col("no_id"), F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))).otherwise(F.col("doc_id"))
+def shingles(text: str | None, size: int) -> tuple[int, np.ndarray]:
+    """A key of the text's words (lower-cased A-Z) and the sorted distinct hashes of its shingles of ``size`` words."""
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    key = xxhash.xxh64_intdigest(joined, 7)
+    if not words:
+        return key, np.zeros(0, np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(length + 1) - 1
+    start = (end - length).tolist()
+    end = end[-max(1, len(words) - size + 1) :].tolist()
+    one = xxhash.xxh64_intdigest
+    return key, np.unique(np.array([one(joined[a:b], 42) for a, b in zip(start, end, strict=False)], np.uint64))
+
+
+def _key_udf():
+    @F.pandas_udf("long")
+    def key(text: pd.Series) -> pd.Series:
+        out = [_signed(xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7)) for t in text]
+        give_back()
+        return pd.Series(out, dtype="int64")
+
+    return key
+
+
+#: Sketch of the shingle sets: BANDS keys of ROWS smallest hashes each. Two sets of similarity 0.8 share a key but for
+#: 3 in a million pairs, (1 - 0.8**ROWS)**BANDS.
+BANDS, ROWS = 24, 4
+_FLIP, _ODD = (np.random.default_rng(5).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
+_FLIP, _ODD = mix(_FLIP), mix(_ODD + np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)[:, None]) | np.uint64(1)
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """The band keys of a shingle set; none of an empty one."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(own), 1 << 12):
+        low = np.minimum(low, ((own[i : i + (1 << 12)] ^ _FLIP) * _ODD).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for part in low.reshape(BANDS, ROWS).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + part)
+    return key.view(np.int64)
+
+
+def _sketches(size: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            for i in range(0, len(x), 1000):
+                part = x.iloc[i : i + 1000]
+                sets = [shingles(t, size) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "fp": [_signed(k) for k, _ in sets], "n": [len(v) for _, v in sets], "bands": [bands(v) for _, v in sets], "own": [v.tobytes() for _, v in sets]})
+            give_back()
+
+    return run
+
+
+def _similar_forest(sets: list[np.ndarray], share: int, of: int) -> np.ndarray:
+    """Index of the first member of each set's component; sets are linked at a Jaccard similarity of share / of."""
+    n = np.array([len(x) for x in sets], np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    parts = np.split(codes, np.cumsum(n)[:-1])
+    mark = np.zeros(int(codes.max()) + 1, bool)
+    root, left = np.full(len(sets), -1), np.arange(len(sets))
+    while len(left):
+        seed, left = left[0], left[1:]
+        root[seed] = seed
+        front = [seed]
+        while front and len(left):
+            a = front.pop()
+            able = (n[left] * of >= n[a] * share) & (n[a] * of >= n[left] * share)
+            if not able.any():
+                continue
+            mark[parts[a]] = True
+            own = left[able]
+            both = np.add.reduceat(mark[np.concatenate([parts[b] for b in own])].astype(np.int64), np.concatenate([[0], np.cumsum(n[own])[:-1]]))
+            mark[parts[a]] = False
+            near = both * of >= (n[a] + n[own] - both) * share
+            root[own[near]] = seed
+            front.extend(own[near].tolist())
+            left = np.setdiff1d(left, own[near], assume_unique=True)
+    return root
+
+
+def _verify(share: int, of: int):
+    def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by group; a group may go on in the next frame."""
+        rest: list[pd.DataFrame] = []
+
+        def solve(x: pd.DataFrame) -> pd.DataFrame:
+            g, rep = x["grp"].to_numpy(), x["rep"].to_numpy()
+            raw = x["own"].to_numpy()
+            cut = [*np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])).tolist(), len(g)]
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(cut, cut[1:], strict=False):
+                if b - a > 1:
+                    root = _similar_forest([np.frombuffer(y, np.uint64) for y in raw[a:b]], share, of)
+                    own = np.flatnonzero(root != np.arange(b - a))
+                    u.append(rep[a + root[own]])
+                    v.append(rep[a + own])
+            return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+        for x in frames:
+            if not len(x):
+                continue
+            g = x["grp"].to_numpy()
+            if rest and g[0] == rest[0]["grp"].iat[0] and g[-1] == g[0]:
+                rest.append(x)
+                continue
+            cut = int(np.argmax(g == g[-1]))
+            done = pd.concat([*rest, x.iloc[:cut]], ignore_index=True)
+            rest = [x.iloc[cut:]]
+            if len(done):
+                yield solve(done)
+                give_back()
+        if rest:
+            yield solve(pd.concat(rest, ignore_index=True))
+        give_back()
+
+    return links
+
+
+def similar_links(own: DataFrame, distinct: DataFrame, share: int = 4, of: int = 5, group_shingles: int = 1 << 20) -> DataFrame:
+    """Links (u, v) that connect what any two texts of a band with a similarity of share / of connect. own: the saved
+    sketches; distinct: fp, rep, n, bands. Bands with the same members are searched once; one that holds more than
+    ``group_shingles`` is dealt into parts, and each two parts are searched together."""
+    spread = distinct.select("rep", "n", F.explode("bands").alias("band"))
+    same = spread.groupBy("band").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.sum("n").alias("total")).filter("rows > 1")
+    once = save(same.groupBy("rows", "mark", "low", "high", "total").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("total") / group_shingles).alias("parts")), "bands")
+    dealt = spread.join(once, "band").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    dealt = dealt.select("rep", "band", "part", other).select("rep", F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other")).alias("grp"))
+    members = save(dealt, "members")
+    wanted = distinct.select("fp", "rep").join(members.select("rep").distinct(), "rep", "left_semi")
+    # one row of each text: the one that gave it its number, or any of those without an id
+    sets = own.join(wanted, "fp").filter("doc_id = rep or rep >= 4611686018427387904").select("rep", "own")
+    sets = save(sets.groupBy("rep").agg(F.first("own").alias("own")), "sets")
+    return members.join(sets, "rep").repartition("grp").sortWithinPartitions("grp", "rep").mapInPandas(_verify(share, of), "u long, v long").distinct()
+
+
+def keep_one(docs: DataFrame, size: int = 5, share: int = 4, of: int = 5, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = 1 << 20) -> DataFrame:
+    """One row of each component of texts whose shingle sets have a Jaccard similarity of share / of or more: the one
+    with the smallest id (any one, of rows that repeat it). Fingerprints of 64 bits can't do this: at 0.8 they differ in
+    about 10 bits. Candidates come from the bands instead, and each link is verified over the whole sets."""
+    light = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_BIG)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).cast("string").alias("text"))
+    own = save(light.mapInPandas(_sketches(size), "doc_id long, no_id boolean, fp long, n long, bands array<long>, own binary"), "sketches")
+    none = F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))
+    distinct = own.groupBy("fp").agg(F.coalesce(F.min(F.when(~F.col("no_id"), F.col("doc_id"))), none).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = save(distinct, "distinct")
+    found = components(similar_links(own, distinct, share, of, group_shingles))
+    first = distinct.join(found, distinct["rep"] == found["node"], "left").filter("component is null or component = rep").select(F.col("fp").alias("_fp"), F.col("rep").alias("_rep"))
+    key = F.when(F.col("no_id"), none).otherwise(F.col("doc_id"))
     first = first.join(own.select("fp", key.alias("key")), (F.col("_fp") == F.col("fp")) & (F.col("_rep") == F.col("key"))).groupBy("_fp", "_rep").agg((F.count("*") > 1).alias("_again"))
     first = save(first, "first")
-    marked = docs.withColumn("_own", _fp_udf(size)(docs[text_col].cast("string")))
+    marked = docs.withColumn("_own", _key_udf()(docs[text_col].cast("string")))
     rep = F.coalesce(docs[id_col].cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("_own"), F.lit(1 << 61)))
     kept = marked.withColumn("_id", rep).join(first, (F.col("_own") == F.col("_fp")) & (F.col("_id") == F.col("_rep")))
     once, again = kept.filter("not _again"), kept.filter("_again").dropDuplicates(["_fp", "_rep"])

@@ -110,6 +110,24 @@ def test_keep_one(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_one(docs(spark, rows)).collect()) == ["1", "3", "None"]
 
 
+@pytest.mark.parametrize("group_shingles", [1 << 20, 300])
+def test_keep_one_takes_near_copies_from_080(spark, group_shingles):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 104)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:-11])), (10 * k + 2, " ".join(words[:-30])), (10 * k + 3, " ".join(words[11:]))]
+    rows += [(1000, "a " * 400 + "b c d e f g"), (1001, "a " * 400), (1002, BASE.upper()), (1003, BASE)]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows for w in [t.lower().split()]}
+    root = {i: i for i in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id for r in simhash.keep_one(docs(spark, rows), group_shingles=group_shingles).collect()}
+    assert got == set(root.values()) and {0, 2, 1000, 1001} <= got and not {1, 3, 1003} & got
+
+
 @pytest.mark.parametrize("block", [1_000_000, 20])
 def test_decontamination(spark, block):
     items = spark.createDataFrame([(1, BASE[100:260]), (2, "short"), (3, None), (4, "nothing like it")], "item_id long, text string")
