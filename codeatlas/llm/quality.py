@@ -7,6 +7,9 @@ corpus's, a path's toward its host's, each by a strength that the method of mome
 really vary. A document's own share is left out of the evidence about its site. The final log odds are the
 document's, moved by how far its path's posterior odds are from the corpus's; sparse sites hardly move them.
 
+Toxic documents are a second target, since most of them read well: a logistic classifier over windows of six bytes,
+without the sites' evidence.
+
 Host: ``host_col`` up to its first slash; path: the rest of it, and the columns ``path_cols``. Null keys are empty
 strings, null text is empty. Labels of ids that repeat count as they are; rows with null labels or ids are left out.
 With labels of one class only, or none, every document gets the smoothed share of good ones. Rows are rows of their
@@ -15,6 +18,8 @@ own, and all columns of docs stay, whatever their names; an empty table gives an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,6 +86,94 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
     return fit(x[order], rows["_y"].to_numpy(float)[order]) if len(rows) else fit(x, np.zeros(0))
 
 
+#: Windows of a text are told apart by hashes below GRAMS.
+WINDOW, GRAMS = 6, 1 << 22
+_FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256)], np.uint64)
+
+
+def grams(text: str | None) -> np.ndarray:
+    """Hashes of the windows of six bytes of a text: lower-cased (A-Z), marks and white space as spaces, one at each end."""
+    b = np.concatenate([[32], _FOLD[np.frombuffer((text or "").encode(), np.uint8)], [32]]).astype(np.uint64)
+    n = len(b) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for j in range(WINDOW):
+        h = (h << np.uint64(8)) | b[j : j + n]
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+
+
+def present(text: str | None, place: np.ndarray, n: int) -> np.ndarray:
+    """Which of n chosen windows a text has. place: the number of each hash among them, or n."""
+    out = np.zeros(n + 1, bool)
+    out[place[grams(text)]] = True
+    return out[:n]
+
+
+def placed(chosen: np.ndarray) -> np.ndarray:
+    place = np.full(GRAMS, len(chosen), np.int16)
+    place[chosen] = np.arange(len(chosen), dtype=np.int16)
+    return place
+
+
+def train_toxic(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_windows: int = 512, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
+    """(windows, weights) of a logistic classifier fitted on at most ``sample`` labelled rows, over which of the
+    ``n_windows`` windows that tell most about the label a text has. The driver gets no texts."""
+    chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y is not null")
+    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
+    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(docs[text_col].cast("string").alias("text"), "_y").limit(4 * sample)
+    rows = save(rows, "labelled")  # the bound is the sample's
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, bad = np.zeros(GRAMS, np.int32), np.zeros(GRAMS, np.int32)
+        for x in frames:
+            for t, y in zip(x["text"], x["_y"], strict=True):
+                g = np.unique(grams(t))
+                n[g] += 1
+                if y > 0.5:
+                    bad[g] += 1
+        g = np.flatnonzero(n)
+        for i in range(0, len(g), 1 << 16):
+            part = g[i : i + (1 << 16)]
+            yield pd.DataFrame({"gram": part, "n": n[part], "bad": bad[part]})
+        del n, bad
+        give_back()
+
+    of = rows.agg(F.count("*"), F.sum(F.when(F.col("_y") > 0.5, 1).otherwise(0))).first()
+    total, toxic = int(of[0]), int(of[1] or 0)
+    if not 0 < toxic < total:
+        return np.zeros(0, np.int64), fit(np.zeros((total, 0)), np.full(total, float(toxic > 0)))
+    told = rows.mapInPandas(count, "gram long, n long, bad long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    expected = F.col("n") * (toxic / total)
+    # how far the toxic rows among those that have the window are from their share, in deviations
+    told = told.filter("n > 4").withColumn("z", F.round(F.abs(F.col("bad") - expected) / F.sqrt(expected * (1 - toxic / total) * (1 - (F.col("n") - 1) / total) + 1), 6))
+    best = np.array(sorted(r["gram"] for r in told.orderBy(F.desc("z"), "gram").limit(n_windows).collect()), np.int64)
+
+    @F.pandas_udf("binary")
+    def vector(text: pd.Series) -> pd.Series:
+        place = placed(best)
+        return pd.Series([np.packbits(present(t, place, len(best))).tobytes() for t in text])
+
+    got = rows.select(vector("text").alias("x"), "_y").toPandas()  # 64 bytes a row of the sample
+    got = got.sort_values(["x", "_y"])
+    x = np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=len(best)) for b in got["x"]], float).reshape(len(got), -1)
+    return best, fit(x, (got["_y"].to_numpy(float) > 0.5).astype(float), ridge=10.0)
+
+
+def score_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs with p_toxic and toxic: p_toxic of the threshold or more."""
+    best, w = model
+
+    @F.pandas_udf("double")
+    def probability(text: pd.Series) -> pd.Series:
+        place = placed(best)
+        z = [w[0] + float(w[1:][present(t, place, len(best))].sum()) for t in text]
+        give_back()
+        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))), dtype="float64")
+
+    return docs.withColumn("p_toxic", probability(docs[text_col].cast("string"))).withColumn("toxic", F.col("p_toxic") >= threshold)
+
+
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 

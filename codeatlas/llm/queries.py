@@ -17,8 +17,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    weights = quality.train(docs, _table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights).select("doc_id", *[F.round(c, 9).alias(c) for c in ("p_document", "p_site", "p_quality")], "keep")
+    labels = _table(spark, sf_dir, "labels")
+    scored = quality.score(quality.score_toxic(docs, quality.train_toxic(docs, labels)), quality.train(docs, labels))
+    return scored.select("doc_id", *[F.round(c, 9).alias(c) for c in ("p_document", "p_site", "p_quality", "p_toxic")], "keep", "toxic")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

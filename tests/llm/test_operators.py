@@ -176,3 +176,22 @@ def test_quality_shrinks_sites(spark):
     got = {r.doc_id: r for r in quality.score(t, quality.train(t, labels)).collect()}
     assert len(got) == 61 and got[41].keep and not got[42].keep and 0 < got[99].p_site < 1
     assert quality.score(t.limit(0), quality.train(t, labels.limit(0))).count() == 0
+
+
+def test_toxic_words_are_caught(spark):
+    rng = np.random.default_rng(8)
+    words = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(800):
+        own = [words[k] for k in rng.integers(0, 300, 60)]
+        if i % 6 == 0:
+            own[30] = "Nasty," if i % 4 else "horrid"
+        rows.append((i, " ".join(own)))
+    rows.append((None, None))
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(600)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.toxic for r in quality.score_toxic(t, quality.train_toxic(t, labels)).collect()}
+    assert len(got) == 801 and all(got[i] == (i % 6 == 0) for i in range(800)) and not got[None]
+    none = quality.train_toxic(t, labels.filter("toxic = 0"))
+    assert not any(r.toxic for r in quality.score_toxic(t, none).collect())
+    assert quality.score_toxic(t.limit(0), quality.train_toxic(t, labels.limit(0))).count() == 0
