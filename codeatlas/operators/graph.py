@@ -107,12 +107,13 @@ def personalized_pagerank(ids: DataFrame, edges: DataFrame, seeds: DataFrame, ro
     return rank
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, component) of nodes in a cycle's component (2 nodes or more), by forward and backward colouring: the least
-    id that reaches a node colours it, and what its colour's own node is reached from within the colour is one."""
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of nodes in a cycle's component (2 nodes or more, named by the least), by forward and backward
+    colouring until no edges are left: the first node, in an order drawn anew each round, that reaches a node colours
+    it, and what reaches its colour's own node within the colour is one. Edges between colours are in no cycle."""
     left = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "scc")
-    done = None
-    for _ in range(max_rounds):
+    done, turn = None, 0
+    while True:
         # nodes without an edge in or out are in no cycle
         while True:
             kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
@@ -123,23 +124,26 @@ def strong_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
                 break
         if left.isEmpty():
             break
-        colour = least_label(left)
+        colour = least_label(left, F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id"))
         inside = left.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").filter("a = b").select("src", "dst")
         inside = materialize(inside, "scc")
-        back = bfs(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.filter("id = label"))
-        found = materialize(back.select("id").join(colour, "id").select("id", F.col("label").alias("component")), "scc")
-        found = found.join(found.groupBy("component").count().filter("count > 1").select("component"), "component").select("id", "component")
+        back = bfs(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.filter("id = label.id"))
+        found = materialize(back.select("id").join(colour, "id").select("id", "label"), "scc")
+        found = found.join(found.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("component")).filter("n > 1").select("label", "component"), "label").select("id", "component")
         done = found if done is None else done.unionByName(found)
         gone = back.select("id")
-        left = materialize(left.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc")
+        left = materialize(inside.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc")
+        turn += 1
+        if turn % 8 == 0:
+            done = materialize(done, "scc")
     return done if done is not None else edges.sparkSession.createDataFrame([], "id long, component long")
 
 
-def least_label(pairs: DataFrame, both_ways: bool = False) -> DataFrame:
-    """(id, label): the least id that reaches each node (over either direction, if asked)."""
+def least_label(pairs: DataFrame, order: Column | None = None, both_ways: bool = False) -> DataFrame:
+    """(id, label): the least id, or least ``order``, that reaches each node (over either direction, if asked)."""
     if both_ways:
         pairs = pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    label = materialize(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct().withColumn("label", F.col("id")), "labels")
+    label = materialize(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct().withColumn("label", F.col("id") if order is None else order), "labels")
     while True:
         got = pairs.join(label, pairs["src"] == label["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("got"))
         new = materialize(label.join(got, "id", "left").select("id", F.least("label", F.coalesce("got", "label")).alias("label"), (F.col("got") < F.col("label")).alias("moved")), "labels")

@@ -23,6 +23,13 @@ def test_strong_components(spark):
     assert {(r.id, r.component) for r in G.strong_components(edges(spark)).collect()} == {(2, 2), (4, 2)}
 
 
+def test_strong_components_of_many_cycles_in_a_row(spark):
+    """Sixty cycles, each with an edge to every later one."""
+    rows = [(10 * i, 10 * i + 1) for i in range(60)] + [(10 * i + 1, 10 * i) for i in range(60)] + [(10 * i, 10 * j) for i in range(60) for j in range(i + 1, 60)]
+    got = {(r.id, r.component) for r in G.strong_components(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    assert got == {(10 * i + k, 10 * i) for i in range(60) for k in (0, 1)}
+
+
 def test_fan_leaves_out_synthesized(spark):
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 8, 9)], "id long")
     got = {r.id: (r.fan_in, r.fan_out) for r in G.fan(nodes, edges(spark)).collect()}
