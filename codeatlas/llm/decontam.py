@@ -10,7 +10,7 @@ The benchmark is read in blocks of bounded size, ``block_windows`` windows each;
 a broadcast of that bound, and documents pass the blocks one after another, so no row is joined with all items.
 
 Null text has no words. Items without words have no windows. Item ids are text in the results; items that share an
-id count once. Documents are rows of their own, whatever their ids.
+id count once, and the windows of items without an id count as hits only. Documents are rows of their own, whatever their ids.
 """
 
 from __future__ import annotations
@@ -35,14 +35,14 @@ def words_of(text: str | None) -> list[bytes]:
 class Index:
     """One block of benchmark windows, to search documents for."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], width: int, shingle: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int, shingle: int):
         self.width, self.shingle = width, shingle
         self.vocabulary: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], set[str]] = {}
         for item, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + width]), set()).add(item)
+                windows.setdefault(tuple(ids[i : i + width]), set()).update(() if item is None else (item,))
         self.items = [sorted(x) for x in windows.values()]
         self.lengths = np.array([len(x) for x in windows], np.int64)
         self.words = np.zeros((len(windows), width), np.int64)
@@ -154,10 +154,10 @@ class Index:
 def blocks(benchmark: DataFrame, width: int, block_windows: int, item_col: str, text_col: str) -> list[DataFrame]:
     """The benchmark in parts of about ``block_windows`` windows: an item counts at most one window for every two of
     its characters."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     n = max(1, int(-(-total // block_windows)))
-    return [items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i) for i in range(n)]
+    return [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, share: int = 20, block_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -167,11 +167,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shingl
         raise ValueError("shingle must be from 1 to width")
     spark = docs.sparkSession
     out = docs.withColumns({"_hits": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>"), "_n": F.lit(0).cast("long"), "_hit": F.lit(0).cast("long")})
+    searched = False
     for part in blocks(benchmark, width, block_windows, item_col, item_text_col):
         index = Index([(r["item"], words_of(r["text"])) for r in part.toLocalIterator()], width, shingle)
         if not index.items:
             continue
 
+        searched = True
         shared = spark.sparkContext.broadcast(index)
 
         def rarity(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -210,5 +212,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shingl
             give_back()
 
         out = out.mapInPandas(search, schema)
+    if not searched:
+
+        @F.pandas_udf("long")
+        def n_words(text: pd.Series) -> pd.Series:
+            return pd.Series([len(words_of(t)) for t in text], dtype="int64")
+
+        out = out.withColumn("_n", n_words(docs[text_col].cast("string")))
     out = out.withColumns({"n_words": F.col("_n"), "n_hit": F.col("_hit"), "items": F.col("_items")})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).drop("_hits", "_items", "_n", "_hit")

@@ -135,6 +135,20 @@ def test_decontamination(spark, block):
     assert list(got[8]["items"]) == ["2"] and got[8].contaminated and list(got[1]["items"]) == ["1"] and got[4].n_words == 0 and not got[4].contaminated
 
 
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, " .,! ")]])
+def test_decontamination_counts_words_without_a_benchmark(spark, rows):
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontam.contamination(docs(spark), items).collect()}
+    assert got == {i: (len(decontam.words_of(t)), 0, [], False) for i, t in TEXTS}
+
+
+@pytest.mark.parametrize("block", [1_000_000, 20])
+def test_decontamination_hits_items_without_an_id(spark, block):
+    items = spark.createDataFrame([(None, "Short"), (None, BASE[100:260]), (7, BASE[100:260])], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"]), r.contaminated) for r in decontam.contamination(docs(spark), items, block_windows=block).collect()}
+    assert got[8] == (1, [], True) and got[1][0] > 0 and got[1][1] == ["7"] and got[4] == (0, [], False)
+
+
 def test_nearest_is_exact_at_factor_one(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 8))
