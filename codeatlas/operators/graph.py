@@ -89,8 +89,9 @@ def pagerank(ids: DataFrame, edges: DataFrame, rounds: int = 20, damping: float
     return rank.crossJoin(F.broadcast(most)).select("id", (F.col("rank") / F.col("most")).alias("rank"))  # one row
 
 
-def personalized_pagerank(ids: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(id, rank): restart at the seeds, where what dangling nodes hold goes as well."""
+def personalized_pagerank(ids: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(id, rank): restart at the seeds, where what dangling nodes hold goes as well; until no rank moves by
+    ``tolerance``, in at most ``rounds`` rounds."""
     pairs = edges.select("src", "dst").distinct()
     pairs = materialize(pairs.join(pairs.groupBy("src").agg(F.count("*").alias("deg")), "src"), "weighted")
     start = ids.select("id").join(seeds.select("id", F.lit(1.0).alias("s")), "id", "left").na.fill(0.0, ["s"])
@@ -98,12 +99,15 @@ def personalized_pagerank(ids: DataFrame, edges: DataFrame, seeds: DataFrame, ro
     start = materialize(start.withColumn("s", F.col("s") / total), "restart")
     rank = start.select("id", F.col("s").alias("rank"))
     out = pairs.select(F.col("src").alias("id")).distinct()
-    for i in range(rounds):
+    for _ in range(rounds):
         dangling = rank.join(out, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         gives = pairs.join(rank, pairs["src"] == rank["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        rank = start.join(gives, "id", "left").crossJoin(F.broadcast(dangling)).select("id", (F.col("s") * (1 - damping) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("s"))).alias("rank"))
-        if i % 5 == 4:
-            rank = materialize(rank, "ppr")
+        now = start.join(gives, "id", "left").crossJoin(F.broadcast(dangling)).select("id", (F.col("s") * (1 - damping) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("s"))).alias("rank"))
+        now = materialize(now, "ppr")
+        most = now.join(rank.select("id", F.col("rank").alias("was")), "id").agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0]
+        rank = now
+        if most is None or most < tolerance:
+            break
     return rank
 
 
@@ -153,14 +157,18 @@ def least_label(pairs: DataFrame, order: Column | None = None, both_ways: bool =
             return label
 
 
-def label_rounds(pairs: DataFrame, rounds: int = 5) -> DataFrame:
+def label_rounds(pairs: DataFrame, rounds: int = 15) -> DataFrame:
     """(id, label): synchronous label propagation, each node taking its neighbours' most frequent label (the least, of
-    ties). A deterministic stand-in for the asynchronous rule, whose fixpoint may differ."""
+    ties), until none changes, in at most ``rounds`` rounds. A deterministic stand-in for the asynchronous rule, whose fixpoint may differ."""
     both = materialize(pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "both")
     label = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):
         votes = both.join(label, both["src"] == label["id"]).groupBy(F.col("dst").alias("id"), "label").agg(F.count("*").alias("n"))
-        label = materialize(votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("x")).select("id", (-F.col("x.neg")).alias("label")), "communities")
+        now = materialize(votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("x")).select("id", (-F.col("x.neg")).alias("label")), "communities")
+        same = now.join(label.select("id", F.col("label").alias("was")), "id").filter("label <> was").isEmpty()
+        label = now
+        if same:
+            break
     return label
 
 

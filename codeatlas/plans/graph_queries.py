@@ -331,7 +331,7 @@ def pagerank(s, d):
 
 @query()
 def personalized_pagerank(s, d):
-    return G.personalized_pagerank(nodes(s, d), edges(s, d), _seeds(s, d), 10).select("id", F.round("rank", 9).alias("rank"))
+    return G.personalized_pagerank(nodes(s, d), edges(s, d), _seeds(s, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query()

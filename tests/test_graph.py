@@ -30,6 +30,25 @@ def test_strong_components_of_many_cycles_in_a_row(spark):
     assert got == {(10 * i + k, 10 * i) for i in range(60) for k in (0, 1)}
 
 
+def test_personalized_pagerank_goes_on_until_it_settles(spark):
+    n = 30
+    ids = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    ring = [(i, (i + 1) % n) for i in range(n)]
+    got = {r.id: r["rank"] for r in G.personalized_pagerank(ids, spark.createDataFrame(ring, "src long, dst long"), ids.filter("id = 0")).collect()}
+    assert all(abs(got[i] - 0.15 * 0.85**i / (1 - 0.85**n)) < 1e-5 for i in range(n))
+
+
+def test_labels_go_on_until_none_changes(spark):
+    """The least label walks down a row of triangles, each tied twice to the next."""
+    pairs = [(i, j) for i in range(9) for j in (i + 1, i + 2)]
+    both = [*pairs, *[(b, a) for a, b in pairs]]
+    label = {i: i for i in range(11)}
+    for _ in range(15):
+        votes = {i: [label[a] for a, b in both if b == i] for i in label}
+        label = {i: -max((v.count(x), -x) for x in v)[1] for i, v in votes.items()}
+    assert {r.id: r.label for r in G.label_rounds(spark.createDataFrame(pairs, "src long, dst long")).collect()} == label
+
+
 def test_fan_leaves_out_synthesized(spark):
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 8, 9)], "id long")
     got = {r.id: (r.fan_in, r.fan_out) for r in G.fan(nodes, edges(spark)).collect()}
