@@ -21,12 +21,14 @@ Null and empty texts have no ids. Rows are rows of their own, whatever their ids
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -160,46 +162,73 @@ def _runs(flat: bytes, edges: np.ndarray) -> list[bytes]:
     return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-class _Numbers(dict):
-    """Numbers things from 0 as they are first asked for."""
+def _listed(x: pa.Array) -> list[str]:
+    return x.to_numpy(zero_copy_only=False).tolist()
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
 
-
-def _units(units: list[str], n_buckets: int) -> tuple[bytes, np.ndarray]:
+def _units(units: pa.Array, n_buckets: int) -> tuple[bytes, np.ndarray]:
     """A block's units as rows of a bucket, joined by SEPARATOR (a unit that holds it has a row of its own), and the
     place of each unit: the units in the order of their buckets."""
-    bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units)) % np.uint64(n_buckets)
+    bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, _listed(units)), np.uint64, len(units)) % np.uint64(n_buckets)
     order = np.argsort(bucket, kind="stable")
     buckets = bucket[order].astype(np.int32)
-    units = [units[i] for i in order.tolist()]
-    odd = [i for i, u in enumerate(units) if SEPARATOR in u]
-    cuts = np.unique(np.concatenate([[0, len(units)], np.flatnonzero(np.diff(buckets)) + 1, odd, np.array(odd, np.int64) + 1]).astype(np.int64))
-    joined = [SEPARATOR.join(units[a:b]).encode() for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
-    head = np.concatenate([[len(joined)], cuts, buckets[cuts[:-1]], [len(x) for x in joined]]).astype(np.int32)
+    units = units.take(pa.array(order))
+    odd = np.flatnonzero(pc.match_substring(units, SEPARATOR).to_numpy(zero_copy_only=False))
+    cuts = np.unique(np.concatenate([[0, len(units)], np.flatnonzero(np.diff(buckets)) + 1, odd, odd + 1]).astype(np.int64))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), units), SEPARATOR)
+    sizes = pc.binary_length(joined).to_numpy()
+    head = np.concatenate([[len(joined)], cuts, buckets[cuts[:-1]], sizes]).astype(np.int32)
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
-    return head.tobytes() + b"".join(joined), place
+    return head.tobytes() + b"".join(_listed(joined.cast(pa.binary()))), place
+
+
+def _split(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, and how many each has."""
+    words, counts = [], []
+    odd = lambda t: t[:1] == " " or "  " in t or SPACE in t
+    for strange, own in itertools.groupby(texts, odd):
+        if strange:
+            lists = pa.array([_words(t) for t in own], pa.list_(pa.string()))
+        else:
+            lists = pc.split_pattern(pa.array([t or None for t in own], pa.string()), " ")
+        words.append(lists.flatten())
+        counts.append(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    return pa.concat_arrays(words), np.concatenate(counts)
+
+
+def _numbered(x: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct things of x, and the number of each one's."""
+    coded = x.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def _parts(words: pa.Array, find) -> tuple[pa.Array, np.ndarray]:
+    """The units of all words one after another, and how many each word has."""
+    listed = _listed(words)
+    joined = SPACE.join(["", *listed])
+    if joined.count(SPACE) == len(listed) and "" not in listed:
+        # every word begins with the escaped space, which is nowhere else: one pass finds the units of them all
+        units = pa.array(find(joined), pa.string())
+        first = np.flatnonzero(pc.starts_with(units, SPACE).to_numpy(zero_copy_only=False))
+        return units, np.diff(first, append=len(units))
+    lists = pa.array([find(SPACE + w) for w in listed], pa.list_(pa.string()))
+    return lists.flatten(), pc.list_value_length(lists).to_numpy()
 
 
 def _block(rows: list[tuple[int, bool, bytes]], find, n_buckets: int) -> dict:
     """A block's row: a hash of its contents, and they, compressed: its units; and its documents (id, mark of a null
     id, numbers of their words), with the places of the units of each distinct word."""
-    words, texts = _Numbers(), []
-    for _, _, text in rows:
-        texts.append(np.array([words[w] for w in _words(text.decode())], np.int32))
-    units = _Numbers()
-    parts = [[units[u] for u in find(SPACE + w)] for w in words]
-    told, place = _units(list(units), n_buckets)
-    flat = place[np.fromiter((u for x in parts for u in x), np.int64)]
-    each = np.concatenate(texts)
+    words, lengths = _split([text.decode() for _, _, text in rows])
+    words, each = _numbered(words)
+    units, parts = _parts(words, find)
+    units, flat = _numbered(units)
+    told, place = _units(units, n_buckets)
+    flat = place[flat]
     head = np.array([len(rows), len(each), len(parts), len(flat), len(place)], np.int64).tobytes()
     ids = np.array([r[0] for r in rows], np.int64).tobytes() + np.array([r[1] for r in rows], np.uint8).tobytes()
-    counts = (np.array([len(x) for x in texts]), each, np.array([len(x) for x in parts]), flat)
     first = zstandard.compress(told, 3)
-    packed = len(first).to_bytes(8, "little") + first + zstandard.compress(head + ids + b"".join(map(_planes, counts)), 3)
+    packed = len(first).to_bytes(8, "little") + first + zstandard.compress(head + ids + b"".join(map(_planes, (lengths, each, parts, flat))), 3)
     return {"block": [xxhash.xxh64_intdigest(packed) - (1 << 63)], "packed": [packed]}
 
 
@@ -284,12 +313,13 @@ def _assemble(key, blocks: pa.Table, known: pa.Table, wide: bool, surface: list[
         del total
         own, own_edges = _gather(ids, edges, parts)
         of_word = _runs(own.tobytes(), 4 * own_edges[words])
-        texts = [each[a:b].tolist() for a, b in zip(docs, docs[1:], strict=False)]
-        out["packed"] += [b"".join(map(of_word.__getitem__, x)) for x in texts]
+        at_doc = docs.tolist()
+        out["packed"] += [b"".join(map(of_word.__getitem__, each[a:b].tolist())) for a, b in zip(at_doc, at_doc[1:], strict=False)]
         if surface:
             spelt, ends = _gather(letters, at, own)
             of_word = _runs(spelt.tobytes(), ends[own_edges[words]])
-            out["decoded"] += [_spoken(b"".join(map(of_word.__getitem__, x))) for x in texts]
+            del spelt, ends
+            out["decoded"] += [_spoken(b"".join(map(of_word.__getitem__, each[a:b].tolist()))) for a, b in zip(at_doc, at_doc[1:], strict=False)]
     kinds = {"doc_id": pa.int64(), "n_units": pa.int64(), "packed": pa.binary(), "decoded": pa.string()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
