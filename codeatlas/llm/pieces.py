@@ -16,7 +16,10 @@ counts once in a block, so a frequent one isn't hot.
 Scores are the table's, and the ids are their exact optimum, whatever way the model was trained: for a BPE model they
 are those of its piece table read as a unigram one, not the ids that its merges give.
 
-Null and empty texts have no ids. Rows are rows of their own, whatever their ids; a null id comes back as null.
+Null and empty texts have no ids, and an empty table gives no rows. Rows are rows of their own, whatever their ids; a
+null id comes back as null. Other columns of docs aren't read, whatever their names. Decoding gives the text back, but
+for U+2581 itself, by which the model writes a space: it comes back as one. A very long text is in one block, which then
+holds that much more; a very long unit (a run of letters without a space) is exploded and folded in parts.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from codeatlas.llm.common import give_back, on_pair
 SPACE = "▁"
 #: Bytes of text in a block of documents, and for each partition of units.
 BLOCK_BYTES, UNIT_BYTES = 8 << 20, 2 << 20
+#: Units up to SHORT characters are folded place by place; longer ones are exploded in parts of PART characters.
+SHORT, PART = 64, 256
 #: Between units that travel in one row.
 SEPARATOR = "\x1f"
 _SPACED = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -79,27 +84,56 @@ class Model:
         return out
 
 
-def viterbi(unit: Column, edges: Column) -> Column:
-    """Array of (start, id) of the best path. edges: array of (stop, start, id, score)."""
-    step = lambda best, e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id"))
-    best = F.aggregate(
-        F.sequence(F.lit(1), F.length(unit)),
-        F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(0).alias("id"))),
-        lambda best, j: F.concat(best, F.array(F.array_max(F.transform(F.filter(edges, lambda e: e["stop"] == j), lambda e: step(best, e))))),
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: A place of a unit: the best score of a path that ends there, where its last piece begins (negative), and its id.
+PLACE = "struct<score:double,back:int,id:int>"
+
+
+def viterbi(unit: Column, edges: Column, longest: int) -> Column:
+    """Array of (start, id) of the best path. edges: array of (stop, start, id, score), none longer than ``longest``.
+
+    A fold copies its state at each step, so long units are folded in blocks of SHORT places: a step's state holds a
+    block and the ``longest`` places before it."""
+    n = F.length(unit)
+    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(0).alias("id")))
+    whole = _block_of(origin, edges, F.lit(0), n, F.lit(0))
+    before = lambda c: F.greatest(c + 1 - longest, F.lit(0))
+
+    def block(best: Column, c: Column) -> Column:
+        near = F.filter(edges, lambda e: (e["stop"] > c) & (e["stop"] <= c + SHORT))
+        own = _let(near, lambda x: _block_of(F.slice(best, before(c) + 1, c + 1 - before(c)), x, c, F.least(c + SHORT, n), before(c)))
+        return F.concat(best, F.slice(own, c + 2 - before(c), SHORT))
+
+    blocks = F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(SHORT)), origin, block)
+    return _let(F.when(n <= SHORT, whole).otherwise(blocks), lambda best: _path(n, best))
+
+
+def _block_of(own: Column, edges: Column, first: Column, last: Column, offset: Column) -> Column:
+    """``own``, the places from ``offset`` up to ``first``, and those after it up to ``last``."""
+    step = lambda x, e: F.struct((F.get(x, e["start"] - offset)["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id"))
+    return F.aggregate(
+        F.sequence(first + 1, last), own,
+        lambda x, j: F.concat(x, F.array(F.array_max(F.transform(F.filter(edges, lambda e: e["stop"] == j), lambda e: step(x, e))))),
     )
-    return F.get(F.transform(F.array(best), lambda b: _path(unit, b)), F.lit(0))
 
 
-def _path(unit: Column, best: Column) -> Column:
+def _path(n: Column, best: Column) -> Column:
+    """(start, id) of each piece, from the end back, in blocks as well."""
     nothing = F.array().cast("array<struct<start:int,id:int>>")
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(unit)),
-        F.struct(F.length(unit).alias("at"), nothing.alias("path")),
-        lambda s, _: F.when(s["at"] <= 0, s).otherwise(
-            F.struct((-F.get(best, s["at"])["back"]).alias("at"), F.concat(s["path"], F.array(F.struct((-F.get(best, s["at"])["back"]).alias("start"), F.get(best, s["at"])["id"].alias("id")))).alias("path"))
-        ),
+    state = lambda at, path: F.struct(at.alias("at"), path.alias("path"))
+    back = lambda s: -F.get(best, s["at"])["back"]
+    step = lambda s: F.when(s["at"] <= 0, s).otherwise(state(back(s), F.concat(s["path"], F.array(F.struct(back(s).alias("start"), F.get(best, s["at"])["id"].alias("id"))))))
+    walk = lambda at: F.aggregate(F.sequence(F.lit(1), F.least(F.lit(SHORT), F.greatest(at, F.lit(1)))), state(at, nothing), lambda s, _: step(s))
+    done = F.aggregate(
+        F.sequence(F.lit(1), n, F.lit(SHORT)), state(n, nothing),
+        lambda s, _: _let(walk(s["at"]), lambda t: state(t["at"], F.concat(s["path"], t["path"]))),
         lambda s: F.reverse(s["path"]),
     )
+    return F.when(n <= SHORT, F.reverse(walk(n)["path"])).otherwise(done)
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -107,16 +141,26 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(bucket, unit, ids) of the distinct (bucket, unit) of a table; keeps its partitioning by bucket."""
+    """(bucket, unit, ids) of the distinct (bucket, unit) of a table; keeps its partitioning by bucket. Only one edge of
+    a unit carries it; the others carry a digest of it, where that is shorter."""
     table = F.broadcast(piece_table(units.sparkSession, model))  # the model's size
     n = F.length("unit")
-    starts = units.select("bucket", "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    exploded = starts.select("bucket", "unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start")))).alias("size"))
-    exploded = exploded.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("size")))
+    short = n <= SHORT
+    # parts first: finding a place in a long text takes time in proportion to it
+    parts = units.select("bucket", "unit", F.explode(F.sequence(F.lit(0), n - 1, F.lit(PART))).alias("first"))
+    parts = parts.select(
+        "bucket", F.when(short, F.col("unit")).otherwise(F.concat(F.lit("#"), F.sha2("unit", 256))).alias("key"), F.when(~short & (F.col("first") == 0), F.col("unit")).alias("long"), "first",
+        F.when(short, F.col("unit")).otherwise(F.substring("unit", F.col("first") + 1, F.lit(PART + model.longest - 1))).alias("part"), F.least(F.lit(PART), n - F.col("first")).alias("own"),
+    )
+    starts = parts.select("bucket", "key", "long", "first", "part", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("at"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("part") - F.col("at")))
+    starts = starts.select("bucket", "key", F.when(F.col("at") == 0, F.col("long")).alias("long"), "first", "part", "at", F.explode(sizes).alias("size"))
+    exploded = starts.select("bucket", "key", F.when(F.col("size") == 1, F.col("long")).alias("long"), (F.col("first") + F.col("at")).alias("start"), "size", F.substring("part", F.col("at") + 1, F.col("size")).alias("piece"))
     edges = exploded.join(table, "piece", "left").filter("id is not null or size = 1")
     edge = F.struct((F.col("start") + F.col("size")).alias("stop"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.least - 10)).alias("score"))
-    grouped = edges.groupBy("bucket", "unit").agg(F.collect_list(edge).alias("edges"))
-    path = viterbi(F.col("unit"), F.col("edges"))
+    grouped = edges.groupBy("bucket", "key").agg(F.collect_list(edge).alias("edges"), F.max("long").alias("long"))
+    grouped = grouped.select("bucket", F.coalesce("long", "key").alias("unit"), "edges")
+    path = viterbi(F.col("unit"), F.col("edges"), model.longest)
     if model.bytes:
         ids = F.array(*[F.lit(model.bytes[b]) for b in range(256)])
         raw = lambda s: F.hex(F.encode(F.substring(F.col("unit"), s["start"] + 1, F.lit(1)), "UTF-8"))
@@ -268,7 +312,7 @@ def _answer(key, rows: pa.Table, known: pa.Table, wide: bool) -> pa.Table:
     flat = lists.flatten().to_numpy().astype(kind).tobytes()
     size = np.dtype(kind).itemsize
     ends = (np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64) * size).tolist()
-    ids = dict(zip(known["unit"].to_pylist(), [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+    ids = dict(zip(_listed(known["unit"].combine_chunks()), [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
     found = []
     for first, joined, alone in zip(rows["first"].to_pylist(), rows["units"].to_pylist(), rows["alone"].to_pylist(), strict=True):
         own = [ids[u] for u in ([joined] if alone else joined.split(SEPARATOR))]
