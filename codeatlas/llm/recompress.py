@@ -1,246 +1,446 @@
 """Substring dedup by recompression: words covered by a window that also starts in a document with a smaller id.
 
-A round of recompression replaces runs of equal symbols, and then adjacent pairs whose first symbol is of one random
-half of the alphabet and whose second is of the other, by new symbols. A name is a hash of what it stands for, so all
-documents give it alike with no dictionary to agree on, and a cut depends on the two symbols beside it alone: equal
-windows are cut alike but for the outermost symbol at each end in each step. What is left inside, its *interior*,
-is the same wherever the window occurs. The least of the interior's phrases (three symbols in a row) stands for the
-window; a window with too short an interior (a long run, say) stands for itself. Documents tell buckets these names;
-only windows whose name two documents hold can repeat, and these are verified by 96 bits of two hashes of their words.
-
-How many rounds an interior survives depends on the window: a round takes about twice as much at each end as the one
-before, so 13 words allow one round and longer windows more (``rounds``).
-
-Null text has no words. A null id counts as larger than all others and comes back as null. Rows that repeat an id are
-rows of their own. Words are separated by ASCII white space and otherwise unchanged.
+Symbols are named in rounds, and each round is a Spark job. First distinct words get names, then, in every round, runs
+of equal symbols and pairs of neighbours of which the first is of one random half of the alphabet and the second of the
+other. Documents are dealt into groups; a group tells buckets which distinct keys (words; runs and pairs of names) it
+holds, and a bucket numbers those that two documents or more hold. So equal names stand for equal words and different
+ones for different words, in all documents alike, and what only one document holds has no name.
+
+What a round does to a symbol depends on its neighbours alone, so a window is cut alike wherever it occurs, but for its
+edges: at each end a round leaves out the run, and then the symbol if its half says that it may pair with one outside.
+What remains is the window's *interior*. A window repeats only if all symbols of its interior have a name: this leaves
+few windows. The symbol of the interior that covers the most words (ties: least hash) is the window's anchor. Windows
+that share an anchor at a place are told together, as the names of the words about it (a *context*), to the anchor's
+bucket; there windows are equal if the names of all their words are, and each gets the smallest document that holds it.
+Hashes put keys in order and deal them out, but never decide that two things are equal. A window without an interior (in
+a long run, say) is told by itself.
+
+13 words leave an interior after two rounds; longer windows allow more (``rounds``).
+
+Null and empty texts have no words; an empty table gives no rows. A null id counts as larger than all others and comes
+back as null. Rows that repeat an id are rows of their own; equal ids are never smaller than each other. Words are
+separated by ASCII white space and otherwise unchanged. Other columns aren't read, whatever their names. Groups and
+buckets have a bounded volume, but a text longer than a group is a group of its own, which takes some 300 bytes of memory
+for each of its words.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import BASES, Powers, bucket_of, chunks, dealt, mix, on_group, on_pair, prefix_hash, span_hash
-from codeatlas.llm.suffix import _by_id, _shared
+from codeatlas.llm.common import BASES, bucket_of, dealt, mix, on_group, on_pair
 
-CHUNK = 1 << 18
-_BIG = np.iinfo(np.int64).max
+#: Bytes of text in a group of documents, and for each bucket.
+GROUP, BUCKET = 8 << 20, 16 << 20
 _U = np.uint64
+TOLD = "bucket int, pid int, blob binary"
+ANSWER = "pid int, bucket int, blob binary"
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, each in the fewest bytes that hold it, compressed."""
+    parts = []
+    for x in arrays:
+        kind = np.dtype(np.int64) if len(x) and x.min() < 0 else np.min_scalar_type(int(x.max()) if len(x) else 0)
+        parts += [kind.char.encode(), len(x).to_bytes(8, "little"), x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()]
+    return zstandard.compress(b"".join(parts), 1)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(blob), 0, []
+    while at < len(raw):
+        kind, n = np.dtype(chr(raw[at])), int.from_bytes(raw[at + 1 : at + 9], "little")
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at + 9).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += 9 + n * kind.itemsize
+    return out
 
 
-def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word in the joined bytes, and the document of each. starts: of documents, and the end."""
-    white = np.ones(len(data) + 2, bool)
-    white[1:-1] = (data == 32) | ((data >= 9) & (data <= 13))
-    begin = ~white[1:] & white[:-1]
-    begin[starts[:-1][starts[:-1] < len(data)]] |= ~white[1:][starts[:-1][starts[:-1] < len(data)]]
-    begin = np.flatnonzero(begin[:-1])
-    doc = np.searchsorted(starts, begin, "right") - 1
-    stop = np.flatnonzero(white[1:-1])
-    nxt = np.concatenate([stop, [len(data)]])[np.searchsorted(stop, begin)] if len(begin) else begin
-    return begin, np.minimum(nxt, starts[doc + 1]), doc
-
-
-def _compress(names, start, doc, level):
-    """One round: runs, then pairs. Symbols are (name, first word, document); returns those after each of the two."""
-    out = []
-    if len(names):
-        new = np.concatenate([[True], (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])])
-        at = np.flatnonzero(new)
-        size = np.diff(np.concatenate([at, [len(names)]]))
-        names = np.where(size > 1, mix(names[at] * _U(3) + size.astype(_U) * _U(BASES[2])), names[at])
-        start, doc = start[at], doc[at]
-        out.append((names, start, doc))
-        half = (mix(names + _U(level + 1) * _U(BASES[1])) >> _U(63)).astype(bool)
-        pair = np.zeros(len(names), bool)  # the symbol and the next one become one
-        pair[:-1] = half[:-1] & ~half[1:] & (doc[1:] == doc[:-1])
-        second = np.concatenate([[False], pair[:-1]])
-        following = np.concatenate([names[1:], names[:1]])
-        joined = mix(mix(names * _U(BASES[0])) + following * _U(BASES[2]) + _U(7))
-        names = np.where(pair, joined, names)[~second]
-        start, doc = start[~second], doc[~second]
-    out.append((names, start, doc))
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64)
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Marks the rows of sorted columns that differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _hash(columns) -> np.ndarray:
+    h = None
+    for x in columns:
+        x = x.astype(_U)
+        h = mix(x + _U(BASES[0])) if h is None else mix(h * _U(BASES[1]) + x)
+    return h
+
+
+def classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each class of equal rows, and the class of each row; classes are in an order of their contents."""
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = _hash(rows.T)
+    order = np.argsort(h, kind="stable")
+    new = _firsts(h[order])
+    first, inverse = order[new], np.empty(len(rows), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    for i in range(0, len(rows), 1 << 16):
+        if (rows[i : i + (1 << 16)] != rows[first[inverse[i : i + (1 << 16)]]]).any():  # different rows, equal hashes
+            _, first, inverse = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+            return first, inverse.ravel()
+    return first, inverse
+
+
+def _held(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes, sorted; whether two documents hold each; the number of each code's. doc: ascending."""
+    order = np.argsort(code, kind="stable")
+    c, d = code[order], doc[order]
+    new = _firsts(c)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(c))[: len(first)] - 1
+    inverse = np.empty(len(c), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return c[first], d[first] != d[last], inverse
+
+
+class Words:
+    """The words of a group's documents, in numbers of the group's own."""
+
+    def __init__(self, docs: pa.Table):
+        column = lambda c: docs[c].combine_chunks()
+        self.ids, self.no_id = column("doc_id").to_numpy(), column("no_id").to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(column("text").cast(pa.string()))
+        words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy()
+        doc = np.repeat(np.arange(len(counts)), counts)
+        real = pc.greater(pc.binary_length(words), 0)
+        if not pc.all(real).as_py():
+            words, doc = words.filter(real), doc[real.to_numpy(zero_copy_only=False)]
+        self.words, self.doc = words, doc
+        coded = words.dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), _U, len(own))
+        order = np.argsort(h, kind="stable")
+        if (h[order][1:] == h[order][:-1]).any():
+            order = np.array(sorted(range(len(own)), key=lambda i: (h[i], own[i].encode())), np.int64)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.keys, self.hashes = coded.dictionary.take(pa.array(order)), h[order]
+        self.token = back[coded.indices.to_numpy()]
+
+    def told(self) -> np.ndarray:
+        """Whether two documents of the group hold each key."""
+        low, high = np.full(len(self.keys), len(self.ids)), np.full(len(self.keys), -1)
+        np.minimum.at(low, self.token, self.doc)
+        np.maximum.at(high, self.token, self.doc)
+        return low < high
+
+
+def _rows(bucket: np.ndarray, n: int, pid: int, blob) -> pa.Table:
+    """A row for each bucket that has keys (bucket: of each key, ascending). blob: of a slice of them."""
+    at = np.flatnonzero(_firsts(bucket)) if len(bucket) else np.zeros(0, np.int64)
+    end = np.append(at[1:], len(bucket))[: len(at)]
+    blobs = [blob(slice(a, b)) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
+    return pa.table({"bucket": pa.array(bucket[at], pa.int32()), "pid": pa.array([pid] * len(at), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
+def _returned(answer: pa.Table, level: int, bucket: np.ndarray) -> np.ndarray:
+    """What the buckets say of each key, in the keys' order."""
+    out = np.zeros(len(bucket), np.int64)
+    for k, (at, b, blob) in enumerate(zip(answer["level"].to_pylist(), answer["bucket"].to_pylist(), answer["blob"], strict=True)):
+        if at == level:
+            a = int(np.searchsorted(bucket, b))
+            (x,) = _unpack(blob.as_py())
+            out[a : a + len(x)] = x
     return out
 
 
-def _least_in(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """min of x[lo:hi] for each pair with lo < hi."""
-    out = np.empty(len(lo), x.dtype)
-    size, y = 1, x
-    length = hi - lo
+def _answers(pids, buckets, sizes: list[int], values: np.ndarray) -> pa.Table:
+    ends = np.cumsum([0, *sizes])
+    blobs = [_pack(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    return pa.table({"pid": pa.array(pids, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
+def _tell_words(docs: pa.Table, n: int) -> pa.Table:
+    words = Words(docs)
+    many, bucket = words.told(), bucket_of(words.hashes, n)
+
+    def blob(s: slice) -> bytes:
+        own = words.keys.slice(s.start, s.stop - s.start)
+        sizes = pc.binary_length(own).to_numpy()
+        return _pack(sizes, np.frombuffer("".join(own.to_numpy(zero_copy_only=False).tolist()).encode(), np.uint8), many[s].astype(np.uint8))
+
+    return _rows(bucket, n, docs["pid"][0].as_py(), blob)
+
+
+def _name_words(rows: pa.Table) -> pa.Table:
+    """Numbers, from 1, for the words that two documents hold, in the words' order; 0 for the others."""
+    parts = [_unpack(x.as_py()) for x in rows["blob"]]
+    sizes = np.concatenate([p[0] for p in parts]).astype(np.int64)
+    data = b"".join(p[1].tobytes() for p in parts)
+    many = np.concatenate([p[2] for p in parts]).astype(bool)
+    words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(data)])
+    coded = words.dictionary_encode()
+    which = coded.indices.to_numpy()
+    held = np.bincount(which, minlength=len(coded.dictionary)) + np.bincount(which[many], minlength=len(coded.dictionary))
+    order = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
+    order = order[held[order] > 1]
+    name = np.zeros(len(held), np.int64)
+    name[order] = np.arange(1, len(order) + 1)
+    return _answers(rows["pid"].to_pylist(), rows["bucket"].to_pylist(), [len(p[0]) for p in parts], name[which])
+
+
+def _name_keys(rows: pa.Table) -> pa.Table:
+    """The same for runs and pairs: (x, times, y, times)."""
+    parts = [_unpack(x.as_py()) for x in rows["blob"]]
+    x, k, y, m, many = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(5))
+    order = np.lexsort((m, y, k, x))
+    new = _firsts(x[order], k[order], y[order], m[order])
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    held = np.bincount(which) + np.bincount(which, weights=many).astype(np.int64)
+    name = np.where(held > 1, np.cumsum(held > 1), 0)
+    return _answers(rows["pid"].to_pylist(), rows["bucket"].to_pylist(), [len(p[0]) for p in parts], name[which])
+
+
+def _global(number: np.ndarray, bucket: np.ndarray, n: int, level: int) -> np.ndarray:
+    """A name from a bucket's number; names of different levels, and buckets, differ."""
+    return np.where(number > 0, (number * n + bucket) * 8 + level, 0)
+
+
+class Parse:
+    """Symbols of a group as far as the answers go. Of each window that may still repeat: its first word (``at``) and
+    its interior, the symbols from ``a`` up to ``b``."""
+
+    def __init__(self, words: Words, answer: pa.Table, width: int, n: int):
+        self.words, self.answer, self.n = words, answer, n
+        bucket = bucket_of(words.hashes, n)
+        names = _global(_returned(answer, 0, bucket), bucket, n, 0)
+        self.names = self.word_names = names[words.token]
+        self.start, self.doc = np.arange(len(self.names)), words.doc
+        at = np.arange(max(0, len(self.names) - width + 1))
+        at = at[self.doc[at] == self.doc[at + width - 1]] if len(at) else at
+        self.at, self.a, self.b = at, at.copy(), at + width
+        self._leave()
+
+    def _leave(self) -> None:
+        """Windows whose interior holds a symbol without a name are out; symbols in no interior lose theirs."""
+        none = np.concatenate([[0], np.cumsum(self.names == 0)])
+        a, b = self.a, np.maximum(self.a, self.b)
+        keep = none[a] == none[b]
+        self.at, self.a, self.b = self.at[keep], self.a[keep], self.b[keep]
+        self._fade()
+
+    def _fade(self) -> None:
+        deep = self.b > self.a
+        depth = np.zeros(len(self.names) + 1, np.int64)
+        np.add.at(depth, self.a[deep], 1)
+        np.add.at(depth, self.b[deep], -1)
+        self.names = np.where(np.cumsum(depth[:-1]) > 0, self.names, 0)
+
+    def cut(self, level: int) -> None:
+        """Runs and pairs of the next round, not yet named: ``keys`` (sorted by bucket) and where they stand."""
+        new = _firsts(self.names, self.doc) if len(self.names) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        x, doc, start = self.names[first], self.doc[first], self.start[first]
+        times = np.where(x > 0, np.diff(np.append(first, len(self.names))), 1)
+        deep = np.flatnonzero(self.b > self.a)
+        a, b = self.a.copy(), self.a.copy()
+        a[deep], b[deep] = run[self.a[deep]] + 1, run[self.b[deep] - 1]
+        half = (mix(x.astype(_U) * _U(BASES[0]) + times.astype(_U) * _U(BASES[1]) + _U(level)) >> _U(63)).astype(bool)
+        deep = deep[b[deep] > a[deep]]
+        a[deep] += ~half[a[deep]]
+        deep = deep[b[deep] > a[deep]]
+        b[deep] -= half[b[deep] - 1]
+        pair = np.zeros(len(x), bool)
+        pair[:-1] = half[:-1] & ~half[1:] & (doc[1:] == doc[:-1]) & (x[:-1] > 0) & (x[1:] > 0)
+        second = np.concatenate([[False], pair[:-1]])[: len(x)]
+        own = np.flatnonzero(~second)
+        place = np.append(np.cumsum(~second) - 1, len(own))
+        deep = b > a
+        self.a, self.b = np.where(deep, place[np.minimum(a, len(x))], 0), np.where(deep, place[np.minimum(b, len(x))], 0)
+        follow = np.minimum(own + 1, max(0, len(x) - 1))
+        two = pair[own]
+        self.names, self.start, self.doc = x[own], start[own], doc[own]
+        k, y, m = times[own], np.where(two, x[follow], 0), np.where(two, times[follow], 0)
+        self._fade()  # only what is in an interior is named
+        self.open = np.flatnonzero((self.names > 0) & (two | (k > 1)))
+        columns = [self.names[self.open], k[self.open], y[self.open], m[self.open]]
+        h = _hash(columns)
+        bucket = bucket_of(h, self.n) if len(self.open) else np.zeros(0, np.int64)
+        order = np.lexsort((*columns[::-1], bucket))
+        new = _firsts(bucket[order], *[c[order] for c in columns]) if len(order) else np.zeros(0, bool)
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.keys, self.bucket = [c[order][new] for c in columns], bucket[order][new]
+        self.level = level
+
+    def told(self) -> np.ndarray:
+        """Whether two documents of the group hold each key."""
+        return _held(self.which, self.doc[self.open])[1]
+
+    def name(self) -> None:
+        """Take the round's names from the answer."""
+        self.names[self.open] = _global(_returned(self.answer, self.level, self.bucket), self.bucket, self.n, self.level)[self.which]
+        self._leave()
+
+
+def _parsed(docs: pa.Table, answer: pa.Table, width: int, n: int, rounds: int) -> Parse:
+    p = Parse(Words(docs), answer, width, n)
+    for level in range(1, rounds + 1):
+        p.cut(level)
+        p.name()
+    return p
+
+
+def _tell_keys(key, docs: pa.Table, answer: pa.Table, width: int, n: int, level: int) -> pa.Table:
+    if not len(docs):
+        return pa.table({"bucket": pa.array([], pa.int32()), "pid": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+    p = _parsed(docs, answer, width, n, level - 1)
+    p.cut(level)
+    many = p.told()
+    return _rows(p.bucket, n, docs["pid"][0].as_py(), lambda s: _pack(*[c[s] for c in p.keys], many[s].astype(np.uint8)))
+
+
+def _least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first place of the least of x[a:b] for each pair with a < b."""
+    out = np.empty(len(a), np.int64)
+    size, y, length = 1, np.arange(len(x)), b - a
     while True:
         now = (length >= size) & (length < 2 * size)
-        out[now] = np.minimum(y[lo[now]], y[hi[now] - size])
+        left, right = y[a[now]], y[b[now] - size]
+        out[now] = np.where(x[left] <= x[right], left, right)
         if not (length >= 2 * size).any():
             return out
-        y = np.minimum(y[:-size], y[size:])
+        left, right = y[:-size], y[size:]
+        y = np.where(x[left] <= x[right], left, right)
         size *= 2
 
 
-def windows(data: np.ndarray, starts: np.ndarray, width: int, rounds: int, phrase: int, powers: list[Powers]):
-    """Of each window of width words: name, two hashes, document, first word (counted within the chunk); and all
-    words' starts, ends and documents."""
-    begin, end, doc = words_of(data, starts)
-    n = len(begin)
-    h = [prefix_hash(data, p) for p in powers]
-    token = [span_hash(x, begin, end, p) for x, p in zip(h, powers, strict=True)]
-    at = np.arange(max(0, n - width + 1))
-    at = at[doc[at] == doc[at + width - 1]] if len(at) else at
-    hashes = [span_hash(prefix_hash(t, p), at, at + width, p) for t, p in zip(token, powers, strict=True)]
-    names, start, d = token[0], np.arange(n), doc
-    lo, hi = at.copy(), at + width
-    for level in range(rounds):
-        for names, start, d in _compress(names, start, d, level):
-            edge = np.concatenate([start, [n]])
-            if len(at):
-                lo = edge[np.minimum(np.searchsorted(edge, lo, "right"), len(edge) - 1)]
-                hi = edge[np.maximum(np.searchsorted(edge, hi, "left") - 1, 0)]
-    a, b = np.searchsorted(start, lo), np.searchsorted(start, hi)
-    name = mix(hashes[0] ^ _U(0x5555555555555555))  # for itself
-    b = b - phrase + 1
-    deep = b > a
+def contexts(p: Parse, width: int):
+    """Distinct contexts as rows (bit mask of the windows' places, names of the 2 * width - 1 words about the anchor),
+    sorted by bucket, with that; and, of each window, its context, its place in it, its document and first word."""
+    deep = p.b > p.a
+    anchor, alone = p.at.copy(), ~deep
     if deep.any():
-        h3 = prefix_hash(names, powers[0])
-        k = np.arange(len(names) - phrase + 1)
-        phrases = span_hash(h3, k, k + phrase, powers[0])
-        name[deep] = mix(_least_in(phrases, a[deep], b[deep]))  # least hashes are small ones: spread them again
-    return name, hashes, doc[at] if len(at) else at, at, (begin, end, doc)
-
-
-def _all(ids, texts, width, rounds, phrase):
-    """The group's windows: name, hashes, document, first word in the document; and chunk by chunk the words."""
-    powers = [Powers(BASES[0]), Powers(BASES[1])]
-    names, h0, h1, docs, firsts, words = [], [], [], [], [], []
-    for a, b in chunks(np.array([len(x) for x in texts]), CHUNK):
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in texts[a:b]])]).astype(np.int64)
-        data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
-        name, (x, y), doc, at, (begin, end, wdoc) = windows(data, starts, width, rounds, phrase, powers)
-        base = np.searchsorted(wdoc, np.arange(b - a + 1))
-        names.append(name)
-        h0.append(x)
-        h1.append((y >> _U(32)).astype(np.uint32))
-        docs.append(a + doc)
-        firsts.append(at - base[doc] if len(at) else at)
-        for i in range(b - a):
-            s = slice(base[i], base[i + 1])
-            words.append((begin[s] - starts[i], end[s] - starts[i]))
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(names, _U), join(h0, _U), join(h1, np.uint32), join(docs, np.int64), join(firsts, np.int64), words
-
-
-def _names(names, docs):
-    """Distinct names, sorted, and whether two documents of the group hold them."""
-    order = np.lexsort((docs, names))
-    g, d = names[order], docs[order]
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    last = np.concatenate([first[1:], [len(g)]]) - 1 if len(g) else first
-    return g[first], d[first] != d[last]
-
-
-def _tell(pdf: pd.DataFrame, width: int, rounds: int, phrase: int, n: int) -> pd.DataFrame:
-    ids, _, texts = _by_id(pdf)
-    names, _, _, docs, _, _ = _all(ids, texts, width, rounds, phrase)
-    g = np.unique(names)
-    b = bucket_of(g, n)
-    cut = np.searchsorted(b, np.arange(n + 1))
-    low = (g & _U(0xFFFFFFFF)).astype(np.uint32)
-    rows = [(k, int(pdf["pid"].iat[0]), low[cut[k] : cut[k + 1]].tobytes()) for k in range(n) if cut[k + 1] > cut[k]]
-    return pd.DataFrame(rows, columns=["bucket", "pid", "blob"])
-
-
-def _candidates(ids, texts, answer: pd.DataFrame, width: int, rounds: int, phrase: int, n: int):
-    """The windows whose name is shared, distinct by their 96 bits, each with the group's smallest document."""
-    names, h0, h1, docs, firsts, words = _all(ids, texts, width, rounds, phrase)
-    g, more = _names(names, docs)
-    b = bucket_of(g, n)
-    cut = np.searchsorted(b, np.arange(n + 1))
-    for k, x in zip(answer["bucket"], answer["blob"], strict=True):
-        more[cut[k] : cut[k + 1]] |= np.unpackbits(np.frombuffer(x, np.uint8), count=cut[k + 1] - cut[k]).astype(bool)
-    keep = more[np.searchsorted(g, names)] if len(g) else np.zeros(0, bool)
-    h0, h1, docs, firsts = h0[keep], h1[keep], docs[keep], firsts[keep]
-    order = np.lexsort((docs, h1, h0))
-    h0, h1, docs, firsts = h0[order], h1[order], docs[order], firsts[order]
-    new = np.concatenate([[True], (h0[1:] != h0[:-1]) | (h1[1:] != h1[:-1])]) if len(h0) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    return h0[first], h1[first], ids[docs[first]] if len(first) else np.zeros(0, np.int64), np.cumsum(new) - 1, docs, firsts, words
-
-
-def _ask(key, docs: pd.DataFrame, answer: pd.DataFrame, width: int, rounds: int, phrase: int, n: int) -> pd.DataFrame:
-    ids, _, texts = _by_id(docs)
-    h0, h1, least, *_ = _candidates(ids, texts, answer, width, rounds, phrase, n)
-    b = bucket_of(h0, n)
-    cut = np.searchsorted(b, np.arange(n + 1))
-    rows = []
-    for k in range(n):
-        if cut[k + 1] > cut[k]:
-            s = slice(cut[k], cut[k + 1])
-            rows.append((k, int(docs["pid"].iat[0]), h0[s].tobytes(), h1[s].tobytes(), least[s].tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "pid", "h0", "h1", "ids"])
-
-
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each group's windows: does a smaller document of another group hold the same one? One bit each."""
-    size = [len(x) // 4 for x in pdf["h1"]]
-    h0 = np.concatenate([np.frombuffer(x, _U) for x in pdf["h0"]])
-    h1 = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["h1"]])
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
-    order = np.lexsort((ids, h1, h0))
-    a, b = h0[order], h1[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    hit = np.empty(len(ids), bool)
-    hit[order] = least < ids[order]
-    at, rows = 0, []
-    for p, k, m in zip(pdf["pid"], pdf["bucket"], size, strict=True):
-        rows.append((p, k, np.packbits(hit[at : at + m]).tobytes()))
-        at += m
-    return pd.DataFrame(rows, columns=["pid", "bucket", "blob"])
-
-
-def _remove(key, docs: pd.DataFrame, answer: pd.DataFrame, width: int, rounds: int, phrase: int, n: int) -> pd.DataFrame:
-    ids, no_id, texts = _by_id(docs)
-    h0, _, least, inverse, doc, first, words = _candidates(ids, texts, answer[answer["step"] == 0], width, rounds, phrase, n)
-    b = bucket_of(h0, n)
-    cut = np.searchsorted(b, np.arange(n + 1))
-    hit = np.zeros(len(h0), bool)
-    second = answer[answer["step"] == 1]
-    for k, x in zip(second["bucket"], second["blob"], strict=True):
-        hit[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=cut[k + 1] - cut[k]).astype(bool)
-    if len(doc):
-        gone = hit[inverse] | (ids[doc] > least[inverse])
-        doc, first = doc[gone], first[gone]
-        order = np.argsort(doc, kind="stable")
-        doc, first = doc[order], first[order]
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-    rows = []
-    for i, t in enumerate(texts):
-        begin, end = words[i]
-        depth = np.zeros(len(begin) + 1, np.int64)
-        at = first[cut[i] : cut[i + 1]]
-        np.add.at(depth, at, 1)
-        np.add.at(depth, at + width, -1)
-        kept = np.cumsum(depth[:-1]) == 0
-        text = b" ".join([t[s:e] for s, e in zip(begin[kept].tolist(), end[kept].tolist(), strict=True)])
-        rows.append((None if no_id[i] else int(ids[i]), len(begin), int(len(begin) - kept.sum()), text))
-    out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
-
-
-def dedup_phrases(docs: DataFrame, width: int = 13, rounds: int = 1, phrase: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and the words kept, joined by a space (UTF-8 bytes), for each row of docs."""
-    if width < 2 or rounds < 1 or phrase < 1:
-        raise ValueError("width must be at least 2, rounds and phrase at least 1")
-    deal, n = dealt(docs, id_col, text_col)
-    how = {"width": width, "rounds": rounds, "phrase": phrase, "n": n}
-    told = deal.groupBy("pid").applyInPandas(on_group(_tell, **how), "bucket int, pid int, blob binary")
-    shared = told.groupBy("bucket").applyInPandas(_shared, "pid int, bucket int, blob binary")
-    asked = deal.groupBy("pid").cogroup(shared.groupBy("pid")).applyInPandas(on_pair(_ask, **how), "bucket int, pid int, h0 binary, h1 binary, ids binary")
-    solved = asked.groupBy("bucket").applyInPandas(_resolve, "pid int, bucket int, blob binary")
-    both = shared.withColumn("step", F.lit(0)).unionByName(solved.withColumn("step", F.lit(1)))
-    return deal.groupBy("pid").cogroup(both.groupBy("pid")).applyInPandas(on_pair(_remove, **how), "doc_id long, n_words long, n_removed long, kept binary")
+        words = np.diff(np.append(p.start, len(p.word_names)))
+        rank = (_U(15) - np.minimum(words, 15).astype(_U)) << _U(60) | mix(p.names.astype(_U)) >> _U(4)
+        best = _least(rank, p.a[deep], p.b[deep])
+        anchor[deep] = p.start[best]
+    place = p.at - anchor + width - 1  # of the window's first word in the context
+    # windows come in the order of their first words, so those of an anchor may have others between
+    code = anchor * 2 + alone
+    each, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+    mask = np.zeros(len(each), np.int64)
+    np.bitwise_or.at(mask, inverse, np.int64(1) << place)
+    low, high = np.full(len(each), width), np.zeros(len(each), np.int64)
+    np.minimum.at(low, inverse, place)
+    np.maximum.at(high, inverse, place + width)
+    spread = np.arange(2 * width - 1)
+    at = np.clip((each >> 1)[:, None] + spread - (width - 1), 0, max(0, len(p.word_names) - 1))
+    rows = np.where((spread >= low[:, None]) & (spread < high[:, None]), p.word_names[at] if len(each) else 0, 0)
+    h = np.empty(len(each), _U)
+    own = (each & 1).astype(bool)
+    h[own] = _hash(rows[own][:, width - 1 :].T) if own.any() else 0
+    if deep.any():
+        name = np.zeros(len(p.at), np.int64)
+        name[deep] = p.names[best]
+        h[~own] = mix(name[first[~own]].astype(_U) + _U(BASES[2]))
+    rows = np.concatenate([mask[:, None], rows], axis=1)
+    one, group = classes(rows)
+    bucket = bucket_of(h[one], p.n) if len(one) else np.zeros(0, np.int64)
+    order = np.argsort(bucket, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    doc = p.words.doc[p.at]
+    context = back[group][inverse]
+    least = np.full(len(order), np.iinfo(np.int64).max)
+    np.minimum.at(least, context, p.words.ids[doc])
+    return rows[one][order], bucket[order], least, context, place, doc, p.at
+
+
+def _ask(key, docs: pa.Table, answer: pa.Table, width: int, n: int, rounds: int) -> pa.Table:
+    if not len(docs):
+        return pa.table({"bucket": pa.array([], pa.int32()), "pid": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+    rows, bucket, least, *_ = contexts(_parsed(docs, answer, width, n, rounds), width)
+    return _rows(bucket, n, docs["pid"][0].as_py(), lambda s: _pack(least[s], *rows[s].T))
+
+
+def _resolve(rows: pa.Table, width: int) -> pa.Table:
+    """For each context: the places (bits) of windows that a document smaller than the context's smallest holds."""
+    parts = [_unpack(x.as_py()) for x in rows["blob"]]
+    least, mask = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(2))
+    names = np.concatenate([np.stack(p[2:], axis=1).astype(np.int64) for p in parts])
+    sizes = [len(p[0]) for p in parts]
+    del parts
+    row, place = np.nonzero(mask[:, None] >> np.arange(width) & 1)
+    h = _hash(names[row, place + j] for j in range(width))
+    bits = np.zeros(len(mask), np.int64)
+    order = np.argsort(h, kind="stable")
+    cut = np.append(np.flatnonzero(_firsts(h[order])), len(order)) if len(order) else np.zeros(1, np.int64)
+    # windows of equal hashes are compared by the names of their words, some at a time
+    step = 1 << 17
+    at = 0
+    while at < len(cut) - 1:
+        to = max(at + 1, int(np.searchsorted(cut, cut[at] + step, "right")) - 1)
+        own = order[cut[at] : cut[to]]
+        windows = names[row[own][:, None], place[own][:, None] + np.arange(width)]
+        _, group = classes(windows)
+        low = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, group, least[row[own]])
+        hit = low[group] < least[row[own]]
+        np.bitwise_or.at(bits, row[own][hit], np.int64(1) << place[own][hit])
+        at = to
+    return _answers(rows["pid"].to_pylist(), rows["bucket"].to_pylist(), sizes, bits)
+
+
+KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+
+
+def _remove(key, docs: pa.Table, answer: pa.Table, width: int, n: int, rounds: int) -> pa.Table:
+    if not len(docs):
+        return KEPT.empty_table()
+    p = _parsed(docs, answer, width, n, rounds)
+    _, bucket, least, context, place, doc, at = contexts(p, width)
+    bits = _returned(answer, rounds + 1, bucket)
+    words = p.words
+    gone = (bits[context] >> place & 1).astype(bool) | (words.ids[doc] > least[context])
+    depth = np.zeros(len(words.doc) + 1, np.int64)
+    np.add.at(depth, at[gone], 1)
+    np.add.at(depth, at[gone] + width, -1)
+    keep = np.cumsum(depth[:-1]) == 0
+    n_docs = len(words.ids)
+    total, left = np.bincount(words.doc, minlength=n_docs), np.bincount(words.doc[keep], minlength=n_docs)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), words.words.filter(pa.array(keep)))
+    ids = pa.array(words.ids, pa.int64(), mask=words.no_id)
+    return pa.table([ids, pa.array(total, pa.int64()), pa.array(total - left, pa.int64()), pc.binary_join(lists, " ")], schema=KEPT)
+
+
+def dedup_phrases(docs: DataFrame, width: int = 13, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP) -> DataFrame:
+    """doc_id, n_words, n_removed and the words kept, joined by a space, for each row of docs."""
+    if not 2 <= width <= 60 or not 1 <= rounds <= 6:
+        raise ValueError("width must be from 2 to 60, rounds from 1 to 6")
+    deal, groups = dealt(docs, id_col, text_col, group_bytes)
+    n = max(2, -(-groups * group_bytes // BUCKET))
+    by_pid = lambda x, level: x.withColumn("level", F.lit(level)).repartition(groups, "pid")
+    deal = deal.repartition(groups, "pid")
+    told = deal.groupBy("pid").applyInArrow(on_group(_tell_words, n=n), TOLD)
+    known = by_pid(told.groupBy("bucket").applyInArrow(on_group(_name_words), ANSWER), 0)
+    how = {"width": width, "n": n}
+    for level in range(1, rounds + 1):
+        told = deal.groupBy("pid").cogroup(known.groupBy("pid")).applyInArrow(on_pair(_tell_keys, **how, level=level), TOLD)
+        known = known.unionByName(by_pid(told.groupBy("bucket").applyInArrow(on_group(_name_keys), ANSWER), level))
+    asked = deal.groupBy("pid").cogroup(known.groupBy("pid")).applyInArrow(on_pair(_ask, **how, rounds=rounds), TOLD)
+    known = known.unionByName(by_pid(asked.groupBy("bucket").applyInArrow(on_group(_resolve, width=width), ANSWER), rounds + 1))
+    return deal.groupBy("pid").cogroup(known.groupBy("pid")).applyInArrow(on_pair(_remove, **how, rounds=rounds), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digests(found: DataFrame) -> DataFrame:
