@@ -300,7 +300,7 @@ def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = int.from_bytes(raw[:4], "little")
             cuts, buckets, sizes = np.split(np.frombuffer(raw, np.int32, 3 * n + 1, 4), [n + 1, 2 * n + 1])
             joined = _runs(raw, 8 + 12 * n + _edges(sizes))
-            yield pd.DataFrame({"bucket": buckets, "block": block, "first": cuts[:-1], "units": [u.decode() for u in joined], "alone": np.diff(cuts) == 1})
+            yield pd.DataFrame({"bucket": buckets, "block": block, "first": cuts[:-1], "units": pd.Series([u.decode() for u in joined], dtype=object), "alone": np.diff(cuts) == 1})
     give_back()
 
 
