@@ -1,105 +1,216 @@
 """Nearest neighbours by largest inner product: vantage-point trees, one per shard.
 
 Vectors get one more coordinate that brings all to the same length, so the largest inner product with a query (whose
-own extra coordinate is 0) is the least distance. A shard's tree splits its points about a vantage point into a ball
-and the rest; a query leaves out a side that the triangle inequality puts beyond ``factor`` times its current reach.
-Factor 1 searches exactly; less leaves out more. Scores of what is found are computed again in double precision on
-the vectors as given.
+own extra coordinate is 0) is the least distance. Pivots, some points of a bounded number, cut the space: a point belongs
+to the shard of its nearest pivot (a large one is dealt into several), and each shard's tree, built and written once,
+splits its points about vantage points into a ball and the rest. A query searches a shard of its nearest pivot first.
+What it finds there bounds its reach; it goes to another shard only if the triangle inequality leaves room for points
+within ``factor`` times the reach, and within a tree it leaves out the sides beyond that likewise. Factor 1 searches
+exactly; less leaves out more. How much can be left out depends on the data: much where vectors lie in clusters, little
+where they fill a sphere of many dimensions evenly. Scores of what is found are computed in double precision on the vectors as
+given.
 
-Equal vectors are one point with the least k + 1 of their ids (no more of them can be among k neighbours), so a
-vector that is very common is one point. Every point is in one shard's tree; shards hold about ``shard_rows`` points,
-and queries meet each shard in blocks of bounded size.
+Ties go to the smaller id: all points that rounding can't tell from the k + 1 nearest are kept until their scores are
+computed. Equal vectors are one point with the least k + 1 of their ids (no more of them can be among k neighbours), so a
+vector that is very common is one point.
 
 Vectors that are null, zero, or hold nulls or numbers that aren't finite take no part, nor do vectors of another
-dimension than a query's (they are searched among themselves). A row with a null id takes no part. Rows that repeat
-an id and its vector are one candidate. Ties go to the smaller id.
+dimension than a query's (they are searched among themselves; there are few dimensions). A row with a null id takes no
+part. Rows that repeat an id and its vector are one candidate. Empty tables give no rows. Other columns aren't read,
+whatever their names. A vector may be long, as a tree is held with its shard's vectors.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import on_pair, save
+from codeatlas.llm.common import on_group, on_pair, save
+
+#: Most pivots of a dimension; they go to all tasks.
+PIVOTS = 1024
 
 
 class Tree:
-    """A vantage-point tree over the rows of x (each of the same length)."""
+    """A vantage-point tree over points (vectors x, least id of each), which are brought to the length ``reach``."""
 
-    def __init__(self, x: np.ndarray, leaf: int = 128):
-        self.x, self.leaf = x, leaf
-        self.root = self._build(np.arange(len(x)))
+    def __init__(self, x: np.ndarray, least: np.ndarray, reach: float, leaf: int = 128):
+        self.reach, self.leaf = reach, leaf
+        self.order = np.arange(len(x))
+        self.x, self.extra = x, np.sqrt(np.maximum(reach * reach - (x * x).sum(axis=1), 0))
+        self.root = self._build(0, len(x))
+        self.x, self.least = x[self.order], least[self.order]
+        del self.extra
 
-    def _build(self, own: np.ndarray):
-        if len(own) <= self.leaf:
-            return own
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        inner = self.x[a] @ self.x[b].T + self.extra[a][:, None] * self.extra[b]
+        return np.sqrt(np.maximum(2 * (self.reach * self.reach - inner), 0))
+
+    def _build(self, lo: int, hi: int):
+        own = self.order[lo:hi]
+        if hi - lo <= self.leaf:
+            return lo, hi
         # of a few points spread over the node, the one whose distances vary most
         some = own[:: max(1, len(own) // 64)][:64]
-        d = _distance(self.x[some[:8]], self.x[some])
-        vantage = some[int(d.std(axis=1).argmax())]
-        d = _distance(self.x[[vantage]], self.x[own])[0]
+        vantage = some[int(self._apart(some[:8], some).std(axis=1).argmax())]
+        d = self._apart(np.array([vantage]), own)[0]
         radius = float(np.median(d))
         inside = d <= radius
         if inside.all():
-            return own
-        return vantage, radius, self._build(own[inside]), self._build(own[~inside])
+            return lo, hi
+        self.order[lo:hi] = np.concatenate([own[inside], own[~inside]])
+        cut = lo + int(inside.sum())
+        return self.x[vantage].copy(), radius, self._build(lo, cut), self._build(cut, hi)
+
+    def search(self, q: np.ndarray, k: int, factor: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query, row, score) of the k best points of each query, ties to the smaller id, and how many inner products it
+        took. known: a score that k points elsewhere have at least, for each query."""
+        out, cost = [], 0
+        for i in range(0, len(q), 256):
+            part = q[i : i + 256]
+            who, row, n = self._some(part, k, factor, np.full(len(part), -np.inf) if known is None else known[i : i + 256])
+            score = (self.x[row] * part[who]).sum(axis=1)
+            order = np.lexsort((self.least[row], -score, who))
+            who, row, score = who[order], row[order], score[order]
+            keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+            out.append((i + who[keep], row[keep], score[keep]))
+            cost += n
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+        return *(np.concatenate(x) for x in zip(*out, strict=True)), cost
+
+    def _some(self, q: np.ndarray, k: int, factor: float, known: np.ndarray):
+        squares = (q * q).sum(axis=1)
+        size = np.sqrt(squares) + self.reach
+        slack = 1e-11 * size * size  # of the rounding of an inner product, and more
+        best = np.full((len(q), k), -np.inf)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        cost = 0
 
-    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of about k nearest of each query, nearest first (-1: none)."""
-        best = np.full((len(q), k), np.inf)
-        found = np.full((len(q), k), -1)
+        def least(who):
+            return np.maximum(best[who, 0], known[who])
 
         def visit(node, who):
+            nonlocal cost
             if not len(who):
                 return
-            if isinstance(node, np.ndarray):
-                d = np.concatenate([best[who], _distance(q[who], self.x[node])], axis=1)
-                ids = np.concatenate([found[who], np.broadcast_to(node, (len(who), len(node)))], axis=1)
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                best[who] = np.take_along_axis(d, order, axis=1)
-                found[who] = np.take_along_axis(ids, order, axis=1)
+            if len(node) == 2:
+                lo, hi = node
+                s = q[who] @ self.x[lo:hi].T
+                cost += s.size
+                a, b = np.nonzero(s >= (least(who) - slack[who])[:, None])
+                found.append((who[a], lo + b, s[a, b]))
+                best[who] = np.sort(np.concatenate([best[who], s], axis=1), axis=1)[:, -k:]
                 return
             vantage, radius, near, far = node
-            gap = _distance(q[who], self.x[[vantage]])[:, 0] - radius
+            cost += len(who)
+            total = squares[who] + self.reach * self.reach
+            gap = np.sqrt(np.maximum(total - 2 * (q[who] @ vantage), 0)) - radius
             for side, first, second in ((gap <= 0, near, far), (gap > 0, far, near)):
-                mine, off = who[side], np.abs(gap[side])
+                mine = who[side]
                 visit(first, mine)
-                visit(second, mine[off <= factor * best[mine, -1]])
+                with np.errstate(invalid="ignore"):
+                    reach = np.sqrt(np.maximum(total[side] - 2 * least(mine), 0))
+                visit(second, mine[np.abs(gap[side]) <= factor * reach + 1e-7 * size[mine]])
 
-        for i in range(0, len(q), 256):
-            visit(self.root, np.arange(i, min(i + 256, len(q))))
-        return found, best
-
-
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(d, 0))
-
-
-def _search(key, points: pd.DataFrame, queries: pd.DataFrame, k: int, factor: float, reach: dict[int, float]) -> pd.DataFrame:
-    cols = ["qid", "ids", "score"]
-    if not len(points) or not len(queries):
-        return pd.DataFrame([], columns=cols)
-    points = points.iloc[np.argsort([x[0] for x in points["ids"]], kind="stable")]
-    x = np.array(points["vector"].tolist(), float)
-    q = np.array(queries["vector"].tolist(), float)
-    extra = np.sqrt(np.maximum(reach[x.shape[1]] - (x * x).sum(axis=1), 0))
-    tree = Tree(np.concatenate([x, extra[:, None]], axis=1))
-    # rounding may order near ties otherwise: some more are taken, and their scores computed again
-    found, _ = tree.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), k + 9, factor)
-    ids = points["ids"].tolist()
-    rows = []
-    for qid, v, own in zip(queries["qid"], q, found, strict=True):
-        own = own[own >= 0]
-        scores = (x[own] * v).sum(axis=1)
-        for i, s in zip(own.tolist(), scores.tolist(), strict=True):
-            rows.append((qid, ids[i], s))
-    return pd.DataFrame(rows, columns=cols)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 0.7, shard_rows: int = 8192, query_rows: int = 16384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+        visit(self.root, np.arange(len(q)))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), cost
+        who, row, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = s >= least(who) - slack[who]
+        return who[keep], row[keep], cost
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.array([np.asarray(v, float) for v in vectors], float)
+
+
+def _far(x: np.ndarray, pivots: np.ndarray, reach: float, query: bool) -> np.ndarray:
+    """Distances from points (or queries) to the pivots."""
+    inner, squares = x @ pivots.T, (x * x).sum(axis=1)
+    if not query:
+        extra = lambda y: np.sqrt(np.maximum(reach * reach - (y * y).sum(axis=1), 0))
+        inner, squares = inner + extra(x)[:, None] * extra(pivots), np.full(len(x), reach * reach)
+    return np.sqrt(np.maximum(squares[:, None] + reach * reach - 2 * inner, 0))
+
+
+def _by_dimension(x: pd.DataFrame):
+    dims = x["vector"].map(len)
+    for dim in sorted(dims.unique()):
+        yield int(dim), x[dims == dim]
+
+
+def _assign(pivots: dict[int, np.ndarray], reach: dict[int, float]):
+    """dim, pivot, and the distance to it of each point."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            for dim, part in _by_dimension(x):
+                d = _far(_matrix(part["vector"]), pivots[dim], reach[dim], False)
+                near = d.argmin(axis=1)
+                yield part.assign(dim=dim, pivot=near, away=d[np.arange(len(d)), near])
+
+    return run
+
+
+def _build(x: pd.DataFrame, reach: dict[int, float]) -> pd.DataFrame:
+    """A shard's tree, packed, as one row."""
+    x = x.iloc[np.argsort([i[0] for i in x["ids"]], kind="stable")]
+    ids = [np.asarray(i, np.int64) for i in x["ids"]]
+    tree = Tree(_matrix(x["vector"]), np.array([i[0] for i in ids]), reach[int(x["dim"].iat[0])])
+    return pd.DataFrame({"dim": x["dim"].iloc[:1], "pivot": x["pivot"].iloc[:1], "part": x["part"].iloc[:1], "tree": [pickle.dumps((tree, [ids[i] for i in tree.order]))]})
+
+
+def _route(pivots: dict[int, np.ndarray], reach: dict[int, float], parts: dict[int, np.ndarray], radius: dict[int, np.ndarray], factor: float, first: bool):
+    """The shards that a query goes to: one of its nearest pivot first; then all others that may hold points near
+    enough (a point is no nearer to another pivot than to its own)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            for dim, part in _by_dimension(x):
+                if dim not in pivots:
+                    continue
+                for i in range(0, len(part), 512):
+                    own = part.iloc[i : i + 512]
+                    q = _matrix(own["vector"])
+                    d = _far(q, pivots[dim], reach[dim], True)
+                    home = np.where(parts[dim] > 0, d, np.inf).argmin(axis=1)
+                    mine = own["qid"].to_numpy() % parts[dim][home]
+                    if first:
+                        yield own[["qid", "vector"]].assign(dim=dim, pivot=home, part=mine, known=-np.inf)
+                        continue
+                    known = own["known"].to_numpy()
+                    squares = (q * q).sum(axis=1)
+                    far = np.sqrt(np.maximum(squares + reach[dim] ** 2 - 2 * known, 0))
+                    bound = np.maximum(d - radius[dim], (d - d[np.arange(len(d)), home][:, None]) / 2)
+                    open_ = bound <= (factor * far + 1e-7 * (np.sqrt(squares) + reach[dim]))[:, None]
+                    who, pivot = np.nonzero(open_ & (parts[dim] > 0))
+                    times = parts[dim][pivot]
+                    who, pivot = np.repeat(who, times), np.repeat(pivot, times)
+                    number = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+                    other = (pivot != home[who]) | (number != mine[who])
+                    who, pivot, number = who[other], pivot[other], number[other]
+                    for a in range(0, len(who), 4096):
+                        s = slice(a, a + 4096)
+                        yield own[["qid", "vector"]].iloc[who[s]].assign(dim=dim, pivot=pivot[s], part=number[s], known=known[who[s]])
+
+    return run
+
+
+def _search(key, trees: pd.DataFrame, queries: pd.DataFrame, k: int, factor: float) -> pd.DataFrame:
+    if not len(trees) or not len(queries):
+        return pd.DataFrame([], columns=["qid", "ids", "score"])
+    tree, ids = pickle.loads(trees["tree"].iat[0])
+    who, row, score, _ = tree.search(_matrix(queries["vector"]), k, factor, queries["known"].to_numpy(float))
+    return pd.DataFrame({"qid": queries["qid"].to_numpy()[who], "ids": pd.Series([ids[i] for i in row], dtype=object), "score": score})
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 0.2, shard_rows: int = 8192, query_rows: int = 16384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, without the query itself. queries:
     rows like those of vectors."""
     if k < 1 or not 0 < factor <= 1:
@@ -117,17 +228,44 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     points = save(points.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "points")
     asked = save(clean(queries), "asked")
     wanted = save(asked.groupBy("vector").agg(F.min("id").alias("qid")), "wanted")
+    dim = F.size("vector").alias("dim")
     squares = F.aggregate("vector", F.lit(0.0), lambda a, e: a + e * e)
-    sizes = points.groupBy(F.size("vector").alias("dim")).agg(F.max(squares).alias("reach"), F.count("*").alias("n"))
-    reach = {r["dim"]: r["reach"] * (1 + 1e-9) for r in sizes.collect()}  # one row for each dimension
-    shards = max(1, -(-points.count() // shard_rows))
-    blocks = max(1, -(-wanted.count() // query_rows))
-    group = lambda other, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(other)
-    left = points.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vector"), F.lit(shards)).alias("shard"), group("block", blocks), "vector", "ids")
-    right = wanted.select(F.size("vector").alias("dim"), group("shard", shards), F.pmod(F.xxhash64("vector", F.lit(1)), F.lit(blocks)).alias("block"), "vector", "qid").withColumn("shard", F.col("shard").cast("long"))
-    left = left.withColumn("block", F.col("block").cast("long"))
-    key = ["dim", "shard", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(on_pair(_search, k=k, factor=factor, reach=reach), "qid long, ids array<long>, score double")
+    sizes = points.groupBy(dim).agg(F.max(squares).alias("reach"), F.count("*").alias("n")).collect()  # one row for each dimension
+    reach = {r["dim"]: float(np.sqrt(r["reach"])) * (1 + 1e-9) for r in sizes}
+    # pivots: the first points by a hash, at most PIVOTS of a dimension
+    count = {r["dim"]: min(PIVOTS, max(1, -(-r["n"] // shard_rows))) for r in sizes}
+    pivots = {}
+    for r in sizes:
+        chosen = points.filter(F.size("vector") == r["dim"]).orderBy(F.xxhash64("vector"), "ids").limit(count[r["dim"]]).collect()
+        pivots[r["dim"]] = _matrix([x["vector"] for x in chosen])
+    placed = save(points.mapInPandas(_assign(pivots, reach), "vector array<double>, ids array<long>, dim int, pivot int, away double"), "placed")
+    shards = placed.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # at most PIVOTS rows a dimension
+    parts = {d: np.zeros(c, np.int64) for d, c in count.items()}
+    radius = {d: np.zeros(c) for d, c in count.items()}
+    for r in shards:
+        parts[r["dim"]][r["pivot"]], radius[r["dim"]][r["pivot"]] = -(-r["n"] // shard_rows), r["radius"]
+    own = F.pmod(F.xxhash64("vector", F.lit(7)), F.ceil(F.col("n") / shard_rows)).cast("int").alias("part")
+    light = placed.groupBy("dim", "pivot").agg(F.count("*").alias("n"))
+    dealt = placed.join(light, ["dim", "pivot"]).select("dim", "pivot", own, "vector", "ids")
+    shard = ["dim", "pivot", "part"]
+    trees = save(dealt.groupBy(*shard).applyInPandas(on_group(_build, reach=reach), "dim int, pivot int, part int, tree binary"), "trees")
+    routed = "qid long, vector array<double>, dim int, pivot int, part int, known double"
+
+    def search(asks: DataFrame) -> DataFrame:
+        """The best k + 1 points of each query in each shard that it goes to."""
+        asks = save(asks, "asks")
+        blocks = asks.groupBy(*shard).agg(F.ceil(F.count("*") / query_rows).alias("blocks"))
+        copies = trees.join(blocks, shard).select(*shard, "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        given = asks.join(blocks, shard).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")))
+        key = [*shard, "block"]
+        found = copies.groupBy(*key).cogroup(given.groupBy(*key)).applyInPandas(on_pair(_search, k=k + 1, factor=factor), "qid long, ids array<long>, score double")
+        return save(found, "found")
+
+    how = (pivots, reach, parts, radius, factor)
+    home = search(wanted.mapInPandas(_route(*how, True), routed))
+    known = home.groupBy("qid").agg(F.min("score").alias("low"), F.count("*").alias("n")).select(F.col("qid").alias("own"), F.when(F.col("n") > k, F.col("low")).otherwise(float("-inf")).alias("known"))
+    reached = wanted.join(known, F.col("qid") == F.col("own"), "left").select("qid", "vector", F.coalesce("known", F.lit(float("-inf"))).alias("known"))
+    found = home.unionByName(search(reached.mapInPandas(_route(*how, False), routed)))
     each = found.select("qid", "score", F.explode("ids").alias("vec_id"))
     order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     top = each.withColumn("n", order).filter(F.col("n") <= k + 1)
