@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,13 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets a temporary one;
+    on a cluster that would be another folder on each machine, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="codeatlas-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -36,6 +41,17 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, results: Iterable[str] = ()) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """docs under names that clash with nothing, the new name of each column, and the way back: to the names as they
+    were, with the columns ``results`` after them. Columns of docs that are named like a result, in whatever case, give
+    way to it."""
+    names = [f"doc{i}_" for i in range(len(docs.columns))]
+    taken = {r.lower() for r in results}
+    kept = [(c, n) for c, n in zip(docs.columns, names, strict=True) if c.lower() not in taken]
+    new = dict(reversed(list(zip(docs.columns, names, strict=True))))
+    return docs.toDF(*names), new, lambda x: x.select(*[F.col(n).alias(c) for c, n in kept], *results)
+
+
 def dealt(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
     """(pid, doc_id, text as bytes) and the number of groups: each document goes to one of many groups of about
     ``group_bytes`` by a hash of its own contents, so any run deals it alike. Null text is empty; a null id counts

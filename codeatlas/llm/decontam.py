@@ -7,10 +7,14 @@ gives the window's start; the window must fit in the document there (length and
 compared word by word over its own size.
 
 The benchmark is read in blocks of bounded size, ``block_windows`` windows each; a block's index goes to the tasks as
-a broadcast of that bound, and documents pass the blocks one after another, so no row is joined with all items.
+a broadcast of that bound, and documents pass the blocks one after another, with what is found so far written between
+them, so no row is joined with all items and a task holds one block.
 
 Null text has no words. Items without words have no windows. Item ids are text in the results; items that share an
-id count once, and the windows of items without an id count as hits only. Documents are rows of their own, whatever their ids.
+id count once, and the windows of items without an id count as hits only. Documents are rows of their own, whatever
+their ids; their columns stay, whatever their names, but for those named like a result, which it replaces. An empty
+table gives no rows; without a benchmark nothing is hit. Texts are searched whole; the places of shingles in them are
+compared some at a time, so a very long text takes memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import give_back
+from codeatlas.llm.common import apart, give_back, save
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -166,9 +170,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shingl
     if not 0 < shingle <= width:
         raise ValueError("shingle must be from 1 to width")
     spark = docs.sparkSession
-    out = docs.withColumns({"_hits": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>"), "_n": F.lit(0).cast("long"), "_hit": F.lit(0).cast("long")})
+    away, names, back = apart(docs, ("n_words", "n_hit", "items", "contaminated"))
+    text = names[text_col]
+    out = away.withColumns({"hits": F.lit(None).cast("binary"), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long")})
     searched = False
-    for part in blocks(benchmark, width, block_windows, item_col, item_text_col):
+    parts = blocks(benchmark, width, block_windows, item_col, item_text_col)
+    for i, part in enumerate(parts):
         index = Index([(r["item"], words_of(r["text"])) for r in part.toLocalIterator()], width, shingle)
         if not index.items:
             continue
@@ -184,16 +191,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shingl
             give_back()
             yield pd.DataFrame([(k, v, n) for (k, v), n in total.items()], columns=["size", "key", "n"])
 
-        counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(rarity, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
+        counts = away.select(F.col(text).cast("string").alias("text")).mapInPandas(rarity, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
         index.order({(r["size"], r["key"]): r["n"] for r in counts.toLocalIterator()})  # one row for each shingle of the block
+        shared.unpersist()
         shared = spark.sparkContext.broadcast(index)
         schema = out.schema
 
         def search(frames: Iterator[pd.DataFrame], shared=shared, schema=schema) -> Iterator[pd.DataFrame]:
             for x in frames:
-                words = [words_of(t) for t in x[text_col]]
+                words = [words_of(t) for t in x[text]]
                 hits, items, sizes, counts = [], [], [], []
-                for w, old, had, (s, e, found) in zip(words, x["_hits"], x["_items"], shared.value.search(words), strict=True):
+                for w, old, had, (s, e, found) in zip(words, x["hits"], x["items"], shared.value.search(words), strict=True):
                     sizes.append(len(w))
                     if len(s):
                         depth = np.zeros(len(w) + 1, np.int64)
@@ -206,18 +214,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, shingl
                     hits.append(old)
                     counts.append(0 if old is None else int(np.bitwise_count(np.frombuffer(old, np.uint8)).sum()))
                     items.append(sorted({*had, *found}))
-                x["_hits"], x["_items"], x["_n"], x["_hit"] = hits, items, sizes, counts
+                x["hits"], x["items"], x["n_words"], x["n_hit"] = hits, items, sizes, counts
                 del words
                 yield x[schema.names]
             give_back()
 
         out = out.mapInPandas(search, schema)
+        if i < len(parts) - 1:
+            out = save(out, "blocks")
+            shared.unpersist()
     if not searched:
 
         @F.pandas_udf("long")
         def n_words(text: pd.Series) -> pd.Series:
             return pd.Series([len(words_of(t)) for t in text], dtype="int64")
 
-        out = out.withColumn("_n", n_words(docs[text_col].cast("string")))
-    out = out.withColumns({"n_words": F.col("_n"), "n_hit": F.col("_hit"), "items": F.col("_items")})
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).drop("_hits", "_items", "_n", "_hit")
+        out = out.withColumn("n_words", n_words(F.col(text).cast("string")))
+    return back(out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))))

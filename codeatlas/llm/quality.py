@@ -13,7 +13,8 @@ without the sites' evidence.
 Host: ``host_col`` up to its first slash; path: the rest of it, and the columns ``path_cols``. Null keys are empty
 strings, null text is empty. Labels of ids that repeat count as they are; rows with null labels or ids are left out.
 With labels of one class only, or none, every document gets the smoothed share of good ones. Rows are rows of their
-own, and all columns of docs stay, whatever their names; an empty table gives an empty result.
+own, and all columns of docs stay, whatever their names, but for those named like a result, which it replaces; an empty
+table gives an empty result. Texts are read whole, one at a time, so a very long one takes memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import give_back, save
+from codeatlas.llm.common import apart, give_back, save
 
 FEATURES = 16
 
@@ -71,6 +72,12 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> n
     return np.concatenate([[w[0] - out @ mean], out])
 
 
+def _labelled(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text, _y) of the rows with a chosen id."""
+    own = docs.select(F.col(id_col).alias("_own"), F.col(text_col).cast("string").alias("text"))
+    return own.join(F.broadcast(chosen), F.col("_own") == F.col("_id")).select("text", "_y")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights fitted on at most ``sample`` labelled rows."""
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y is not null")
@@ -80,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
     def vector(text: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in text])
 
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(vector(docs[text_col].cast("string")).alias("x"), "_y").limit(4 * sample).toPandas()  # the bound is the sample's
+    rows = _labelled(docs, chosen, id_col, text_col).select(vector("text").alias("x"), "_y").limit(4 * sample).toPandas()  # the bound is the sample's
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), -1) if len(rows) else np.zeros((0, FEATURES))
     order = np.lexsort(np.concatenate([x.T, rows["_y"].to_numpy(float)[None]])) if len(rows) else []
     return fit(x[order], rows["_y"].to_numpy(float)[order]) if len(rows) else fit(x, np.zeros(0))
@@ -121,8 +128,7 @@ def train_toxic(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_wind
     ``n_windows`` windows that tell most about the label a text has. The driver gets no texts."""
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y is not null")
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(docs[text_col].cast("string").alias("text"), "_y").limit(4 * sample)
-    rows = save(rows, "labelled")  # the bound is the sample's
+    rows = save(_labelled(docs, chosen, id_col, text_col).limit(4 * sample), "labelled")  # the bound is the sample's
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, bad = np.zeros(GRAMS, np.int32), np.zeros(GRAMS, np.int32)
@@ -163,6 +169,7 @@ def train_toxic(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_wind
 def score_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with p_toxic and toxic: p_toxic of the threshold or more."""
     best, w = model
+    away, names, back = apart(docs, ("p_toxic", "toxic"))
 
     @F.pandas_udf("double")
     def probability(text: pd.Series) -> pd.Series:
@@ -171,7 +178,7 @@ def score_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col:
         give_back()
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))), dtype="float64")
 
-    return docs.withColumn("p_toxic", probability(docs[text_col].cast("string"))).withColumn("toxic", F.col("p_toxic") >= threshold)
+    return back(away.withColumn("p_toxic", probability(F.col(names[text_col]).cast("string"))).withColumn("toxic", F.col("p_toxic") >= threshold))
 
 
 def _logit(p: Column) -> Column:
@@ -188,8 +195,9 @@ def _strength(means: DataFrame, near: Column) -> Column:
     return F.least(F.greatest(spread / between - 1, F.lit(1.0)), F.lit(1e4))
 
 
-def score(docs: DataFrame, weights: np.ndarray, host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with p_document, p_site (the path's posterior without the document), p_quality and keep."""
+def score(docs: DataFrame, weights: np.ndarray, host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), text_col: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all, if not given) with p_document, p_site (the path's posterior without the
+    document), p_quality and keep. Each text is read once: the classifier's evidence is written with those columns."""
     w = weights.tolist()
 
     @F.pandas_udf("double")
@@ -198,25 +206,30 @@ def score(docs: DataFrame, weights: np.ndarray, host_col: str = "source", path_c
         give_back()
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))), dtype="float64")
 
-    key = F.coalesce(docs[host_col].cast("string"), F.lit(""))
+    wanted = docs if keep is None else docs.select(*keep)
+    _, _, back = apart(wanted, ("p_document", "p_site", "p_quality", "keep"))
+    own, names, _ = apart(docs)
+    new = dict(zip(wanted.columns, [f"doc{i}_" for i in range(len(wanted.columns))], strict=True))
+    key = F.coalesce(F.col(names[host_col]).cast("string"), F.lit(""))
     host = F.substring_index(key, "/", 1)
-    path = F.concat_ws("/", F.substring(key, F.length(host) + 1, F.length(key)), *[F.coalesce(docs[c].cast("string"), F.lit("")) for c in path_cols])
-    own = docs.withColumns({"_host": host, "_path": path, "p_document": F.least(F.greatest(probability(docs[text_col].cast("string")), F.lit(1e-6)), F.lit(1 - 1e-6))})
+    path = F.concat_ws("/", F.substring(key, F.length(host) + 1, F.length(key)), *[F.coalesce(F.col(names[c]).cast("string"), F.lit("")) for c in path_cols])
+    own = own.select(*[F.col(names[c]).alias(n) for c, n in new.items()], host.alias("host"), path.alias("path"), F.least(F.greatest(probability(F.col(names[text_col]).cast("string")), F.lit(1e-6)), F.lit(1 - 1e-6)).alias("p_document"))
+    own = save(own, "evidence")
     p = F.col("p_document")
     # sums in units of 2**-30, so that their order doesn't matter
     unit = float(1 << 30)
     fixed = lambda c: F.sum(F.round(c * unit).cast("long")).cast("double") / unit
-    paths = own.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), fixed(p).alias("s"), fixed(p * p).alias("ss"))
+    paths = own.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), fixed(p).alias("s"), fixed(p * p).alias("ss"))
     paths = save(paths, "sites")
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     total = paths.agg(F.sum("n"), F.sum("s")).first()
     mu = min(max((total[1] or 0.0) / (total[0] or 1.0), 1e-6), 1 - 1e-6)
     alpha = float(hosts.agg(_strength(hosts, F.lit(mu))).first()[0] or 1.0)
-    named = paths.join(hosts.select("_host", F.col("n").alias("host_n"), F.col("s").alias("host_s")), "_host")
+    named = paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s")), "host")
     near = (alpha * mu + F.col("host_s")) / (alpha + F.col("host_n"))
     beta = float(named.agg(_strength(named, near)).first()[0] or 1.0)
-    out = own.join(named.select("_host", "_path", F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("host_n").alias("_hn"), F.col("host_s").alias("_hs")), ["_host", "_path"])
-    host_mean = (alpha * mu + F.col("_hs") - p) / (alpha + F.col("_hn") - 1)
-    site = F.least(F.greatest((beta * host_mean + F.col("_s") - p) / (beta + F.col("_n") - 1), F.lit(1e-6)), F.lit(1 - 1e-6))
+    out = own.join(named.drop("ss"), ["host", "path"])
+    host_mean = (alpha * mu + F.col("host_s") - p) / (alpha + F.col("host_n") - 1)
+    site = F.least(F.greatest((beta * host_mean + F.col("s") - p) / (beta + F.col("n") - 1), F.lit(1e-6)), F.lit(1 - 1e-6))
     final = 1 / (1 + F.exp(-(_logit(p) + _logit(site) - float(np.log(mu / (1 - mu))))))
-    return out.withColumns({"p_site": site, "p_quality": final, "keep": final >= threshold}).select(*[docs[c] for c in docs.columns], "p_document", "p_site", "p_quality", "keep")
+    return back(out.withColumns({"p_site": site, "p_quality": final, "keep": final >= threshold}))

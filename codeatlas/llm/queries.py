@@ -18,7 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     labels = _table(spark, sf_dir, "labels")
-    scored = quality.score(quality.score_toxic(docs, quality.train_toxic(docs, labels)), quality.train(docs, labels))
+    toxic = quality.score_toxic(docs, quality.train_toxic(docs, labels))
+    scored = quality.score(toxic, quality.train(docs, labels), keep=["doc_id", "p_toxic", "toxic"])
     return scored.select("doc_id", *[F.round(c, 9).alias(c) for c in ("p_document", "p_site", "p_quality", "p_toxic")], "keep", "toxic")
 
 

@@ -11,8 +11,10 @@ keep about half of them: still no pair is lost, and with so few bits left open a
 not by the corpus. Within a bucket no pairs are listed: a breadth-first search links each fingerprint once.
 Components then come from alternating star contraction over the links, in tables.
 
-Null text has no words: fingerprint zero, linked like any other. A null id counts as larger than all others and comes
-back as null. Rows that repeat an id or a text are rows of their own with the same component.
+Null and empty texts have no words: fingerprint zero, linked like any other. Ids are any 64-bit numbers; a null id counts
+as larger than all of them and comes back as null. Rows that repeat an id or a text are rows of their own with the same
+component; a component without ids has a null one. An empty table gives no rows. Columns may have any name. A text is
+read whole, so a very long one takes memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import give_back, mix, save
+from codeatlas.llm.common import apart, give_back, mix, save
 
 _BIG = (1 << 63) - 1
 
@@ -171,23 +173,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _named(own: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
-    """(fp, rep, component_id) of the distinct fingerprints of a saved table. Where no row has an id, rep is a number
-    of its own beyond 2**62."""
-    rep = F.min(F.when(~F.col("no_id"), F.col("doc_id")))
-    distinct = own.groupBy("fp").agg(F.coalesce(rep, F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))).alias("rep"))
-    distinct = save(distinct, "distinct")
-    found = components(hamming_links(distinct, radius, bucket_rows))
-    return distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "rep").alias("component_id"))
-
-
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, bucket_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row; a component without ids has a null one."""
     own = save(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    return own.join(_named(own, radius, bucket_rows).drop("rep"), "fp").select(
+    distinct = save(own.groupBy("fp").agg(F.min(F.when(~F.col("no_id"), F.col("doc_id"))).alias("low")), "distinct")
+    found = components(hamming_links(distinct.select("fp", F.col("fp").alias("rep")), radius, bucket_rows))
+    named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("label"))
+    named = named.select("fp", "label").join(named.groupBy("label").agg(F.min("low").alias("component_id")), "label").drop("label")
+    return own.join(named, "fp").select(
         F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"),
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("component_id") < (1 << 62), F.col("component_id")).alias("component_id"),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
     )
 
 
@@ -315,7 +310,7 @@ def _verify(share: int, of: int):
 
 def similar_links(own: DataFrame, distinct: DataFrame, share: int = 4, of: int = 5, group_shingles: int = 1 << 20) -> DataFrame:
     """Links (u, v) that connect what any two texts of a band with a similarity of share / of connect. own: the saved
-    sketches; distinct: fp, rep, n, bands. Bands with the same members are searched once; one that holds more than
+    sketches; distinct: rep (a text's hash), low (its smallest id), n, bands. Bands with the same members are searched once; one that holds more than
     ``group_shingles`` is dealt into parts, and each two parts are searched together."""
     spread = distinct.select("rep", "n", F.explode("bands").alias("band"))
     same = spread.groupBy("band").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.sum("n").alias("total")).filter("rows > 1")
@@ -324,9 +319,9 @@ def similar_links(own: DataFrame, distinct: DataFrame, share: int = 4, of: int =
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
     dealt = dealt.select("rep", "band", "part", other).select("rep", F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other")).alias("grp"))
     members = save(dealt, "members")
-    wanted = distinct.select("fp", "rep").join(members.select("rep").distinct(), "rep", "left_semi")
-    # one row of each text: the one that gave it its number, or any of those without an id
-    sets = own.join(wanted, "fp").filter("doc_id = rep or rep >= 4611686018427387904").select("rep", "own")
+    wanted = distinct.select("rep", "low").join(members.select("rep").distinct(), "rep", "left_semi")
+    # of the rows of a text, those with its smallest id, and any of these
+    sets = own.join(wanted, (own["fp"] == wanted["rep"]) & (F.struct("no_id", "doc_id") == F.col("low"))).select("rep", "own")
     sets = save(sets.groupBy("rep").agg(F.first("own").alias("own")), "sets")
     return members.join(sets, "rep").repartition("grp").sortWithinPartitions("grp", "rep").mapInPandas(_verify(share, of), "u long, v long").distinct()
 
@@ -337,16 +332,16 @@ def keep_one(docs: DataFrame, size: int = 5, share: int = 4, of: int = 5, id_col
     about 10 bits. Candidates come from the bands instead, and each link is verified over the whole sets."""
     light = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_BIG)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).cast("string").alias("text"))
     own = save(light.mapInPandas(_sketches(size), "doc_id long, no_id boolean, fp long, n long, bands array<long>, own binary"), "sketches")
-    none = F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))
-    distinct = own.groupBy("fp").agg(F.coalesce(F.min(F.when(~F.col("no_id"), F.col("doc_id"))), none).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    distinct = save(distinct, "distinct")
+    low = F.min(F.struct("no_id", "doc_id")).alias("low")
+    distinct = save(own.groupBy(F.col("fp").alias("rep")).agg(low, F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
     found = components(similar_links(own, distinct, share, of, group_shingles))
-    first = distinct.join(found, distinct["rep"] == found["node"], "left").filter("component is null or component = rep").select(F.col("fp").alias("_fp"), F.col("rep").alias("_rep"))
-    key = F.when(F.col("no_id"), none).otherwise(F.col("doc_id"))
-    first = first.join(own.select("fp", key.alias("key")), (F.col("_fp") == F.col("fp")) & (F.col("_rep") == F.col("key"))).groupBy("_fp", "_rep").agg((F.count("*") > 1).alias("_again"))
-    first = save(first, "first")
-    marked = docs.withColumn("_own", _key_udf()(docs[text_col].cast("string")))
-    rep = F.coalesce(docs[id_col].cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("_own"), F.lit(1 << 61)))
-    kept = marked.withColumn("_id", rep).join(first, (F.col("_own") == F.col("_fp")) & (F.col("_id") == F.col("_rep")))
-    once, again = kept.filter("not _again"), kept.filter("_again").dropDuplicates(["_fp", "_rep"])
-    return once.unionByName(again).select(*docs.columns)
+    label = distinct.select("rep", "low").join(found, F.col("rep") == F.col("node"), "left").select(F.coalesce("component", "rep").alias("label"), "rep", "low")
+    first = label.groupBy("label").agg(F.min(F.struct("low", "rep")).alias("x")).select(F.col("x.rep").alias("kept"), F.col("x.low.no_id").alias("kept_no"), F.col("x.low.doc_id").alias("kept_id"))
+    # which of these several rows share
+    rows = own.select("fp", "no_id", "doc_id").join(first, (F.col("fp") == F.col("kept")) & (F.col("no_id") == F.col("kept_no")) & (F.col("doc_id") == F.col("kept_id")))
+    first = save(rows.groupBy("kept", "kept_no", "kept_id").agg((F.count("*") > 1).alias("again")), "first")
+    away, names, back = apart(docs)
+    key, text = F.col(names[id_col]).cast("long"), F.col(names[text_col]).cast("string")
+    marked = away.withColumns({"own": _key_udf()(text), "own_no": key.isNull(), "own_id": F.coalesce(key, F.lit(_BIG))})
+    kept = marked.join(first, (F.col("own") == F.col("kept")) & (F.col("own_no") == F.col("kept_no")) & (F.col("own_id") == F.col("kept_id")))
+    return back(kept.filter("not again").unionByName(kept.filter("again").dropDuplicates(["kept", "kept_no", "kept_id"])))
