@@ -1,51 +1,152 @@
-"""Column functions over text: identifiers, URLs, measures of code. All built-in expressions."""
+"""Column functions over text: identifiers, URLs, paths, measures of code. All built-in expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: where identifiers are cut
+CAMEL = ("([a-z0-9])([A-Z])", "([A-Z]+)([A-Z][a-z])")
+# fixed values: words that say nothing in a query
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "at", "for", "is",
+    "are", "was", "be", "by", "as", "it", "this", "that", "with", "how", "does",
+    "do", "what", "when", "where", "why", "which", "about", "into", "from",
+]
+# fixed values: decision points of code, in Python and elsewhere
+BRANCHES = {
+    "Python": r"\bif\s|\belif\s|\bwhile\s|\bfor\s|\bexcept\b|\band\s|\bor\s",
+    "": r"\bif\s*\(|\bwhile\s*\(|\bfor\s*[(]|\bdo\s*[{]|\bcase\s+|\bcatch\s*\(|&&|\|\|",
+}
+# fixed values: families of credentials
+SECRETS = {
+    "aws_access_key": r"AKIA[0-9A-Z]{16}",
+    "private_key_block": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
+    "slack_token": r"xox[baprs]-[0-9A-Za-z-]{10,}",
+    "github_token": r"gh[pousr]_[0-9A-Za-z]{30,}",
+    "env_assigned_secret": r"""(?i)\b(?:SECRET|TOKEN|PASSWORD|PASSWD|API_KEY|ACCESS_KEY|PRIVATE_KEY)\s*[:=]\s*['"]?[^\s'"]{8,}""",
+}
+# fixed values: the language of each file extension
+LANGUAGES = {
+    "py": "Python", "ts": "TypeScript", "tsx": "TypeScript", "mts": "TypeScript", "cts": "TypeScript",
+    "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "go": "Go", "rs": "Rust",
+    "rb": "Ruby", "java": "Java", "kt": "Kotlin", "kts": "Kotlin", "php": "PHP", "phtml": "PHP", "cs": "C#",
+    "cpp": "C++", "cc": "C++", "cxx": "C++", "h": "C++", "hpp": "C++", "c": "C", "swift": "Swift",
+    "scala": "Scala", "sc": "Scala", "dart": "Dart", "lua": "Lua", "ex": "Elixir", "exs": "Elixir", "sh": "Bash", "bash": "Bash",
+}
+# fixed values: paths of test files
+TEST_PATHS = [
+    r"\.(test|spec)\.(ts|tsx|js|jsx|mjs|cjs)$", r"(^|/)__tests__/", r"(^|/)test_[^/]+\.(ts|js|py)$",
+    r"[^/]+_test\.(py|go|cpp|cc|cxx)$", r"(^|/)tests?/[^/]+\.(py|ts|js|rb|php)$",
+    r"[A-Z][a-zA-Z0-9]*(Test|Tests|IT)\.(java|kt|scala)$", r"[A-Z][a-zA-Z0-9]*Spec\.(kt|scala|rb)$", r"(^|/)src/test/.*\.(java|kt|scala|groovy)$",
+]
+# fixed values: prefixes that a caller may add to a route's path
+API_PREFIXES = ["/api/v1", "/api/v2", "/api/v3", "/api", "/v1", "/v2", "/v3"]
+
+
+def _cut(word: Column) -> Column:
+    """The camel-case parts of a word."""
+    return F.split(F.regexp_replace(F.regexp_replace(word, CAMEL[0], "$1 $2"), CAMEL[1], "$1 $2"), " ")
+
+
+def _chunks(text: Column) -> Column:
+    return F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda w: w != "")
+
 
 def tokenize(text: Column) -> Column:
     """Lower-case compounds and their camel-case parts, of two characters or more; repeats stay."""
-    parts = F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda w: w != "")
 
     def pieces(w: Column) -> Column:
-        cut = F.regexp_replace(F.regexp_replace(w, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-        sub = F.split(F.lower(cut), " ")
+        sub = F.transform(_cut(w), F.lower)
         return F.when(F.size(sub) > 1, F.concat(F.array(F.lower(w)), sub)).otherwise(F.array(F.lower(w)))
 
-    return F.filter(F.flatten(F.transform(parts, pieces)), lambda w: F.length(w) > 1)
+    return F.filter(F.flatten(F.transform(_chunks(text), pieces)), lambda w: F.length(w) > 1)
+
+
+def normalize_tokens(text: Column) -> Column:
+    """Lower-case camel-case parts of two characters or more that aren't stop words; repeats stay, compounds don't."""
+    parts = F.flatten(F.transform(_chunks(text), lambda w: F.transform(_cut(w), F.lower)))
+    return F.filter(parts, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
 
 
 def normalize_url(url: Column) -> Column:
     """Path with parameters unified: host, query and fragment go, slashes collapse, all lower."""
-    x = F.regexp_replace(url, r"\$\{[^}]*\}", ":param")
+    x = F.regexp_replace(url, r"\$\{[^}]+\}", ":param")
     x = F.regexp_replace(x, r"^https?://[^/]+", "")
     x = F.regexp_replace(x, r"[?#].*$", "")
-    x = F.regexp_replace(x, r"\{[^}]*\}|<[^>]*>|:[A-Za-z_][A-Za-z0-9_]*", ":param")
-    x = F.regexp_replace(x, r"/+", "/")
-    return F.lower(F.concat(F.lit("/"), F.regexp_replace(x, r"^/+|/+$", "")))
+    x = F.regexp_replace(F.regexp_replace(x, r"\{[^}]+\}", ":param"), r"<[^>]+>", ":param")
+    x = F.regexp_replace(x, r":[A-Za-z0-9_]+", ":param")
+    x = F.regexp_replace(F.concat(F.lit("/"), x), r"/+", "/")
+    return F.lower(F.when(F.length(x) > 1, F.regexp_replace(x, "/$", "")).otherwise(x))
+
 
+def candidate_paths(path: Column) -> Column:
+    """The path, and what is left of it without each known prefix."""
+    rest = [F.when(path.startswith(p + "/"), F.substring(path, len(p) + 1, 1 << 30)).when(path == p, "/") for p in API_PREFIXES]
+    return F.array_distinct(F.array_compact(F.array(path, *rest)))
 
-def cyclomatic(text: Column) -> Column:
-    """1 and the number of branching words and signs."""
-    return F.regexp_count(text, F.lit(r"\b(if|for|while|case|catch|and|or)\b|&&|\|\||\?")) + 1
+
+def cyclomatic(text: Column, language: Column | None = None) -> Column:
+    """1 and the number of decision points."""
+    count = lambda k: F.regexp_count(text, F.lit(BRANCHES[k])) + 1
+    return count("") if language is None else F.when(language == "Python", count("Python")).otherwise(count(""))
 
 
 def naming_case(name: Column) -> Column:
-    kinds = [("^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$", "upper_snake"), ("^[a-z][a-z0-9]*(_[a-z0-9]+)+$", "snake"), ("^[a-z][a-z0-9]*(-[a-z0-9]+)+$", "kebab"), ("^[A-Z][a-z0-9]+([A-Z][a-z0-9]*)*$", "pascal"), ("^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$", "camel"), ("^[a-z][a-z0-9]*$", "lower")]
-    out = F.lit("other")
-    for pattern, kind in reversed(kinds):
-        out = F.when(name.rlike(pattern), kind).otherwise(out)
-    return out
+    """camelCase, PascalCase or snake_case of a name without the underscores at its ends; null if it is none of them."""
+    core = F.regexp_replace(F.regexp_replace(name, "^_+", ""), "_+$", "")
+    under = F.contains(core, F.lit("_"))
+    none = (core == "") | ~core.rlike("^[A-Za-z]") | core.rlike("^[A-Z][A-Z0-9_]*$") | (under & core.rlike("[A-Z]"))
+    return F.when(none, F.lit(None)).when(under, "snake_case").when(core.rlike("^[A-Z]"), "PascalCase").when(core.rlike("[a-z0-9][A-Z]"), "camelCase")
 
 
-# fixed values: families of credentials
-SECRETS = {"aws": r"AKIA[0-9A-Z]{16}", "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "github": r"gh[pousr]_[A-Za-z0-9]{36}", "slack": r"xox[baprs]-[A-Za-z0-9-]{10,}", "assigned": r"(password|secret|token|api_key)\s*[:=]\s*['\"]?[A-Za-z0-9+/_.=-]{8,}"}
+def kebab_case(name: Column) -> Column:
+    """Lower-case words of letters and digits, joined by hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.array_join(_cut(name), "-")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def detect_language(path: Column) -> Column:
+    lower = F.lower(path)
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    out = F.coalesce(F.try_element_at(known, F.element_at(F.split(lower, r"\."), -1)), F.lit("unknown"))
+    infra = F.when(lower.endswith(".tf") | lower.endswith(".tfvars") | lower.endswith(".tf.json"), "Terraform").when(lower.endswith(".bicep"), "Bicep")
+    return F.coalesce(infra, out)
+
+
+def is_test_file(path: Column) -> Column:
+    own = F.regexp_replace(path, r"\\", "/")
+    test = F.lit(False)
+    for p in TEST_PATHS:
+        test = test | own.rlike(p)
+    return test
+
+
+def is_generated(path: Column) -> Column:
+    ends = path.endswith(".d.ts") | path.endswith(".generated.ts") | path.endswith(".generated.js")
+    return ends | path.contains("/generated/") | path.contains("/__generated__/")
 
 
 def token_estimate(text: Column) -> Column:
     """ceil(other characters / 4 + code punctuation / 2)."""
     marks = F.regexp_count(text, F.lit(r"[{}()\[\];:,.<>=+*/&|!-]"))
     return F.ceil((F.length(text) - marks) / 4.0 + marks / 2.0).cast("long")
+
+
+def type_one(text: Column) -> Column:
+    """Code without comments (`//`, `/* */` and `#` lines), its white space collapsed."""
+    x = F.regexp_replace(text, r"(?s)/\*.*?\*/", " ")
+    x = F.regexp_replace(x, r"(?m)(//|#)[^\n]*", " ")
+    return F.trim(F.regexp_replace(x, r"[ \t\r\n\f\x0B]+", " "))
+
+
+def shingles(tokens: Column, size: int = 5) -> Column:
+    """Distinct runs of ``size`` tokens."""
+    n = F.size(tokens) - size + 1
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.concat_ws("\x00", *[F.get(tokens, i + j) for j in range(size)]))
+    return F.when(n >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two arrays as sets; of two empty ones, 1."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / F.size(F.array_union(a, b)))

@@ -37,7 +37,7 @@ def labels() -> Column:
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, depth): least number of edges from any seed (a column id); to the fixpoint if no depth is given."""
-    pairs = edges.select("src", "dst").distinct()
+    pairs = materialize(edges.select("src", "dst").distinct(), "pairs")
     reached = materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "bfs")
     front, depth = reached, 0
     while max_depth is None or depth < max_depth:
@@ -59,7 +59,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 def shortest(edges: DataFrame, seeds: DataFrame, max_distance: int = 12) -> DataFrame:
     """(id, distance, hops): least cost from any seed over edges with a cost, and the fewest edges among those paths.
     Costs are 1 or more, so max_distance rounds do."""
-    priced = edges.withColumn("cost", cost(F.col("conf"))).filter("cost is not null").groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+    priced = materialize(edges.withColumn("cost", cost(F.col("conf"))).filter("cost is not null").groupBy("src", "dst").agg(F.min("cost").alias("cost")), "priced")
     best = materialize(seeds.select("id", F.lit(0).alias("distance"), F.lit(0).alias("hops")).distinct(), "paths")
     front = best
     for _ in range(max_distance):
@@ -77,6 +77,7 @@ def pagerank(ids: DataFrame, edges: DataFrame, rounds: int = 20, damping: float
     """(id, rank): rank = (1 - d)/n + d * sum of rank/out_degree, without what dangling nodes hold, after ``rounds``
     rounds, divided by the largest."""
     pairs = edges.select("src", "dst").distinct()
+    ids = materialize(ids.select("id"), "ids")
     n = ids.count()
     pairs = materialize(pairs.join(pairs.groupBy("src").agg(F.count("*").alias("deg")), "src"), "weighted")
     rank = ids.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))

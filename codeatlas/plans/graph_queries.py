@@ -96,9 +96,9 @@ def caller_files(s, d):
     return G.distinct_calls(edges(s, d)).join(a, "src").join(b, "dst").filter("caller_file <> file").select("file", "caller_file").distinct()
 
 
-@query(f"{WITH} SELECT id, name FROM node WHERE lower(name) LIKE '%1%'")
+@query(f"{WITH} SELECT id, name FROM node WHERE lower(name) LIKE '%ring%' ORDER BY name, id LIMIT 50")
 def search_nodes(s, d):
-    return nodes(s, d).filter(F.lower("name").contains("1")).select("id", "name")
+    return nodes(s, d).filter(F.lower("name").contains("ring")).select("id", "name").orderBy("name", "id").limit(50)
 
 
 @query(f"{WITH} SELECT (SELECT count(*) FROM node) AS nodes, (SELECT count(DISTINCT file) FROM node) AS files, (SELECT count(*) FROM edge) AS edges, (SELECT count(*) FROM edge WHERE conf = 'external') AS external")
@@ -113,9 +113,9 @@ def external_names(s, d):
     return edges(s, d).filter("conf = 'external'").join(nodes(s, d), F.col("dst") == F.col("id")).select(F.col("name").alias("external_name")).distinct()
 
 
-@query(f"{WITH} SELECT min(id) AS id, name AS stable_id FROM node GROUP BY name HAVING count(*) = 1")
+@query(f"{WITH} SELECT min(id) AS id, file || '::' || name || '::' || cost AS stable_id FROM node GROUP BY 2 HAVING count(*) = 1")
 def unique_stable_id(s, d):
-    return nodes(s, d).groupBy(F.col("name").alias("stable_id")).agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").select("id", "stable_id")
+    return nodes(s, d).groupBy(F.concat_ws("::", "file", "name", F.col("cost").cast("string")).alias("stable_id")).agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").select("id", "stable_id")
 
 
 @query(f"{WITH} SELECT conf, count(*) AS n FROM edge GROUP BY conf")
@@ -211,7 +211,7 @@ def layer_violations(s, d):
     return G.distinct_calls(edges(s, d)).join(r.select(F.col("id").alias("src"), F.col("r").alias("from_rank")), "src").join(r.select(F.col("id").alias("dst"), F.col("r").alias("to_rank")), "dst").filter("from_rank > to_rank").select("src", "dst", "from_rank", "to_rank")
 
 
-RULES = [("forbidden", "Brand#1", "Brand#2"), ("forbidden", "Brand#3", "Brand#1"), ("forbidden", "Brand#9", "Brand#1")]
+RULES = [("forbidden", "Brand#1", "Brand#2"), ("forbidden", "Brand#3", "Brand#1"), ("forbidden", "Brand#77", "Brand#1")]
 RULE_SQL = "rule(kind, a, b) AS (VALUES " + ", ".join(str(x) for x in RULES) + ")"
 
 
@@ -275,11 +275,11 @@ def coverage_gaps(s, d):
     return fans(s, d).filter("fan_in + fan_out > 0").join(live, "id", "left_anti").select("id", G.labels().alias("labels"))
 
 
-@query(f"""{REC}, t(id, depth) AS (SELECT id, 0 FROM fan WHERE fan_in >= 8 UNION SELECT c.src, depth + 1 FROM t JOIN (SELECT DISTINCT src, dst FROM edge) c ON t.id = c.dst WHERE depth < 6)
+@query(f"""{REC}, t(id, depth) AS (SELECT id, 0 FROM fan WHERE fan_in >= 5 UNION SELECT c.src, depth + 1 FROM t JOIN (SELECT DISTINCT src, dst FROM edge) c ON t.id = c.dst WHERE depth < 12)
   SELECT t.id AS test_id, CASE WHEN min(depth) <= 1 THEN 'high' WHEN min(depth) <= 3 THEN 'medium' ELSE 'low' END AS confidence FROM t JOIN node n ON t.id = n.id WHERE n.lang LIKE 'STANDARD%' GROUP BY t.id""")
 def select_tests(s, d):
-    changed = fans(s, d).filter("fan_in >= 8").select("id")
-    back = G.bfs(G.reversed_edges(edges(s, d)), changed, 6)
+    changed = fans(s, d).filter("fan_in >= 5").select("id")
+    back = G.bfs(G.reversed_edges(edges(s, d)), changed, 12)
     level = F.when(F.col("depth") <= 1, "high").when(F.col("depth") <= 3, "medium").otherwise("low")
     return back.join(nodes(s, d).filter("lang like 'STANDARD%'").select("id"), "id").select(F.col("id").alias("test_id"), level.alias("confidence"))
 
@@ -291,18 +291,24 @@ def weighted_path(s, d):
     return G.shortest(edges(s, d), _seeds(s, d), 6).select("id", "distance", "hops")
 
 
-@query(f"""{REC}, up(id, root, depth) AS (SELECT id, id, 0 FROM fan WHERE fan_in >= 8 UNION SELECT c.src, root, depth + 1 FROM up JOIN (SELECT DISTINCT src, dst FROM edge) c ON up.id = c.dst WHERE depth < 2),
-  b AS (SELECT root, count(DISTINCT id) - 1 AS blast FROM up GROUP BY root)
+_SPREAD = "{0}(id, root, depth) AS (SELECT id, id, 0 FROM fan WHERE fan_in >= 5 UNION SELECT c.{1}, root, depth + 1 FROM {0} JOIN (SELECT DISTINCT src, dst FROM edge) c ON {0}.id = c.{2} WHERE depth < 2)"
+
+
+@query(f"""{REC}, {_SPREAD.format('up', 'src', 'dst')}, {_SPREAD.format('down', 'dst', 'src')},
+  b AS (SELECT root, count(DISTINCT id) - 1 AS blast FROM (SELECT id, root FROM up UNION ALL SELECT id, root FROM down) GROUP BY root)
   SELECT f.id, blast, least(100, floor(4 * fan_in + 2 * fan_out + 20 + 1.5 * blast + 0.5))::BIGINT AS risk FROM fan f JOIN b ON f.id = b.root""")
 def impact(s, d):
-    """Two levels of callers of each hub, and the risk they make."""
+    """Two levels of callers and of callees of each hub, and the risk they make."""
     e = edges(s, d).select("src", "dst").distinct()
-    roots = fans(s, d).filter("fan_in >= 8").select(F.col("id").alias("root"), "fan_in", "fan_out")
-    one = roots.select("root").join(e, F.col("root") == F.col("dst")).select("root", F.col("src").alias("id"))
-    two = one.join(e, F.col("id") == F.col("dst")).select("root", F.col("src").alias("id"))
-    blast = one.unionByName(two).filter("root <> id").distinct().groupBy("root").agg(F.count("*").alias("blast"))
-    risk = F.least(F.lit(100), F.floor(4 * F.col("fan_in") + 2 * F.col("fan_out") + 20 + 1.5 * F.col("blast") + 0.5))
-    return roots.join(blast, "root").select(F.col("root").alias("id"), "blast", risk.cast("long").alias("risk"))
+    roots = fans(s, d).filter(F.col("fan_in") >= G.HUB_FAN_IN).select(F.col("id").alias("root"), "fan_in", "fan_out")
+
+    def reach(a, b):
+        one = roots.select("root").join(e, F.col("root") == F.col(b)).select("root", F.col(a).alias("id")).distinct()
+        return one.unionByName(one.join(e, F.col("id") == F.col(b)).select("root", F.col(a).alias("id")))
+
+    blast = reach("src", "dst").unionByName(reach("dst", "src")).filter("root <> id").distinct().groupBy("root").agg(F.count("*").alias("blast"))
+    risk = F.least(F.lit(100), F.floor(4 * F.col("fan_in") + 2 * F.col("fan_out") + 20 + 1.5 * F.coalesce("blast", F.lit(0)) + 0.5))
+    return roots.join(blast, "root", "left").select(F.col("root").alias("id"), F.coalesce("blast", F.lit(0)).alias("blast"), risk.cast("long").alias("risk"))
 
 
 @query("WITH RECURSIVE up(child, ancestor, depth) AS (SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 1 FROM supplier), t AS (SELECT * FROM up UNION ALL SELECT a.child, b.ancestor, 2 FROM up a JOIN up b ON a.ancestor = b.child) SELECT ancestor, depth, count(*) AS n FROM t GROUP BY ancestor, depth")
@@ -366,10 +372,3 @@ def continuity(s, d):
     # a body that several share on a side matches nothing, so only single ones are joined
     one = lambda x: x.withColumn("n", F.count("*").over(Window.partitionBy(*key))).filter("n = 1").drop("n")
     return one(old).join(one(new), key).select("old_id", "new_id")
-
-
-@query("SELECT s_name AS producer, count(*) AS consumers FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_name")
-def federation_consumers(s, d):
-    # counted before the join: one row for each nation instead of each pair
-    c = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("consumers"))
-    return table(s, d, "supplier").join(c, F.col("s_nationkey") == F.col("k")).select(F.col("s_name").alias("producer"), "consumers").groupBy("producer").agg(F.sum("consumers").alias("consumers"))

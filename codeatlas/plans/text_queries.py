@@ -30,17 +30,6 @@ def _plain(text):
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 1)
 
 
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda w: length(w) > 1)) AS n_compounds FROM documents")
-def tokenize(s, d):
-    words = F.filter(F.split("text", "[^A-Za-z0-9]+"), lambda w: F.length(w) > 1)
-    return table(s, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_compounds"))
-
-
-@query()
-def identifier_tokens(s, d):
-    return table(s, d, "documents").select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("doc_id").alias("df"))
-
-
 def bm25(docs, terms: list[str]):
     """(doc_id, score) by BM25 of the query's terms, repeats of a term counted. Lengths and document frequencies are
     of all documents; only rows of the query's terms are shuffled."""
@@ -70,10 +59,20 @@ def bm25_search(s, d):
     return bm25(table(s, d, "documents"), QUERY).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query("WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS line FROM documents) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (contains(lower(line), 'the')) AS n_hits FROM l WHERE trim(line) <> '' GROUP BY doc_id")
+@query(BM25_SQL + " SELECT doc_id, score FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 60) JOIN documents USING (doc_id) WHERE lang = 'de' OR n_chars > 1500 ORDER BY score DESC, doc_id LIMIT 20")
+def filtered_search(s, d):
+    """The filter is above the limit: three times as many are taken first."""
+    docs = table(s, d, "documents")
+    first = bm25(docs, QUERY).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(60)
+    kept = docs.select("doc_id", "lang", "n_chars").join(F.broadcast(first), "doc_id").filter("lang = 'de' or n_chars > 1500")  # 60 rows
+    return kept.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query("""WITH l AS (SELECT doc_id * 1000000 + i AS doc_id, left(lines[i], 1000) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i) WHERE trim(lines[i]) <> ''), """ + BM25_SQL.removeprefix("WITH ").replace("FROM documents", "FROM l") + " SELECT doc_id AS line_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 50")
 def text_line_search(s, d):
-    lines = table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\r?\n")).alias("line")).filter(F.trim("line") != "")
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(F.lower("line").contains("the"), 1)).alias("n_hits"))
+    """BM25 over lines."""
+    lines = text_lines(s, d).select((F.col("doc_id") * 1000000 + F.col("line")).alias("doc_id"), "text")
+    return bm25(lines, QUERY).orderBy(F.desc("score"), "doc_id").limit(50).withColumnRenamed("doc_id", "line_id")
 
 
 KNN_SQL = "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), k AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.e::DOUBLE[]), 6) AS score FROM embeddings, q)"
@@ -98,20 +97,65 @@ def dense_knn(s, d):
 
 
 @query(BM25_SQL.replace("WITH w", KNN_SQL.replace("q AS", "qv AS").replace(", q)", ", qv)").replace("q.e", "qv.e") + ", w") + """,
-  a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS r FROM (SELECT * FROM k ORDER BY score DESC, vec_id LIMIT 50)), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 50))
-  SELECT coalesce(a.id, b.id) AS id, round(coalesce(1 / (61.0::DOUBLE + a.r), 0) + coalesce(1 / (61.0::DOUBLE + b.r), 0), 6) AS score FROM a FULL OUTER JOIN b ON a.id = b.id""")
+  a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS r FROM (SELECT * FROM k ORDER BY score DESC, vec_id LIMIT 50)),
+  z AS (SELECT d.doc_id AS id, coalesce(bm.score, 0) AS score FROM documents d LEFT JOIN bm ON d.doc_id = bm.doc_id), b AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (SELECT * FROM z ORDER BY score DESC, id LIMIT 50)),
+  fu AS (SELECT coalesce(a.id, b.id) AS id, round(coalesce(1 / (61.0::DOUBLE + a.r), 0) + coalesce(1 / (61.0::DOUBLE + b.r), 0), 6) AS score FROM a FULL OUTER JOIN b ON a.id = b.id WHERE a.id IS NOT NULL OR b.score > 0)
+  SELECT fu.id, fu.score FROM fu JOIN documents d ON fu.id = d.doc_id WHERE d.lang <> 'fr' ORDER BY fu.score DESC, fu.id LIMIT 20""")
 def hybrid_rrf(s, d):
-    """Reciprocal rank fusion of the 50 first by vectors and by BM25; ranks count from 0."""
-    first = lambda x, key: x.orderBy(F.desc("score"), key).limit(50).select(F.col(key).alias("id"), (F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1).alias("r"))
-    a, b = first(knn(table(s, d, "embeddings"), _query_vector(s, d)), "vec_id"), first(bm25(table(s, d, "documents"), QUERY), "doc_id")
-    one = lambda c: F.coalesce(1 / (61.0 + c), F.lit(0.0))
-    return a.withColumnRenamed("r", "ra").join(b.withColumnRenamed("r", "rb"), "id", "full_outer").select("id", F.round(one(F.col("ra")) + one(F.col("rb")), 6).alias("score"))
-
-
-@query("SELECT conv_id, sum(4 * least(3, len(regexp_extract_all(lower(text), 'the')))  + CASE WHEN role = 'user' THEN 1 ELSE 0 END)::BIGINT AS score FROM conversations GROUP BY conv_id")
+    """Reciprocal rank fusion of the 50 first by vectors and by BM25; ranks count from 0. Texts without a score fill the
+    second list too and so rank a vector's candidate, but are no candidates themselves. The filter comes last."""
+    docs = table(s, d, "documents")
+    near = knn(table(s, d, "embeddings"), _query_vector(s, d)).orderBy(F.desc("score"), "vec_id").limit(50)
+    a = near.select(F.col("vec_id").alias("id"), (F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")) - 1).alias("ra"))
+    scored = docs.select("doc_id").join(bm25(docs, QUERY), "doc_id", "left").na.fill(0.0, ["score"])
+    first = scored.orderBy(F.desc("score"), "doc_id").limit(50)
+    b = first.select(F.col("doc_id").alias("id"), F.col("score").alias("bm"), (F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")) - 1).alias("rb"))
+    one = lambda c: F.coalesce(1 / (61.0 + F.col(c)), F.lit(0.0))
+    x = a.join(b, "id", "full_outer").filter("ra is not null or bm > 0").select("id", F.round(one("ra") + one("rb"), 6).alias("score"))
+    kept = docs.select(F.col("doc_id").alias("id"), "lang").join(F.broadcast(x), "id").filter("lang <> 'fr'")  # 100 rows at most
+    return kept.select("id", "score").orderBy(F.desc("score"), "id").limit(20)
+
+
+_SIDE = "SELECT bm.doc_id AS id, '{0}' AS side, score FROM bm JOIN documents d ON bm.doc_id = d.doc_id WHERE d.lang {1} ORDER BY score DESC, bm.doc_id LIMIT 30"
+
+
+@query(BM25_SQL + f""", code AS ({_SIDE.format('code', "= 'en'")}), spec AS ({_SIDE.format('spec', "<> 'en'")}), link AS (SELECT DISTINCT l_partkey AS code, l_suppkey AS spec FROM lineitem WHERE l_quantity > 48),
+  n AS (SELECT 'code' AS side, code AS id, count(*) AS n FROM link GROUP BY code UNION ALL SELECT 'spec', spec, count(*) FROM link GROUP BY spec), u AS (SELECT * FROM code UNION ALL SELECT * FROM spec)
+  SELECT u.id, CASE WHEN n > 0 THEN 'both' ELSE u.side END AS kind, round(score + CASE WHEN n > 0 THEN 0.3 + least(0.1 * (n - 1), 0.3) ELSE 0 END, 6)::DOUBLE AS score FROM u LEFT JOIN n ON u.id = n.id AND u.side = n.side ORDER BY 3 DESC, 1 LIMIT 20""")
+def unified_search(s, d):
+    """Hits in code (English texts) and in specifications (the others), with a boost for those that are linked."""
+    docs = table(s, d, "documents")
+    hits = bm25(docs, QUERY).join(docs.select("doc_id", "lang"), "doc_id")
+    side = lambda name, test: hits.filter(test).orderBy(F.desc("score"), "doc_id").limit(30).select(F.col("doc_id").alias("id"), F.lit(name).alias("side"), "score")
+    u = side("code", "lang = 'en'").unionByName(side("spec", "lang <> 'en'"))
+    link = table(s, d, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("code"), F.col("l_suppkey").alias("spec")).distinct()
+    n = link.groupBy(F.col("code").alias("id")).agg(F.count("*").alias("n")).withColumn("side", F.lit("code")).unionByName(link.groupBy(F.col("spec").alias("id")).agg(F.count("*").alias("n")).withColumn("side", F.lit("spec")))
+    boost = F.when(F.col("n") > 0, 0.3 + F.least(0.1 * (F.col("n") - 1), F.lit(0.3))).otherwise(0.0)
+    x = n.join(F.broadcast(u), ["id", "side"], "right")  # 60 rows
+    return x.select("id", F.when(F.col("n") > 0, "both").otherwise(F.col("side")).alias("kind"), F.round(F.col("score") + boost, 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+MEMORY = ["small", "ring", "economy", "brand", "gear"]
+_TERMS = "[" + ", ".join(f"'{t}'" for t in MEMORY) + "]"
+_HIT = "list_sum(list_transform(" + _TERMS + ", lambda t: least(3, len(list_filter({}, lambda w: w = t)))))"
+_PART = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 1)"
+
+
+@query(f"""WITH m AS (SELECT p_partkey AS id, {_PART.format('p_name')} AS sym, {_PART.format('p_type')} AS tag, {_PART.format('p_brand')} AS file, {_PART.format("repeat(p_name || ' ' || p_type || ' ', p_size)")} AS body, lower(p_name || ' ' || p_type || ' ' || p_brand) AS hay FROM part),
+  x AS (SELECT id, hay, 4 * {_HIT.format('sym')} + 3 * {_HIT.format('tag')} + 2 * {_HIT.format('file')} + {_HIT.format('body')} + CASE WHEN len(list_filter(sym, lambda w: NOT list_contains({_TERMS}, w))) = 0 THEN 8 ELSE 0 END AS score FROM m)
+  SELECT id, CASE WHEN score > 0 THEN score ELSE round(0.1 * len(list_filter({_TERMS}, lambda t: contains(hay, t))), 6) END::DOUBLE AS score FROM x""")
 def memory_rank(s, d):
-    hits = F.least(F.lit(3), F.regexp_count(F.lower("text"), F.lit("the")))
-    return table(s, d, "conversations").groupBy("conv_id").agg(F.sum(4 * hits + F.when(F.col("role") == "user", 1).otherwise(0)).alias("score"))
+    """Field-weighted scores of memories: the part's name is the anchored symbol, its type the tag, its brand the file."""
+    terms = F.array(*[F.lit(t) for t in MEMORY])
+    p = table(s, d, "part")
+    body = F.expr("repeat(concat(p_name, ' ', p_type, ' '), p_size)")
+    x = p.select(F.col("p_partkey").alias("id"), *[T.normalize_tokens(F.lower(c)).alias(n) for c, n in ((F.col("p_name"), "sym"), (F.col("p_type"), "tag"), (F.col("p_brand"), "file"), (body, "body"))], F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("hay"))
+    hit = lambda c: F.aggregate(terms, F.lit(0), lambda acc, t: acc + F.least(F.lit(3), F.size(F.filter(c, lambda w: w == t))))
+    named = F.when(F.size(F.array_except("sym", terms)) == 0, 8).otherwise(0)
+    score = 4 * hit("sym") + 3 * hit("tag") + 2 * hit("file") + hit("body") + named
+    x = x.select("id", "hay", score.alias("score"))
+    rest = F.round(0.1 * F.size(F.filter(terms, lambda t: F.contains(F.col("hay"), t))), 6)
+    return x.select("id", F.when(F.col("score") > 0, F.col("score").cast("double")).otherwise(rest).alias("score"))
 
 
 @query("SELECT file, count(*) AS kept FROM (SELECT p_brand AS file, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE run <= 200 OR r = 1 GROUP BY file")
@@ -150,35 +194,37 @@ def duplication_stats(s, d):
     return g.agg(F.sum("n").alias("documents"), many.alias("duplicated"), F.round(many / F.sum("n"), 3).alias("ratio"))
 
 
-@query("SELECT doc_id, 1 + len(regexp_extract_all(text, '\\b(if|for|while|case|catch|and|or)\\b|&&|\\|\\||\\?'))  AS complexity FROM documents")
-def cyclomatic(s, d):
-    return table(s, d, "documents").select("doc_id", T.cyclomatic(F.col("text")).cast("long").alias("complexity"))
+_BRANCH = "len(regexp_extract_all(text, '{}'))"
 
 
-@query("SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')) AS {n}" for n, p in T.SECRETS.items()) + " FROM documents")
-def secret_families(s, d):
-    return table(s, d, "documents").agg(*[F.count(F.when(F.col("text").rlike(p), 1)).alias(n) for n, p in T.SECRETS.items()])
+@query(f"SELECT doc_id, 1 + CASE WHEN lang = 'en' THEN {_BRANCH.format(T.BRANCHES['Python'])} ELSE {_BRANCH.format(T.BRANCHES[''])} END AS complexity FROM documents")
+def cyclomatic(s, d):
+    """English texts stand for Python, whose branching words they hold."""
+    language = F.when(F.col("lang") == "en", "Python").otherwise("other")
+    return table(s, d, "documents").select("doc_id", T.cyclomatic(F.col("text"), language).cast("long").alias("complexity"))
 
 
-URL = "lower('/' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '[?#].*$', ''), '/+', '/', 'g'), '^/+|/+$', '', 'g'))"
+@query("SELECT doc_id, ceil((length(text) - m) / 4.0 + m / 2.0)::BIGINT AS tokens FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[{}()\\[\\];:,.<>=+*/&|!-]')) AS m FROM documents)")
+def token_estimates(s, d):
+    return table(s, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(f"SELECT page_id, {URL} AS path FROM pages")
-def normalize_url(s, d):
-    return table(s, d, "pages").select("page_id", T.normalize_url(F.col("url")).alias("path"))
+@query("SELECT doc_id, i AS line, left(lines[i], 1000) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i) WHERE trim(lines[i]) <> ''")
+def text_lines(s, d):
+    """Lines of text that aren't blank, numbered from 1 and cut at 1,000 characters."""
+    x = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("i", "t")).filter(F.trim("t") != "")
+    return x.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.substring("t", 1, 1000).alias("text"))
 
 
-@query(f"WITH r AS (SELECT DISTINCT {URL} AS path FROM pages), c AS (SELECT page_id, regexp_replace({URL}, '\\.html$', '') AS path FROM pages) SELECT c.page_id, r.path FROM c JOIN r ON c.path = r.path")
-def http_edges(s, d):
-    pages = table(s, d, "pages")
-    routes = pages.select(T.normalize_url(F.col("url")).alias("path")).distinct()
-    calls = pages.select("page_id", F.regexp_replace(T.normalize_url(F.col("url")), r"\.html$", "").alias("path"))
-    return calls.join(routes, "path").select("page_id", "path")
+@query("SELECT page_id, i AS number, s[i] AS script FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS s FROM pages), unnest(range(1, len(s) + 1)) AS t(i)")
+def inline_scripts(s, d):
+    x = table(s, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("i", "script"))
+    return x.select("page_id", (F.col("i") + 1).cast("long").alias("number"), "script")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN regexp_full_match(p_name, '[A-Z][A-Z0-9]*(_[A-Z0-9]+)+') THEN 'upper_snake' WHEN regexp_full_match(p_name, '[a-z][a-z0-9]*(_[a-z0-9]+)+') THEN 'snake' WHEN regexp_full_match(p_name, '[a-z][a-z0-9]*(-[a-z0-9]+)+') THEN 'kebab' WHEN regexp_full_match(p_name, '[A-Z][a-z0-9]+([A-Z][a-z0-9]*)*') THEN 'pascal' WHEN regexp_full_match(p_name, '[a-z][a-z0-9]*([A-Z][a-z0-9]*)+') THEN 'camel' WHEN regexp_full_match(p_name, '[a-z][a-z0-9]*') THEN 'lower' ELSE 'other' END AS naming FROM part")
-def naming_case(s, d):
-    return nodes(s, d).select("id", T.naming_case(F.col("name")).alias("naming"))
+@query("SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')) AS {n}" for n, p in T.SECRETS.items()) + " FROM documents")
+def secret_families(s, d):
+    return table(s, d, "documents").agg(*[F.count(F.when(F.col("text").rlike(p), 1)).alias(n) for n, p in T.SECRETS.items()])
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?s)<script[^>]*>.*?</script>')) AS n_scripts, len(regexp_extract_all(html, 'href=\"[^\"]*\"')) AS n_links FROM pages")
