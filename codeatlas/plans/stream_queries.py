@@ -28,7 +28,11 @@ def freshness_state(s, d):
     return S.freshness_batch(table(s, d, "events"))
 
 
-for f in (stream_tool_stats, stream_hourly_events, freshness_state):
+def freshness_state_stream(s, d):
+    return S.run_once(S.freshness_stream(_stream(s, d)))
+
+
+for f in (stream_tool_stats, stream_hourly_events, freshness_state, freshness_state_stream):
     QUERIES[f.__name__] = f
 ORACLE_SQL["stream_tool_stats"] = "SELECT event_type AS tool, count(*) AS calls, floor(avg(value) + 0.5)::BIGINT AS avg_ms, max(value) AS max_ms FROM events GROUP BY event_type"
 ORACLE_SQL["stream_hourly_events"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY 1, 2"

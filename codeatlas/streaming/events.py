@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -10,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.session import shared_dir
+from codeatlas.streaming.machine import Session
 
-#: Load of each event type, and the loads and ages (minutes) at which a session degrades or turns stale.
-LOAD, DEGRADED, STALE, AGES = {"click": 1, "view": 2, "purchase": 5, "error": 8}, 30, 60, (15, 30)
+#: Load of each event type; a signup begins a session anew.
+LOAD = {"click": 1, "view": 2, "purchase": 5, "error": 8}
 
 
 def stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -37,40 +39,60 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), "event_type", "n")
 
 
-def freshness(rows: list[tuple]) -> list[tuple]:
-    """The session's state after each event (ts in seconds, id, type), in order: load grows by the type's weight and
-    by 5 where the type changes within 5 seconds; a signup resets it."""
-    out, load, since, last, at = [], 0, None, None, None
-    for ts, event, kind in rows:
-        if since is None or kind == "signup":
-            load, since = 0, ts
+def _follow(session: Session | None, ts_us: list[int], kinds: list[str], modules: list[str | None]) -> tuple[Session | None, list[tuple]]:
+    """The session after some calls in order, and (load, state, depth, score, level) after each."""
+    out = []
+    for us, kind, module in zip(ts_us, kinds, modules, strict=True):
+        at = us // 1000
+        session = session or Session(at)
+        if kind == "signup":
+            session.orient(at)
         else:
-            load += LOAD.get(kind, 1) + (5 if kind != last and ts - at > 5 else 0)
-        age = (ts - since) / 60
-        state = "stale" if load >= STALE or age >= AGES[1] else "degraded" if load >= DEGRADED or age >= AGES[0] else "fresh"
-        out.append((event, load, state))
-        last, at = kind, ts
-    return out
+            session.call(at, LOAD.get(kind, 1), module)
+        out.append((session.load, session.state, session.depth, float(session.score), session.level))
+    return session, out
+
+
+STATES = "user_id long, event_id long, load long, state string, depth int, score double, level int"
+_KEYS = ["user_id", "event_id", "load", "state", "depth", "score", "level"]
+
+
+def calls(events: DataFrame) -> DataFrame:
+    """(user_id, us, event_id, event_type, module) of events; those of a small value touch no module."""
+    module = F.when(F.col("value") > 3, F.col("event_type")).alias("module")
+    return events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "event_type", module)
 
 
 def freshness_batch(events: DataFrame) -> DataFrame:
-    """(user_id, event_id, load, state) by streaming each user's events in order through the machine: rows of a user
-    pass one after another, so a user of any size takes bounded memory."""
-    order = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "event_type").repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
+    """Each session's freshness and panic after each event, in order: rows of a user pass one after another, so a user of
+    any size takes bounded memory."""
+    order = calls(events).repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, load, since, last, at = None, 0, None, None, None
+        user, session = None, None
         for x in frames:
-            rows = []
-            for u, us, event, kind in zip(x["user_id"], x["us"], x["event_id"], x["event_type"], strict=True):
-                ts = us / 1e6
-                if u != user or since is None or kind == "signup":
-                    user, load, since = u, 0, ts
-                else:
-                    load += LOAD.get(kind, 1) + (5 if kind != last and ts - at > 5 else 0)
-                age = (ts - since) / 60
-                rows.append((u, event, load, "stale" if load >= STALE or age >= AGES[1] else "degraded" if load >= DEGRADED or age >= AGES[0] else "fresh"))
-                last, at = kind, ts
-            yield pd.DataFrame(rows, columns=["user_id", "event_id", "load", "state"])
-
-    return order.mapInPandas(run, "user_id long, event_id long, load long, state string")
+            rows: list[tuple] = []
+            for u, own in x.groupby("user_id", sort=False):
+                session = session if u == user else None
+                user = u
+                modules = [None if pd.isna(m) else m for m in own["module"]]
+                session, out = _follow(session, own["us"].tolist(), own["event_type"].tolist(), modules)
+                rows += [(u, e, *o) for e, o in zip(own["event_id"].tolist(), out, strict=True)]
+            yield pd.DataFrame(rows, columns=_KEYS)
+
+    return order.mapInPandas(run, STATES)
+
+
+def freshness_stream(events: DataFrame) -> DataFrame:
+    """The same for a stream: the session is the state of its user. Events of a batch are put in order; a later batch
+    goes on from there."""
+
+    def run(key, frames, state):
+        session = pickle.loads(state.get[0]) if state.exists else None
+        x = pd.concat(list(frames)).sort_values(["us", "event_id"])  # a batch's events of one user
+        modules = [None if pd.isna(m) else m for m in x["module"]]
+        session, out = _follow(session, x["us"].tolist(), x["event_type"].tolist(), modules)
+        state.update((pickle.dumps(session),))
+        yield pd.DataFrame([(key[0], e, *o) for e, o in zip(x["event_id"].tolist(), out, strict=True)], columns=_KEYS)
+
+    return calls(events).groupBy("user_id").applyInPandasWithState(run, STATES, "session binary", "append", "NoTimeout")
