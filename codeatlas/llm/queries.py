@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.llm import ann, chat, decontam, pieces, quality, recompress, secrets, shard, simhash, suffix
+from codeatlas.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +42,8 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(-1, 0, "user", said), (-1, 1, "assistant", said)]
     own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = own.unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    return chat.digests(chat.format_conversations(own, tokenizer_file("byte_bpe_50k.json")))
+    found = chat.digests(chat.format_conversations(own, tokenizer_file("byte_bpe_50k.json")))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_vp_tree_search, op8_hypergeometric_shards, op9_recompression_dedup, op10_sentencepiece,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
