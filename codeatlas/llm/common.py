@@ -113,6 +113,12 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
 
 
+def runs(buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, start, stop) of each run of a sorted array: the buckets that hold anything."""
+    at = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+    return list(zip(buckets[at].tolist(), at.tolist(), [*at[1:].tolist(), len(buckets)], strict=False))
+
+
 def chunks(lengths: np.ndarray, most: int):
     """Slices of consecutive documents that hold about ``most`` bytes each (one document at least)."""
     at, total = 0, 0

@@ -11,7 +11,9 @@ All groups are bounded: documents are dealt into groups of some MB, equal contex
 are sent, and a bucket gets at most one copy of a context from each group, however many documents share it.
 
 Null text is empty. A null id counts as larger than all others and comes back as null. Rows that repeat an id are
-rows of their own; equal ids are never smaller than each other. Texts shorter than ``width`` keep all their bytes.
+rows of their own; equal ids are never smaller than each other. Texts shorter than ``width`` keep all their bytes; an
+empty table gives no rows. Other columns aren't read, whatever their names. A text isn't split: one longer than a group is
+a group of its own, which takes some 60 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import BASES, Powers, bucket_of, chunks, dealt, mix, on_group, on_pair, prefix_hash
+from codeatlas.llm.common import BASES, Powers, bucket_of, chunks, dealt, mix, on_group, on_pair, prefix_hash, runs
 
 CHUNK = 1 << 18
 _BIG = np.iinfo(np.int64).max
@@ -92,10 +94,8 @@ def _codes(found) -> tuple[np.ndarray, np.ndarray]:
 def _tell(pdf: pd.DataFrame, width: int, gram: int, n: int) -> pd.DataFrame:
     ids, _, texts = _by_id(pdf)
     g, _ = _codes(_grams(ids, texts, width, gram))
-    b = bucket_of(g, n)
-    cut = np.searchsorted(b, np.arange(n + 1))
     low = (g & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    rows = [(k, int(pdf["pid"].iat[0]), low[cut[k] : cut[k + 1]].tobytes()) for k in range(n) if cut[k + 1] > cut[k]]
+    rows = [(k, int(pdf["pid"].iat[0]), low[start:stop].tobytes()) for k, start, stop in runs(bucket_of(g, n))]
     return pd.DataFrame(rows, columns=["bucket", "pid", "blob"])
 
 
@@ -116,10 +116,9 @@ def _contexts(ids, texts, answer: pd.DataFrame, width: int, gram: int, n: int):
     found = _grams(ids, texts, width, gram)
     g, more = _codes(found)
     b = bucket_of(g, n)
-    cut = np.searchsorted(b, np.arange(n + 1))
     for k, x in zip(answer["bucket"], answer["blob"], strict=True):
-        size = cut[k + 1] - cut[k]
-        more[cut[k] : cut[k + 1]] |= np.unpackbits(np.frombuffer(x, np.uint8), count=size).astype(bool)
+        start, stop = np.searchsorted(b, [k, k + 1]).tolist()
+        more[start:stop] |= np.unpackbits(np.frombuffer(x, np.uint8), count=stop - start).astype(bool)
     before = width - gram
     rows, where = [], []
     for a, _, data, starts, at, h in found:
@@ -158,12 +157,10 @@ def _ask(key, docs: pd.DataFrame, answer: pd.DataFrame, width: int, gram: int, n
     m, h, least, *_ = got
     b = bucket_of(h, n)
     order = np.argsort(b, kind="stable")
-    cut = np.searchsorted(b[order], np.arange(n + 1))
     rows = []
-    for k in range(n):
-        if cut[k + 1] > cut[k]:
-            o = order[cut[k] : cut[k + 1]]
-            rows.append((k, int(docs["pid"].iat[0]), m[o].tobytes(), least[o].tobytes()))
+    for k, start, stop in runs(b[order]):
+        o = order[start:stop]
+        rows.append((k, int(docs["pid"].iat[0]), m[o].tobytes(), least[o].tobytes()))
     return pd.DataFrame(rows, columns=cols)
 
 
@@ -300,11 +297,11 @@ def _remove(key, docs: pd.DataFrame, answer: pd.DataFrame, width: int, gram: int
         m, h, least, inverse, doc, pos = got
         b = bucket_of(h, n)
         order = np.argsort(b, kind="stable")
-        cut = np.searchsorted(b[order], np.arange(n + 1))
         bits = np.zeros(len(m), np.uint64)
         second = answer[answer["step"] == 1]
         for k, x in zip(second["bucket"], second["blob"], strict=True):
-            bits[order[cut[k] : cut[k + 1]]] = np.frombuffer(x, np.uint64)
+            start, stop = np.searchsorted(b[order], [k, k + 1]).tolist()
+            bits[order[start:stop]] = np.frombuffer(x, np.uint64)
         left, right = m[:, -2].astype(np.int64)[inverse], m[:, -1].astype(np.int64)[inverse]
         later = ids[doc] > least[inverse]
         docs_, ats = [], []
