@@ -12,7 +12,8 @@ encoder cuts as well: a conversation of any size takes bounded memory, and comes
 (``piece`` counts from 0; nearly always the only one).
 
 Null texts and roles are empty. A null conv_id is a conversation of its own and comes back as null. Repeated rows are
-turns of their own. An empty table gives no conversations.
+turns of their own. An empty table gives no conversations. Other columns aren't read, whatever their names. A turn isn't
+split, so a very long one takes memory in proportion to its length.
 """
 
 from __future__ import annotations

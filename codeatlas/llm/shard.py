@@ -12,7 +12,8 @@ numbers its own rows, and running counts of the buckets make slots gapless.
 All draws are hashes of a seed and of their place, so a task that is run again after a lost executor draws the same.
 
 Shards differ by one row at most: the first (rows mod shards) have one more. Nulls are carried along like any value,
-rows that repeat are rows of their own, and an empty table gives an empty result.
+rows that repeat are rows of their own, and an empty table gives an empty result. Columns may have any name; ``shard`` and
+``slot`` give way to the results. Only places and hashes are shuffled until the end, so long values cost no more.
 """
 
 from __future__ import annotations
