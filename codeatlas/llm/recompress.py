@@ -2,7 +2,7 @@
 
 Symbols are named in rounds, and each round is a Spark job. First distinct words get names, then, in every round, runs
 of equal symbols and pairs of neighbours of which the first is of one random half of the alphabet and the second of the
-other. Documents are dealt into groups; a group tells buckets which distinct keys (words; runs and pairs of names) it
+other. Documents are packed into groups as they come; a group tells buckets which distinct keys (words; runs and pairs of names) it
 holds, and a bucket numbers those that two documents or more hold. So equal names stand for equal words and different
 ones for different words, in all documents alike, and what only one document holds has no name.
 
@@ -20,12 +20,14 @@ a long run, say) is told by itself.
 Null and empty texts have no words; an empty table gives no rows. A null id counts as larger than all others and comes
 back as null. Rows that repeat an id are rows of their own; equal ids are never smaller than each other. Words are
 separated by ASCII white space and otherwise unchanged. Other columns aren't read, whatever their names. Groups and
-buckets have a bounded volume, but a text longer than a group is a group of its own, which takes some 300 bytes of memory
-for each of its words.
+buckets have a bounded volume, but a text isn't split: one longer than a group takes some 300 bytes of memory for each of
+its words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,13 +36,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import BASES, bucket_of, dealt, mix, on_group, on_pair
+from codeatlas.llm.common import BASES, bucket_of, give_back, mix, on_group, on_pair
 
 #: Bytes of text in a group of documents, and for each bucket.
 GROUP, BUCKET = 8 << 20, 16 << 20
 _U = np.uint64
-TOLD = "bucket int, pid int, blob binary"
-ANSWER = "pid int, bucket int, blob binary"
+TOLD = "bucket int, pid long, blob binary"
+ANSWER = "pid long, bucket int, level int, blob binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -111,36 +113,103 @@ def _held(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return c[first], d[first] != d[last], inverse
 
 
+def _raw(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string of an array begins in its bytes, and the end; these bytes."""
+    _, offsets, data = x.cast(pa.binary()).buffers()
+    at = np.frombuffer(offsets, np.int32, len(x) + 1, 4 * x.offset).astype(np.int64)
+    return at - at[0], np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+
+
+def _deal(batches: Iterator[pa.RecordBatch], group_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Documents in groups as they come, a compressed row for each."""
+    held, size = [], 0
+
+    def group() -> pa.RecordBatch:
+        x = pa.Table.from_batches(held).combine_chunks()
+        column = lambda c: x[c].combine_chunks()
+        at, data = _raw(column("text"))
+        blob = _pack(column("doc_id").to_numpy(), column("no_id").to_numpy(zero_copy_only=False).astype(np.uint8), np.diff(at))
+        blob = len(blob).to_bytes(8, "little") + blob + zstandard.compress(data.tobytes(), 3)
+        return pa.RecordBatch.from_pydict({"pid": pa.array([xxhash.xxh64_intdigest(blob) - (1 << 63)], pa.int64()), "blob": pa.array([blob], pa.binary())})
+
+    for x in batches:
+        at = 0
+        ends = np.cumsum(pc.binary_length(x["text"]).to_numpy().astype(np.int64) + 64)
+        while at < len(x):
+            before = int(ends[at - 1]) if at else 0
+            to = min(len(x), int(np.searchsorted(ends, before + group_bytes - size)) + 1)
+            held.append(x.slice(at, to - at))
+            size += int(ends[to - 1]) - before
+            at = to
+            if size >= group_bytes:
+                yield group()
+                held, size = [], 0
+    if held:
+        yield group()
+    del held
+    give_back()
+
+
+def _documents(groups: pa.Table) -> pa.Table:
+    """The documents of a group (of several, if these are equal)."""
+    ids, nulls, sizes, texts = [], [], [], []
+    for blob in groups["blob"].to_pylist():
+        n = 8 + int.from_bytes(blob[:8], "little")
+        for into, x in zip((ids, nulls, sizes), _unpack(blob[8:n]), strict=True):
+            into.append(x.astype(np.int64))
+        texts.append(zstandard.decompress(blob[n:]))
+    at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    text = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(b"".join(texts))])
+    return pa.table({"doc_id": np.concatenate(ids), "no_id": np.concatenate(nulls).astype(bool), "text": text})
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word, eight bytes at a time; the few very long ones by themselves."""
+    at, raw = _raw(words)
+    raw = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    left, place = np.diff(at), at[:-1].copy()
+    h = mix(left.astype(_U) + _U(BASES[0]))
+    for i in np.flatnonzero(left > 512).tolist():
+        h[i], left[i] = xxhash.xxh3_64_intdigest(raw[at[i] : at[i + 1]].tobytes()), 0
+    own = np.flatnonzero(left > 0)
+    while len(own):
+        part = np.ascontiguousarray(eight[place[own]]).view(_U).ravel()
+        short = left[own] < 8
+        part[short] &= (_U(1) << (left[own][short] * 8).astype(_U)) - _U(1)
+        h[own] = mix(h[own] * _U(BASES[1]) + part)
+        place[own] += 8
+        left[own] -= 8
+        own = own[left[own] > 0]
+    return h
+
+
 class Words:
-    """The words of a group's documents, in numbers of the group's own."""
+    """The words of a group's documents, which are put in one order whatever the shuffle's."""
 
-    def __init__(self, docs: pa.Table):
+    def __init__(self, groups: pa.Table):
+        docs = _documents(groups).sort_by([("doc_id", "ascending"), ("no_id", "ascending"), ("text", "ascending")])
         column = lambda c: docs[c].combine_chunks()
         self.ids, self.no_id = column("doc_id").to_numpy(), column("no_id").to_numpy(zero_copy_only=False)
-        lists = pc.ascii_split_whitespace(column("text").cast(pa.string()))
+        lists = pc.ascii_split_whitespace(column("text"))
         words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy()
         doc = np.repeat(np.arange(len(counts)), counts)
         real = pc.greater(pc.binary_length(words), 0)
         if not pc.all(real).as_py():
             words, doc = words.filter(real), doc[real.to_numpy(zero_copy_only=False)]
-        self.words, self.doc = words, doc
-        coded = words.dictionary_encode()
-        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), _U, len(own))
+        self.words, self.doc = words.cast(pa.string()), doc
+
+    def keyed(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct words, sorted by their hashes, these, and the number of each word's."""
+        coded = self.words.dictionary_encode()
+        h = _word_hashes(coded.dictionary)
         order = np.argsort(h, kind="stable")
         if (h[order][1:] == h[order][:-1]).any():
+            own = coded.dictionary.to_pylist()
             order = np.array(sorted(range(len(own)), key=lambda i: (h[i], own[i].encode())), np.int64)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        self.keys, self.hashes = coded.dictionary.take(pa.array(order)), h[order]
-        self.token = back[coded.indices.to_numpy()]
-
-    def told(self) -> np.ndarray:
-        """Whether two documents of the group hold each key."""
-        low, high = np.full(len(self.keys), len(self.ids)), np.full(len(self.keys), -1)
-        np.minimum.at(low, self.token, self.doc)
-        np.maximum.at(high, self.token, self.doc)
-        return low < high
+        return coded.dictionary.take(pa.array(order)), h[order], back[coded.indices.to_numpy()]
 
 
 def _rows(bucket: np.ndarray, n: int, pid: int, blob) -> pa.Table:
@@ -148,13 +217,13 @@ def _rows(bucket: np.ndarray, n: int, pid: int, blob) -> pa.Table:
     at = np.flatnonzero(_firsts(bucket)) if len(bucket) else np.zeros(0, np.int64)
     end = np.append(at[1:], len(bucket))[: len(at)]
     blobs = [blob(slice(a, b)) for a, b in zip(at.tolist(), end.tolist(), strict=True)]
-    return pa.table({"bucket": pa.array(bucket[at], pa.int32()), "pid": pa.array([pid] * len(at), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    return pa.table({"bucket": pa.array(bucket[at], pa.int32()), "pid": pa.array([pid] * len(at), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
 def _returned(answer: pa.Table, level: int, bucket: np.ndarray) -> np.ndarray:
     """What the buckets say of each key, in the keys' order."""
     out = np.zeros(len(bucket), np.int64)
-    for k, (at, b, blob) in enumerate(zip(answer["level"].to_pylist(), answer["bucket"].to_pylist(), answer["blob"], strict=True)):
+    for at, b, blob in zip(answer["level"].to_pylist(), answer["bucket"].to_pylist(), answer["blob"], strict=True):
         if at == level:
             a = int(np.searchsorted(bucket, b))
             (x,) = _unpack(blob.as_py())
@@ -162,25 +231,41 @@ def _returned(answer: pa.Table, level: int, bucket: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answers(pids, buckets, sizes: list[int], values: np.ndarray) -> pa.Table:
+def _answers(rows: pa.Table, level: int, sizes: list[int], values: np.ndarray) -> pa.Table:
     ends = np.cumsum([0, *sizes])
     blobs = [_pack(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-    return pa.table({"pid": pa.array(pids, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    return pa.table({"pid": rows["pid"], "bucket": rows["bucket"], "level": pa.array([level] * len(rows), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
 def _tell_words(docs: pa.Table, n: int) -> pa.Table:
     words = Words(docs)
-    many, bucket = words.told(), bucket_of(words.hashes, n)
+    keys, hashes, token = words.keyed()
+    low, high = np.full(len(keys), len(words.ids)), np.full(len(keys), -1)
+    np.minimum.at(low, token, words.doc)
+    np.maximum.at(high, token, words.doc)
 
     def blob(s: slice) -> bytes:
-        own = words.keys.slice(s.start, s.stop - s.start)
+        own = keys.slice(s.start, s.stop - s.start)
         sizes = pc.binary_length(own).to_numpy()
-        return _pack(sizes, np.frombuffer("".join(own.to_numpy(zero_copy_only=False).tolist()).encode(), np.uint8), many[s].astype(np.uint8))
+        return _pack(sizes, np.frombuffer("".join(own.to_numpy(zero_copy_only=False).tolist()).encode(), np.uint8), (low < high)[s].astype(np.uint8))
 
-    return _rows(bucket, n, docs["pid"][0].as_py(), blob)
+    return _rows(bucket_of(hashes, n), n, docs["pid"][0].as_py(), blob)
 
 
-def _name_words(rows: pa.Table) -> pa.Table:
+def _state(key, docs: pa.Table, answer: pa.Table, n: int) -> pa.Table:
+    """A row that holds a group's documents as names of their words."""
+    kinds = pa.schema([("pid", pa.int64()), ("bucket", pa.int32()), ("level", pa.int32()), ("blob", pa.binary())])
+    if not len(docs):
+        return kinds.empty_table()
+    words = Words(docs)
+    _, hashes, token = words.keyed()
+    bucket = bucket_of(hashes, n)
+    names = _global(_returned(answer, 0, bucket), bucket, n, 0)[token]
+    blob = _pack(words.ids, np.bincount(words.doc, minlength=len(words.ids)), names)
+    return pa.table([[docs["pid"][0].as_py()], [-1], [0], [blob]], schema=kinds)
+
+
+def _name_words(rows: pa.Table, level: int) -> pa.Table:
     """Numbers, from 1, for the words that two documents hold, in the words' order; 0 for the others."""
     parts = [_unpack(x.as_py()) for x in rows["blob"]]
     sizes = np.concatenate([p[0] for p in parts]).astype(np.int64)
@@ -194,10 +279,10 @@ def _name_words(rows: pa.Table) -> pa.Table:
     order = order[held[order] > 1]
     name = np.zeros(len(held), np.int64)
     name[order] = np.arange(1, len(order) + 1)
-    return _answers(rows["pid"].to_pylist(), rows["bucket"].to_pylist(), [len(p[0]) for p in parts], name[which])
+    return _answers(rows, level, [len(p[0]) for p in parts], name[which])
 
 
-def _name_keys(rows: pa.Table) -> pa.Table:
+def _name_keys(rows: pa.Table, level: int) -> pa.Table:
     """The same for runs and pairs: (x, times, y, times)."""
     parts = [_unpack(x.as_py()) for x in rows["blob"]]
     x, k, y, m, many = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(5))
@@ -207,7 +292,7 @@ def _name_keys(rows: pa.Table) -> pa.Table:
     which[order] = np.cumsum(new) - 1
     held = np.bincount(which) + np.bincount(which, weights=many).astype(np.int64)
     name = np.where(held > 1, np.cumsum(held > 1), 0)
-    return _answers(rows["pid"].to_pylist(), rows["bucket"].to_pylist(), [len(p[0]) for p in parts], name[which])
+    return _answers(rows, level, [len(p[0]) for p in parts], name[which])
 
 
 def _global(number: np.ndarray, bucket: np.ndarray, n: int, level: int) -> np.ndarray:
@@ -219,13 +304,14 @@ class Parse:
     """Symbols of a group as far as the answers go. Of each window that may still repeat: its first word (``at``) and
     its interior, the symbols from ``a`` up to ``b``."""
 
-    def __init__(self, words: Words, answer: pa.Table, width: int, n: int):
-        self.words, self.answer, self.n = words, answer, n
-        bucket = bucket_of(words.hashes, n)
-        names = _global(_returned(answer, 0, bucket), bucket, n, 0)
-        self.names = self.word_names = names[words.token]
-        self.start, self.doc = np.arange(len(self.names)), words.doc
-        at = np.arange(max(0, len(self.names) - width + 1))
+    def __init__(self, known: pa.Table, width: int, n: int):
+        self.known, self.n = known, n
+        (state,) = known.filter(pc.equal(known["level"], 0))["blob"].to_pylist()
+        self.ids, counts, names = (_signed(x) for x in _unpack(state))
+        self.names = self.word_names = names
+        self.word_docs = self.doc = np.repeat(np.arange(len(counts)), counts)
+        self.start = np.arange(len(names))
+        at = np.arange(max(0, len(names) - width + 1))
         at = at[self.doc[at] == self.doc[at + width - 1]] if len(at) else at
         self.at, self.a, self.b = at, at.copy(), at + width
         self._leave()
@@ -275,12 +361,13 @@ class Parse:
         self.open = np.flatnonzero((self.names > 0) & (two | (k > 1)))
         columns = [self.names[self.open], k[self.open], y[self.open], m[self.open]]
         h = _hash(columns)
-        bucket = bucket_of(h, self.n) if len(self.open) else np.zeros(0, np.int64)
-        order = np.lexsort((*columns[::-1], bucket))
-        new = _firsts(bucket[order], *[c[order] for c in columns]) if len(order) else np.zeros(0, bool)
+        order = np.argsort(h)
+        if ((h[order][1:] == h[order][:-1]) & _firsts(*[c[order] for c in columns])[1:]).any():  # different keys, equal hashes
+            order = np.lexsort((*columns[::-1], h))
+        new = _firsts(*[c[order] for c in columns])
         self.which = np.empty(len(order), np.int64)
         self.which[order] = np.cumsum(new) - 1
-        self.keys, self.bucket = [c[order][new] for c in columns], bucket[order][new]
+        self.keys, self.bucket = [c[order][new] for c in columns], bucket_of(h[order][new], self.n)
         self.level = level
 
     def told(self) -> np.ndarray:
@@ -289,25 +376,23 @@ class Parse:
 
     def name(self) -> None:
         """Take the round's names from the answer."""
-        self.names[self.open] = _global(_returned(self.answer, self.level, self.bucket), self.bucket, self.n, self.level)[self.which]
+        self.names[self.open] = _global(_returned(self.known, self.level, self.bucket), self.bucket, self.n, self.level)[self.which]
         self._leave()
 
 
-def _parsed(docs: pa.Table, answer: pa.Table, width: int, n: int, rounds: int) -> Parse:
-    p = Parse(Words(docs), answer, width, n)
+def _parsed(known: pa.Table, width: int, n: int, rounds: int) -> Parse:
+    p = Parse(known, width, n)
     for level in range(1, rounds + 1):
         p.cut(level)
         p.name()
     return p
 
 
-def _tell_keys(key, docs: pa.Table, answer: pa.Table, width: int, n: int, level: int) -> pa.Table:
-    if not len(docs):
-        return pa.table({"bucket": pa.array([], pa.int32()), "pid": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-    p = _parsed(docs, answer, width, n, level - 1)
+def _tell_keys(known: pa.Table, width: int, n: int, level: int) -> pa.Table:
+    p = _parsed(known, width, n, level - 1)
     p.cut(level)
     many = p.told()
-    return _rows(p.bucket, n, docs["pid"][0].as_py(), lambda s: _pack(*[c[s] for c in p.keys], many[s].astype(np.uint8)))
+    return _rows(p.bucket, n, known["pid"][0].as_py(), lambda s: _pack(*[c[s] for c in p.keys], many[s].astype(np.uint8)))
 
 
 def _least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -360,21 +445,19 @@ def contexts(p: Parse, width: int):
     order = np.argsort(bucket, kind="stable")
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    doc = p.words.doc[p.at]
+    doc = p.word_docs[p.at]
     context = back[group][inverse]
     least = np.full(len(order), np.iinfo(np.int64).max)
-    np.minimum.at(least, context, p.words.ids[doc])
+    np.minimum.at(least, context, p.ids[doc])
     return rows[one][order], bucket[order], least, context, place, doc, p.at
 
 
-def _ask(key, docs: pa.Table, answer: pa.Table, width: int, n: int, rounds: int) -> pa.Table:
-    if not len(docs):
-        return pa.table({"bucket": pa.array([], pa.int32()), "pid": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-    rows, bucket, least, *_ = contexts(_parsed(docs, answer, width, n, rounds), width)
-    return _rows(bucket, n, docs["pid"][0].as_py(), lambda s: _pack(least[s], *rows[s].T))
+def _ask(known: pa.Table, width: int, n: int, rounds: int) -> pa.Table:
+    rows, bucket, least, *_ = contexts(_parsed(known, width, n, rounds), width)
+    return _rows(bucket, n, known["pid"][0].as_py(), lambda s: _pack(least[s], *rows[s].T))
 
 
-def _resolve(rows: pa.Table, width: int) -> pa.Table:
+def _resolve(rows: pa.Table, width: int, level: int) -> pa.Table:
     """For each context: the places (bits) of windows that a document smaller than the context's smallest holds."""
     parts = [_unpack(x.as_py()) for x in rows["blob"]]
     least, mask = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(2))
@@ -399,20 +482,21 @@ def _resolve(rows: pa.Table, width: int) -> pa.Table:
         hit = low[group] < least[row[own]]
         np.bitwise_or.at(bits, row[own][hit], np.int64(1) << place[own][hit])
         at = to
-    return _answers(rows["pid"].to_pylist(), rows["bucket"].to_pylist(), sizes, bits)
+    return _answers(rows, level, sizes, bits)
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def _remove(key, docs: pa.Table, answer: pa.Table, width: int, n: int, rounds: int) -> pa.Table:
+def _remove(key, docs: pa.Table, known: pa.Table, width: int, n: int, rounds: int) -> pa.Table:
     if not len(docs):
         return KEPT.empty_table()
-    p = _parsed(docs, answer, width, n, rounds)
+    p = _parsed(known, width, n, rounds)
     _, bucket, least, context, place, doc, at = contexts(p, width)
-    bits = _returned(answer, rounds + 1, bucket)
-    words = p.words
-    gone = (bits[context] >> place & 1).astype(bool) | (words.ids[doc] > least[context])
+    bits = _returned(known, rounds + 1, bucket)
+    gone = (bits[context] >> place & 1).astype(bool) | (p.ids[doc] > least[context])
+    del context, place, doc
+    words = Words(docs)
     depth = np.zeros(len(words.doc) + 1, np.int64)
     np.add.at(depth, at[gone], 1)
     np.add.at(depth, at[gone] + width, -1)
@@ -428,18 +512,23 @@ def dedup_phrases(docs: DataFrame, width: int = 13, rounds: int = 2, id_col: str
     """doc_id, n_words, n_removed and the words kept, joined by a space, for each row of docs."""
     if not 2 <= width <= 60 or not 1 <= rounds <= 6:
         raise ValueError("width must be from 2 to 60, rounds from 1 to 6")
-    deal, groups = dealt(docs, id_col, text_col, group_bytes)
-    n = max(2, -(-groups * group_bytes // BUCKET))
-    by_pid = lambda x, level: x.withColumn("level", F.lit(level)).repartition(groups, "pid")
-    deal = deal.repartition(groups, "pid")
-    told = deal.groupBy("pid").applyInArrow(on_group(_tell_words, n=n), TOLD)
-    known = by_pid(told.groupBy("bucket").applyInArrow(on_group(_name_words), ANSWER), 0)
+    light = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    )
+    total = int(light.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0)
+    groups, n = max(2, -(-total // group_bytes)), max(2, -(-total // BUCKET))
+    by_pid = lambda x: x.repartition(groups, "pid")
     how = {"width": width, "n": n}
+    deal = light.mapInArrow(lambda batches: _deal(batches, group_bytes), "pid long, blob binary").repartition(groups, "pid")
+    told = deal.groupBy("pid").applyInArrow(on_group(_tell_words, n=n), TOLD)
+    named = by_pid(told.groupBy("bucket").applyInArrow(on_group(_name_words, level=0), ANSWER))
+    known = by_pid(deal.groupBy("pid").cogroup(named.groupBy("pid")).applyInArrow(on_pair(_state, n=n), ANSWER))
     for level in range(1, rounds + 1):
-        told = deal.groupBy("pid").cogroup(known.groupBy("pid")).applyInArrow(on_pair(_tell_keys, **how, level=level), TOLD)
-        known = known.unionByName(by_pid(told.groupBy("bucket").applyInArrow(on_group(_name_keys), ANSWER), level))
-    asked = deal.groupBy("pid").cogroup(known.groupBy("pid")).applyInArrow(on_pair(_ask, **how, rounds=rounds), TOLD)
-    known = known.unionByName(by_pid(asked.groupBy("bucket").applyInArrow(on_group(_resolve, width=width), ANSWER), rounds + 1))
+        told = known.groupBy("pid").applyInArrow(on_group(_tell_keys, **how, level=level), TOLD)
+        known = known.unionByName(by_pid(told.groupBy("bucket").applyInArrow(on_group(_name_keys, level=level), ANSWER)))
+    asked = known.groupBy("pid").applyInArrow(on_group(_ask, **how, rounds=rounds), TOLD)
+    known = known.unionByName(by_pid(asked.groupBy("bucket").applyInArrow(on_group(_resolve, width=width, level=rounds + 1), ANSWER)))
     return deal.groupBy("pid").cogroup(known.groupBy("pid")).applyInArrow(on_pair(_remove, **how, rounds=rounds), "doc_id long, n_words long, n_removed long, kept string")
 
 
