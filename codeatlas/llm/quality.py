@@ -197,7 +197,8 @@ def _strength(means: DataFrame, near: Column) -> Column:
 
 def score(docs: DataFrame, weights: np.ndarray, host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), text_col: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (all, if not given) with p_document, p_site (the path's posterior without the
-    document), p_quality and keep. Each text is read once: the classifier's evidence is written with those columns."""
+    document), p_quality and keep. With ``keep`` the classifier's evidence is written with those columns, so that each
+    text is read once; all of docs is rather read again than written."""
     w = weights.tolist()
 
     @F.pandas_udf("double")
@@ -214,7 +215,7 @@ def score(docs: DataFrame, weights: np.ndarray, host_col: str = "source", path_c
     host = F.substring_index(key, "/", 1)
     path = F.concat_ws("/", F.substring(key, F.length(host) + 1, F.length(key)), *[F.coalesce(F.col(names[c]).cast("string"), F.lit("")) for c in path_cols])
     own = own.select(*[F.col(names[c]).alias(n) for c, n in new.items()], host.alias("host"), path.alias("path"), F.least(F.greatest(probability(F.col(names[text_col]).cast("string")), F.lit(1e-6)), F.lit(1 - 1e-6)).alias("p_document"))
-    own = save(own, "evidence")
+    own = own if keep is None else save(own, "evidence")
     p = F.col("p_document")
     # sums in units of 2**-30, so that their order doesn't matter
     unit = float(1 << 30)

@@ -310,8 +310,8 @@ def _verify(share: int, of: int):
 
 def similar_links(own: DataFrame, distinct: DataFrame, share: int = 4, of: int = 5, group_shingles: int = 1 << 20) -> DataFrame:
     """Links (u, v) that connect what any two texts of a band with a similarity of share / of connect. own: the saved
-    sketches; distinct: rep (a text's hash), low (its smallest id), n, bands. Bands with the same members are searched once; one that holds more than
-    ``group_shingles`` is dealt into parts, and each two parts are searched together."""
+    sketches; distinct: rep (a text's hash), low (its smallest id), n, bands. Bands with the same members are searched
+    once; one that holds more than ``group_shingles`` is dealt into parts, and each two parts are searched together."""
     spread = distinct.select("rep", "n", F.explode("bands").alias("band"))
     same = spread.groupBy("band").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.sum("n").alias("total")).filter("rows > 1")
     once = save(same.groupBy("rows", "mark", "low", "high", "total").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("total") / group_shingles).alias("parts")), "bands")
@@ -319,9 +319,10 @@ def similar_links(own: DataFrame, distinct: DataFrame, share: int = 4, of: int =
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
     dealt = dealt.select("rep", "band", "part", other).select("rep", F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other")).alias("grp"))
     members = save(dealt, "members")
-    wanted = distinct.select("rep", "low").join(members.select("rep").distinct(), "rep", "left_semi")
-    # of the rows of a text, those with its smallest id, and any of these
-    sets = own.join(wanted, (own["fp"] == wanted["rep"]) & (F.struct("no_id", "doc_id") == F.col("low"))).select("rep", "own")
+    # of the rows of a text, those with its smallest id, by one narrow key (another row that has it does no harm)
+    key = lambda *c: F.xxhash64(*c).alias("key")
+    wanted = distinct.join(members.select("rep").distinct(), "rep", "left_semi").select(key("rep", "low.no_id", "low.doc_id"))
+    sets = own.withColumn("key", key("fp", "no_id", "doc_id")).join(wanted, "key", "left_semi").select(F.col("fp").alias("rep"), "own")
     sets = save(sets.groupBy("rep").agg(F.first("own").alias("own")), "sets")
     return members.join(sets, "rep").repartition("grp").sortWithinPartitions("grp", "rep").mapInPandas(_verify(share, of), "u long, v long").distinct()
 
