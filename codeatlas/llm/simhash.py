@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, bucket_rows
 
 
 def shingles(text: str | None, size: int) -> tuple[int, np.ndarray]:
-    """A key of the text's words (lower-cased A-Z) and the sorted distinct hashes of its shingles of ``size`` words."""
+    """A key of the text's words (lower-cased A-Z) and the sorted distinct hashes, of 56 bits, of its shingles of ``size``
+    words."""
     words = (text or "").encode().lower().split()
     joined = b" ".join(words)
     key = xxhash.xxh64_intdigest(joined, 7)
@@ -198,7 +199,7 @@ def shingles(text: str | None, size: int) -> tuple[int, np.ndarray]:
     start = (end - length).tolist()
     end = end[-max(1, len(words) - size + 1) :].tolist()
     one = xxhash.xxh64_intdigest
-    return key, np.unique(np.array([one(joined[a:b], 42) for a, b in zip(start, end, strict=False)], np.uint64))
+    return key, np.unique(np.array([one(joined[a:b], 42) for a, b in zip(start, end, strict=False)], np.uint64) >> np.uint64(8))
 
 
 def _key_udf():
@@ -231,13 +232,24 @@ def bands(own: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _packed(own: np.ndarray) -> bytes:
+    """Hashes of 56 bits, seven bytes each."""
+    return own.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).ravel()
+
+
 def _sketches(size: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             for i in range(0, len(x), 1000):
                 part = x.iloc[i : i + 1000]
                 sets = [shingles(t, size) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "fp": [_signed(k) for k, _ in sets], "n": [len(v) for _, v in sets], "bands": [bands(v) for _, v in sets], "own": [v.tobytes() for _, v in sets]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "fp": [_signed(k) for k, _ in sets], "n": [len(v) for _, v in sets], "bands": [bands(v) for _, v in sets], "own": [_packed(v) for _, v in sets]})
             give_back()
 
     return run
@@ -282,7 +294,7 @@ def _verify(share: int, of: int):
             u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip(cut, cut[1:], strict=False):
                 if b - a > 1:
-                    root = _similar_forest([np.frombuffer(y, np.uint64) for y in raw[a:b]], share, of)
+                    root = _similar_forest([_unpacked(y) for y in raw[a:b]], share, of)
                     own = np.flatnonzero(root != np.arange(b - a))
                     u.append(rep[a + root[own]])
                     v.append(rep[a + own])
