@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from codeatlas.llm import rules
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,4 +28,30 @@ OP6 = f"""WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents), b AS (SELECT
   SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
   FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN it ON d.doc_id = it.doc_id"""
 
-ORACLE_SQL = {"op4_chat_formatting": OP4, "op6_decontamination": OP6, "op9_recompression_dedup": OP9}
+_IS = lambda column, *texts: "(" + " OR ".join(f"{column} = '{t}'" for t in texts) + ")"
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(rules.STOP_WORDS))
+_TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_MARK = rules.PUNCTUATION.replace("'", "''")
+_COUNT = "(length(t) - length(translate(t, '{}', '')))"
+OP12 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {_TRIM}) <> '') AS l, row_number() OVER () AS row FROM documents),
+  g AS (SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+  h AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM g) WHERE n > 1),
+  r AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM h) GROUP BY row),
+  c AS (SELECT doc_id, len(w) AS n_words, length(translate(t, {_TRIM}, '')) AS word_chars, {_COUNT.format(rules.SYMBOLS)} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, {_COUNT.format('!')} AS n_exclamations,
+    {_COUNT.format(_UPPER)} AS n_capitals, {_COUNT.format(_UPPER + _UPPER.lower())} AS n_letters, len(list_filter(w, lambda x: lower(trim(x, '{_MARK}')) IN ({_STOP}))) AS n_stop_words, len(l) AS n_lines,
+    len(list_filter(l, lambda x: {_IS(f"substr(ltrim(x, {_TRIM}), 1, 1)", *rules.BULLETS)})) AS n_bullet_lines, len(list_filter(l, lambda x: {" OR ".join(f"ends_with(rtrim(x, {_TRIM}), '{e}')" for e in rules.ELLIPSES)})) AS n_ellipsis_lines FROM d LEFT JOIN r ON d.row = r.row)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {rules.verdict_sql()} AS kept FROM c"""
+
+_NEAR = "SELECT row, part, entry, d FROM (SELECT x.row, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v))::BIGINT AS d, row_number() OVER (PARTITION BY x.row, x.part ORDER BY sum((x.v - b.v) * (x.v - b.v)), b.entry) AS r FROM x JOIN b{0} b ON x.part = b.part AND x.pos = b.pos GROUP BY x.row, x.part, b.entry) WHERE r = 1"
+_ROUNDS = ", ".join(
+    f"a{i} AS MATERIALIZED ({_NEAR.format(i)}), b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN (SELECT a.part, a.entry, x.pos, ((sum(x.v) - ((sum(x.v) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS v FROM a{i} a JOIN x ON a.row = x.row AND a.part = x.part GROUP BY a.part, a.entry, x.pos) m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos)"
+    for i in range(4)
+)
+OP11 = f"""WITH k AS MATERIALIZED (SELECT vec_id, label, embedding AS e, row_number() OVER (ORDER BY vec_id) AS row FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+  x AS MATERIALIZED (SELECT row, (i - 1) // (n // 4) AS part, (i - 1) % (n // 4) AS pos, floor(1024 * v::DOUBLE)::BIGINT AS v FROM (SELECT row, len(e) AS n, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM k)),
+  b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, pos, v FROM x WHERE row <= 256), {_ROUNDS}, z AS MATERIALIZED ({_NEAR.format(4)}),
+  c AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM z GROUP BY row),
+  s AS (SELECT label, sum(error)::BIGINT AS label_error FROM c JOIN k ON c.row = k.row GROUP BY label)
+  SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b4) AS codebooks_sha256 FROM c JOIN k ON c.row = k.row JOIN s ON k.label IS NOT DISTINCT FROM s.label"""
+
+ORACLE_SQL = {"op11_vector_codes": OP11, "op12_quality_rules": OP12, "op4_chat_formatting": OP4, "op6_decontamination": OP6, "op9_recompression_dedup": OP9}

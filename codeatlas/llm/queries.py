@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.llm import ann, chat, decontam, pieces, quality, recompress, secrets, shard, simhash, suffix
+from codeatlas.llm import ann, chat, codes, decontam, pieces, quality, recompress, rules, secrets, shard, simhash, suffix, whiten
 from codeatlas.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -78,10 +78,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(_table(spark, sf_dir, "documents"), model, decoded=True))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(_table(spark, sf_dir, "embeddings"))
+    return found.rows.select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_suffix_dedup, op3_secret_scan, op4_chat_formatting, op5_simhash_dedup, op6_decontamination,
-        op7_vp_tree_search, op8_hypergeometric_shards, op9_recompression_dedup, op10_sentencepiece,
+        op7_vp_tree_search, op8_hypergeometric_shards, op9_recompression_dedup, op10_sentencepiece, op11_vector_codes, op12_quality_rules, op13_whitening,
     )
 }
