@@ -1,7 +1,10 @@
-"""Column functions over text: identifiers, URLs, paths, measures of code. All built-in expressions."""
+"""Column functions over text: identifiers, URLs, paths, measures of code. All but ``type_two`` are built-in expressions."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +43,30 @@ TEST_PATHS = [
     r"[^/]+_test\.(py|go|cpp|cc|cxx)$", r"(^|/)tests?/[^/]+\.(py|ts|js|rb|php)$",
     r"[A-Z][a-zA-Z0-9]*(Test|Tests|IT)\.(java|kt|scala)$", r"[A-Z][a-zA-Z0-9]*Spec\.(kt|scala|rb)$", r"(^|/)src/test/.*\.(java|kt|scala|groovy)$",
 ]
+# fixed values: words of code that keep their names where identifiers are numbered
+KEYWORDS = frozenset(
+    "if else elif for while do break continue return switch case default goto fallthrough pass "
+    "try catch finally throw raise rescue ensure "
+    "function func fn def class struct enum interface module type impl trait "
+    "const let var val mut ref move "
+    "public private protected static abstract final readonly async await yield override virtual synchronized "
+    "pub unsafe extern transient volatile native "
+    "new delete this self Self super extends implements "
+    "import export from use require include package mod "
+    "in is as not and or typeof instanceof void "
+    "with match when where select defer go chan "
+    "true false null nil None True False undefined "
+    "lambda del global nonlocal assert unless until begin end then defined throws "
+    "guard repeat inout typealias associatedtype fileprivate open indirect lazy weak unowned convenience "
+    "required prefix postfix infix operator precedencegroup some any actor nonisolated isolated rethrows "
+    "Protocol Type init deinit subscript willSet didSet get set "
+    "nullptr constexpr consteval constinit inline friend mutable explicit noexcept typename template namespace typedef decltype alignof "
+    "len make append cap copy map range".split()
+)
+# fixed values: languages in which `#` begins a comment
+HASH_LANGUAGES = (
+    "python ruby elixir bash shell sh zsh php perl r powershell coffeescript nim crystal toml yaml dockerfile makefile terraform hcl".split()
+)
 # fixed values: prefixes that a caller may add to a route's path
 API_PREFIXES = ["/api/v1", "/api/v2", "/api/v3", "/api", "/v1", "/v2", "/v3"]
 
@@ -132,18 +159,42 @@ def token_estimate(text: Column) -> Column:
     return F.ceil((F.length(text) - marks) / 4.0 + marks / 2.0).cast("long")
 
 
-def type_one(text: Column) -> Column:
-    """Code without comments (`//`, `/* */` and `#` lines), its white space collapsed."""
-    x = F.regexp_replace(text, r"(?s)/\*.*?\*/", " ")
-    x = F.regexp_replace(x, r"(?m)(//|#)[^\n]*", " ")
-    return F.trim(F.regexp_replace(x, r"[ \t\r\n\f\x0B]+", " "))
+_QUOTED = "|".join(f"{q}[^{q}\\\\]*+(?:\\\\(?s:.|\\z)[^{q}\\\\]*+)*+(?:{q}|\\z)" for q in ("\"", "'", "`"))
+_REMARK = r"//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|{}\"\"\"(?s:.*?)(?:\"\"\"|\z)|'''(?s:.*?)(?:'''|\z)|({})"
+#: What a comment is, where `#` begins one and where it doesn't; strings are the first group, which stays.
+REMARKS = {True: _REMARK.format(r"#[^\n]*|", _QUOTED), False: _REMARK.format("", _QUOTED)}
+#: White space of source text: that of ASCII and of Unicode's separators.
+BLANKS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+#: Identifiers, words that begin with a digit, and what is between.
+LEXEMES = "[A-Za-z_][A-Za-z0-9_]*|[0-9][A-Za-z0-9_]*|[^A-Za-z0-9_]+"
+
+
+def type_one(text: Column, hash_comments: Column) -> Column:
+    """Code without comments and triple-quoted strings, its white space collapsed; other strings stay as they are. What
+    isn't closed goes to the end. ``hash_comments``: whether `#` begins a comment."""
+    bare = F.when(hash_comments, F.regexp_replace(text, REMARKS[True], "$1")).otherwise(F.regexp_replace(text, REMARKS[False], "$1"))
+    return F.trim(F.regexp_replace(bare, BLANKS, " "))
+
+
+def type_two(code: Column) -> Column:
+    """Code with each identifier that isn't a keyword in place of its number in order of first use, one text at a time."""
+
+    def renamed(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            names: dict[str, str] = {}
+            name = lambda m: m[0] if m[0] in KEYWORDS or m[0][0].isdigit() else names.setdefault(m[0], f"_v{len(names)}")
+            return None if text is None else re.sub("[A-Za-z0-9_]+", name, text)
+
+        return texts.map(one)
+
+    return F.pandas_udf(renamed, "string")(code)
 
 
 def shingles(tokens: Column, size: int = 5) -> Column:
     """Distinct runs of ``size`` tokens."""
-    n = F.size(tokens) - size + 1
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.concat_ws("\x00", *[F.get(tokens, i + j) for j in range(size)]))
-    return F.when(n >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    runs = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - size), lambda i: F.concat_ws("\x00", *[F.get(t, i + j) for j in range(size)]))
+    none = F.array().cast("array<string>")
+    return F.element_at(F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= size, F.array_distinct(runs(t))).otherwise(none)), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -23,17 +23,25 @@ LABEL = """concat_ws(',', CASE WHEN fan_in >= 5 THEN 'hub' END, CASE WHEN fan_ou
 CENTS = "(['import','re_export','same_file','self_cls','http_endpoint'])"
 COST = f"CASE WHEN list_contains({CENTS}, conf) THEN 1 WHEN conf IN ('type_inference','type_name') THEN 2 WHEN conf = 'name_only' THEN 3 WHEN conf = 'synthesized' THEN 4 END"
 
-QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+def maker():
+    """Two dicts of queries and their SQL, and the decorator that fills them."""
+    queries, sql_of = {}, {}
 
-    return add
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                sql_of[f.__name__] = sql
+            return f
+
+        return add
+
+    return queries, sql_of, query
+
+
+QUERIES, ORACLE_SQL, query = maker()
 
 
 def fans(s, d):

@@ -165,35 +165,6 @@ def token_budget(s, d):
     return run.filter("run <= 200 or r = 1").groupBy("file").agg(F.count("*").alias("kept"))
 
 
-BODY = "trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))"
-
-
-def _body(text):
-    return F.trim(F.regexp_replace(text, "[ \t\r\n]+", " "))
-
-
-@query(f"SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY {BODY} HAVING count(*) > 1")
-def exact_clones(s, d):
-    x = table(s, d, "documents").groupBy(F.sha2(_body(F.col("text")), 256).alias("h")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    return x.filter("copies > 1").select("first_id", "copies")
-
-
-NAMELESS = f"regexp_replace({BODY}, '[a-z]+', 'x', 'g')"
-
-
-@query(f"SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY {NAMELESS} HAVING count(*) > 1")
-def structural_clones(s, d):
-    x = table(s, d, "documents").groupBy(F.sha2(F.regexp_replace(_body(F.col("text")), "[a-z]+", "x"), 256).alias("h")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    return x.filter("copies > 1").select("first_id", "copies")
-
-
-@query(f"WITH g AS (SELECT count(*) AS n FROM documents GROUP BY {BODY}) SELECT sum(n)::BIGINT AS documents, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS duplicated, round(coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 3)::DOUBLE AS ratio FROM g")
-def duplication_stats(s, d):
-    g = table(s, d, "documents").groupBy(F.sha2(_body(F.col("text")), 256).alias("h")).agg(F.count("*").alias("n"))
-    many = F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
-    return g.agg(F.sum("n").alias("documents"), many.alias("duplicated"), F.round(many / F.sum("n"), 3).alias("ratio"))
-
-
 _BRANCH = "len(regexp_extract_all(text, '{}'))"
 
 
