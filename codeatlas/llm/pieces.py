@@ -42,6 +42,7 @@ from codeatlas.llm.common import give_back, on_pair
 SPACE = "▁"
 #: Bytes of text in a block of documents, and for each partition of units.
 BLOCK_BYTES, UNIT_BYTES = 8 << 20, 2 << 20
+MOST_TASKS = 100_000
 #: Units up to SHORT characters are folded place by place; longer ones are exploded in parts of PART characters.
 SHORT, PART = 64, 256
 #: Between units that travel in one row.
@@ -385,10 +386,11 @@ def encode(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, id_col
         F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"),
     )
     total = int(light.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0)
-    n, n_units = (min(100_000, max(2, -(-total // size))) for size in (block_bytes, UNIT_BYTES))
+    # groups stay of one size however much there is; beyond a number of tasks, a task has several groups
+    n, n_units = (max(2, -(-total // size)) for size in (block_bytes, UNIT_BYTES))
     pattern, wide = model.pattern, len(model.pieces) > 1 << 16
-    blocks = light.mapInPandas(lambda frames: _pack(frames, pattern, n_units, block_bytes), "block long, packed binary").repartition(n, "block")
-    rows = blocks.mapInPandas(_places, "bucket int, block long, first int, units string, alone boolean").repartition(n_units, "bucket")
+    blocks = light.mapInPandas(lambda frames: _pack(frames, pattern, n_units, block_bytes), "block long, packed binary").repartition(min(MOST_TASKS, n), "block")
+    rows = blocks.mapInPandas(_places, "bucket int, block long, first int, units string, alone boolean").repartition(min(MOST_TASKS, n_units), "bucket")
     units = F.when(F.col("alone"), F.array("units")).otherwise(F.split("units", SEPARATOR))
     places = rows.select("bucket", "block", "first", F.posexplode(units).alias("at", "unit")).select("bucket", "block", (F.col("first") + F.col("at")).alias("place"), "unit")
     # reads every column, so that both uses of the places share one exchange
@@ -413,6 +415,6 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
     return encoded.mapInPandas(run, schema)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_units, n_ids, digests of the ids and of the decoded text."""
-    return decoded.select("doc_id", "n_units", (F.octet_length("packed") / 4).cast("long").alias("n_ids"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+def digests(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_units, n_ids, digests of the ids and of the decoded text; and the columns to keep."""
+    return decoded.select("doc_id", "n_units", (F.octet_length("packed") / 4).cast("long").alias("n_ids"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), *keep)

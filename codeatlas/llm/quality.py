@@ -73,9 +73,11 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> n
 
 
 def _labelled(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, _y) of the rows with a chosen id."""
+    """(text, _y) of the rows with a chosen id; of rows that share an id, the one whose text has the least hash, so that
+    there are no more than were chosen, the same in each run."""
     own = docs.select(F.col(id_col).alias("_own"), F.col(text_col).cast("string").alias("text"))
-    return own.join(F.broadcast(chosen), F.col("_own") == F.col("_id")).select("text", "_y")
+    found = own.join(F.broadcast(chosen), F.col("_own") == F.col("_id"))
+    return found.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("x.text", "_y")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
@@ -87,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
     def vector(text: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in text])
 
-    rows = _labelled(docs, chosen, id_col, text_col).select(vector("text").alias("x"), "_y").limit(4 * sample).toPandas()  # the bound is the sample's
+    rows = _labelled(docs, chosen, id_col, text_col).select(vector("text").alias("x"), "_y").toPandas()  # the bound is the sample's
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), -1) if len(rows) else np.zeros((0, FEATURES))
     order = np.lexsort(np.concatenate([x.T, rows["_y"].to_numpy(float)[None]])) if len(rows) else []
     return fit(x[order], rows["_y"].to_numpy(float)[order]) if len(rows) else fit(x, np.zeros(0))
@@ -128,7 +130,7 @@ def train_toxic(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_wind
     ``n_windows`` windows that tell most about the label a text has. The driver gets no texts."""
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y is not null")
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
-    rows = save(_labelled(docs, chosen, id_col, text_col).limit(4 * sample), "labelled")  # the bound is the sample's
+    rows = save(_labelled(docs, chosen, id_col, text_col), "labelled")  # the bound is the sample's
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, bad = np.zeros(GRAMS, np.int32), np.zeros(GRAMS, np.int32)

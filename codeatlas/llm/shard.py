@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import save
+from codeatlas.llm.common import apart, save
 
 
 def uniform(*place: Column) -> Column:
@@ -124,10 +124,8 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 40, seed: int = 17, bucke
     """rows with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard), in place of any such columns."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    names = [c for c in rows.columns if c not in ("shard", "slot")]
-    inner = [f"_c{i}" for i in range(len(names))]
-    placed = rows.select(*[rows[c].alias(n) for c, n in zip(names, inner, strict=True)], F.monotonically_increasing_id().alias("uid"))
-    placed = save(placed, "placed").withColumn("part", F.shiftright("uid", 33))  # places are fixed by what was written
+    away, _, back = apart(rows, ("shard", "slot"))
+    placed = save(away.withColumn("uid", F.monotonically_increasing_id()), "placed").withColumn("part", F.shiftright("uid", 33))  # places are fixed by what was written
     counts = save(communication(placed.select("part"), shards, seed), "matrix")
     # permute locally: rank by a hash within the partition; the counts cut the ranks into shards
     rank = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("uid", F.lit(seed)), "uid")) - 1
@@ -143,5 +141,4 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 40, seed: int = 17, bucke
     before = sizes.select("shard", "bucket", (F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")).alias("before"))
     number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("key", "uid")) - 1
     slots = keyed.withColumn("number", number).join(before, ["shard", "bucket"]).select("uid", "shard", (F.col("before") + F.col("number")).alias("slot"))
-    out = placed.join(slots, "uid")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(names, inner, strict=True)], "shard", "slot")
+    return back(placed.join(slots, "uid"))

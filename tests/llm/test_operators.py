@@ -59,7 +59,7 @@ def test_suffix_sort_orders_suffixes():
 
 @pytest.mark.parametrize("rows", [TEXTS, []])
 def test_recompression(spark, rows):
-    got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept).decode()) for r in recompress.dedup_phrases(docs(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in recompress.dedup_phrases(docs(spark, rows)).collect()}
     exp = covered(rows, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t), 13, tuple)
     assert got == {k: (a, b, " ".join(c)) for k, (a, b, c) in exp.items()}
 
@@ -165,7 +165,10 @@ def test_nearest_is_exact_at_factor_one(spark):
 
 
 def test_shards_are_exact(spark):
-    got = shard.shuffle_into_shards(spark.range(1003).withColumnRenamed("id", "slot").withColumnRenamed("slot", "doc"), 7).toPandas()
+    named = spark.range(1003).selectExpr("id AS doc", "id AS Slot", "id AS SHARD", "CAST(null AS string) AS doc0_")
+    out = shard.shuffle_into_shards(named, 7)
+    assert out.columns == ["doc", "doc0_", "shard", "slot"]
+    got = out.toPandas()
     sizes = got.groupby("shard").slot.agg(["count", "min", "max"])
     assert set(sizes["count"]) == {143, 144} and (sizes["max"] + 1 == sizes["count"]).all() and got.doc.nunique() == 1003
     assert shard.shuffle_into_shards(spark.range(0), 3).count() == 0
