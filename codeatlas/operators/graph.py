@@ -57,16 +57,18 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 
 def shortest(edges: DataFrame, seeds: DataFrame, max_distance: int = 12) -> DataFrame:
-    """(id, distance, hops): least cost from any seed over edges with a cost, and the fewest edges among those paths.
-    Costs are 1 or more, so max_distance rounds do."""
+    """(id, distance, hops, predecessor): least cost from any seed over edges with a cost, the fewest edges among those
+    paths, and the least node before it on such a path (null for seeds). Costs are 1 or more, so max_distance rounds do."""
     priced = materialize(edges.withColumn("cost", cost(F.col("conf"))).filter("cost is not null").groupBy("src", "dst").agg(F.min("cost").alias("cost")), "priced")
-    best = materialize(seeds.select("id", F.lit(0).alias("distance"), F.lit(0).alias("hops")).distinct(), "paths")
+    none = F.lit(None).cast(priced.schema["src"].dataType)
+    best = materialize(seeds.select("id", F.lit(0).alias("distance"), F.lit(0).alias("hops"), none.alias("predecessor")).distinct(), "paths")
     front = best
+    label = F.struct("distance", "hops", "predecessor")  # a null predecessor is the least
     for _ in range(max_distance):
-        near = front.join(priced, front["id"] == priced["src"]).select(F.col("dst").alias("id"), (F.col("distance") + F.col("cost")).alias("distance"), (F.col("hops") + 1).alias("hops")).filter(F.col("distance") <= max_distance)
+        near = front.join(priced, front["id"] == priced["src"]).select(F.col("dst").alias("id"), (F.col("distance") + F.col("cost")).alias("distance"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("predecessor")).filter(F.col("distance") <= max_distance)
         both = best.withColumn("old", F.lit(True)).unionByName(near.withColumn("old", F.lit(False)))
-        least = both.groupBy("id").agg(F.min(F.struct("distance", "hops")).alias("x"), F.min(F.when(F.col("old"), F.struct("distance", "hops"))).alias("was"))
-        now = materialize(least.select("id", "x.distance", "x.hops", (F.col("was").isNull() | (F.col("was") != F.col("x"))).alias("new")), "paths")
+        least = both.groupBy("id").agg(F.min(label).alias("x"), F.min(F.when(F.col("old"), label)).alias("was"))
+        now = materialize(least.select("id", "x.*", (F.col("was").isNull() | ~F.col("was").eqNullSafe(F.col("x"))).alias("new")), "paths")
         front, best = now.filter("new").drop("new"), now.drop("new")
         if front.isEmpty():
             break

@@ -21,13 +21,18 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("lang"), F.col("p_size").alias("cost"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive lines of an order, from a returned large one: parallel edges stay, self loops don't."""
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive lines of an order, from a returned large one: edges with the number of their order, ``o``."""
     line = table(spark, sf_dir, "lineitem")
     a = line.filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 25)).select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("n"), F.col("l_partkey").alias("src"))
     b = line.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("dst"))
     names = F.array(*[F.lit(c) for c in CONFIDENCE])
-    return a.join(b, ["o", "n"]).filter("src <> dst").select("src", "dst", F.get(names, (F.col("o") % 10).cast("int")).alias("conf"))
+    return a.join(b, ["o", "n"]).filter("src <> dst").select("src", "dst", F.get(names, (F.col("o") % 10).cast("int")).alias("conf"), "o")
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls as edges: parallel edges stay, self loops don't."""
+    return calls(spark, sf_dir).drop("o")
 
 
 def cost(conf: Column) -> Column:
