@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeatlas.operators import graph as G
+from codeatlas.operators.modules import descendants
 from codeatlas.sources.tables import edges, nodes, table
 
 N = "node AS (SELECT p_partkey AS id, p_name AS name, p_brand AS file, p_type AS lang, p_size AS cost FROM part)"
@@ -333,8 +334,7 @@ def hierarchy_closure(s, d):
     n, u = table(s, d, "nation"), table(s, d, "supplier")
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     up = n.select(key("n", "n_nationkey").alias("child"), key("r", "n_regionkey").alias("ancestor")).unionByName(u.select(key("s", "s_suppkey").alias("child"), key("n", "s_nationkey").alias("ancestor")))
-    two = up.join(up.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("top")), "ancestor").select("child", F.col("top").alias("ancestor"))
-    return up.withColumn("depth", F.lit(1)).unionByName(two.withColumn("depth", F.lit(2))).groupBy("ancestor", "depth").agg(F.count("*").alias("n"))
+    return descendants(up.withColumnRenamed("ancestor", "parent")).groupBy(F.col("base").alias("ancestor"), "depth").agg(F.count("*").alias("n"))
 
 
 _W = "w AS (SELECT p.src, p.dst, g.deg FROM (SELECT DISTINCT src, dst FROM edge) p JOIN (SELECT src, count(DISTINCT dst) AS deg FROM edge GROUP BY src) g ON p.src = g.src)"
