@@ -20,8 +20,8 @@ def stream_tool_stats(s, d):
 
 
 def stream_hourly_events(s, d):
-    out = S.run_once(S.windowed(_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n"), "complete")
-    return out
+    """Hours that the watermark has passed: their counts are final, and their state is gone."""
+    return S.run_once(S.windowed(_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n"))
 
 
 def freshness_state(s, d):
@@ -32,7 +32,54 @@ def freshness_state_stream(s, d):
     return S.run_once(S.freshness_stream(_stream(s, d)))
 
 
-for f in (stream_tool_stats, stream_hourly_events, freshness_state, freshness_state_stream):
+#: Time runs this many times faster in the queries on sessions, so that a user's events are minutes apart.
+FASTER = 200
+_START = 1_704_067_200_000_000
+
+
+def _dense(events):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.withColumn("ts", F.timestamp_micros(F.lit(_START) + F.floor((us - _START) / FASTER)))
+
+
+def session_watch(s, d):
+    """Panic by event time, replayed: calls, new starts, falls of the level by time alone, ends of sessions."""
+    x = _dense(table(s, d, "events"))
+    last = x.agg(F.max(F.unix_micros("ts")).alias("us")).first()["us"]
+    return S.watch_batch(x, (last or 0) // 1000 - 600_000)
+
+
+def session_watch_stream(s, d):
+    """The same from a stream, with timers."""
+    return S.run_once(S.watch_stream(_dense(_stream(s, d))))
+
+
+def _typed(events):
+    return events.select(F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _plain(out):
+    return out.select("kind", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")], "n", "bulk")
+
+
+def debounced(s, d):
+    """Work batches: events of a type less than ten minutes apart, cut at half an hour."""
+    return _plain(S.debounced(_typed(table(s, d, "events")), "kind", "10 minutes", 1_800_000, 4))
+
+
+def debounced_stream(s, d):
+    """The same from a stream, as far as the watermark has passed."""
+    return _plain(S.run_once(S.debounced(_typed(_stream(s, d)), "kind", "10 minutes", 1_800_000, 4)))
+
+
+for f in (stream_tool_stats, stream_hourly_events, freshness_state, freshness_state_stream, session_watch, session_watch_stream, debounced, debounced_stream):
     QUERIES[f.__name__] = f
 ORACLE_SQL["stream_tool_stats"] = "SELECT event_type AS tool, count(*) AS calls, floor(avg(value) + 0.5)::BIGINT AS avg_ms, max(value) AS max_ms FROM events GROUP BY event_type"
-ORACLE_SQL["stream_hourly_events"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+ORACLE_SQL["stream_hourly_events"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING started + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+_SESSIONS = """WITH RECURSIVE e AS (SELECT event_type AS kind, ts, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events),
+  s AS (SELECT kind, ts, count(*) FILTER (gap IS NULL OR gap >= INTERVAL 10 MINUTE) OVER (PARTITION BY kind ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM e),
+  c(kind, session, started) AS (SELECT kind, session, min(ts) FROM s GROUP BY ALL UNION ALL SELECT c.kind, c.session, min(s.ts) FROM c JOIN s ON s.kind = c.kind AND s.session = c.session AND s.ts - c.started >= INTERVAL 30 MINUTE GROUP BY c.kind, c.session, c.started),
+  p AS (SELECT kind, session, started, lead(started) OVER (PARTITION BY kind, session ORDER BY started) AS until FROM c)
+  SELECT p.kind, started, max(s.ts) AS ended, count(*)::INT AS n, count(*) >= 4 AS bulk FROM p JOIN s ON s.kind = p.kind AND s.session = p.session AND s.ts >= started AND (until IS NULL OR s.ts < until) GROUP BY p.kind, p.session, started"""
+ORACLE_SQL["debounced"] = _SESSIONS
+ORACLE_SQL["debounced_stream"] = _SESSIONS.replace("GROUP BY p.kind, p.session, started", "JOIN (SELECT kind, session, max(ts) AS last FROM s GROUP BY ALL) z ON z.kind = p.kind AND z.session = p.session WHERE z.last + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY p.kind, p.session, started")

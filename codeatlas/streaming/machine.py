@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -13,6 +14,10 @@ WINDOW, SWITCH, DAMPED, DENSE, SPIKE, HELD, BURST, HEAVY = 15, 5, 5_000, 15, 20,
 # fixed values: score that raises each level, and that lowers it; points of the signals, of recovery, and a minute's decay
 UP, DOWN = {0: 30, 1: 50, 2: 70, 3: 90}, {1: 20, 2: 40, 3: 60, 4: 80}
 TRAJECTORY, OSCILLATION, DEEP, RECOVERY, DECAY, MOST = 15, 10, 25, 3, 5, 100
+# fixed values: a new start within RAPID of the last is rapid, the third of such is spam; points of either; how long the
+# signals are held off after one that lowered the score; how long a session is kept without a call
+RAPID, SPAM, NORMAL_START, RAPID_START, QUIET, EXPIRY = 120_000, 3, 40, 15, 45_000, 30 * 60_000
+POINT = 60_000 // DECAY
 
 
 def density(modules) -> float:
@@ -60,14 +65,26 @@ class Session:
     score: float = 0
     level: int = 0
     decayed: int = 0
+    oriented: int | None = None
+    orients: int = 0
+    quiet: int = 0
+    seen: int = 0
     window: deque = field(default_factory=lambda: deque(maxlen=WINDOW))
 
     def orient(self, at: int) -> None:
-        """A new start; panic stays."""
+        """A new start: the load goes, and panic falls, the less the oftener it is asked for."""
+        rapid = self.oriented is not None and at - self.oriented < RAPID
+        self.orients, self.oriented, self.seen = self.orients * rapid + 1, at, at
+        points = 0 if self.orients >= SPAM else RAPID_START if rapid else NORMAL_START
+        self.score = max(0, self.score - points)
+        self.level = next_level(self.level, self.score, 0)
+        if points:
+            self.quiet = at + QUIET
         self.since, self.load, self.state, self.depth, self.module, self.switched, self.bonus = at, 0, "fresh", 0, None, 0, 0
         self.window.clear()
 
     def call(self, at: int, weight: int, module: str | None, suppressed: bool = False) -> None:
+        self.seen = at
         self.window.append(module)
         dense, swing = density(self.window), oscillation(self.window)
         if self.state == "stale":
@@ -75,7 +92,25 @@ class Session:
             self.depth = 3 if burst else max(self.depth, self._depth())
         else:
             self._spend(at, weight, module, dense)
-        self._panic(at, dense, swing, suppressed)
+        self._panic(at, dense, swing, suppressed or self.quiet > at)
+
+    def next_change(self) -> int:
+        """When, if no call comes, the level falls by decay, or else the session ends."""
+        end = self.seen + EXPIRY
+        if not self.level or not self.decayed:
+            return end
+        points = math.floor(self.score - DOWN[self.level]) + 1  # until the score is below what holds the level
+        return min(end, self.decayed + max(1, points) * POINT)
+
+    def settle(self, at: int) -> bool:
+        """What time alone does up to ``at``: whole points of decay, and the level that they lead to. Whether the session
+        goes on."""
+        if at >= self.seen + EXPIRY:
+            return False
+        points = max(0, at - self.decayed) // POINT if self.decayed else 0
+        self.score, self.decayed = max(0, self.score - points), self.decayed + points * POINT
+        self.level = settled(self.level, self.score)
+        return True
 
     def _depth(self) -> int:
         return 1 + sum(self.load >= x for x in DEPTHS)
@@ -95,10 +130,10 @@ class Session:
             self.state = "degraded"
 
     def _panic(self, at: int, dense: float, swing: float, suppressed: bool) -> None:
-        delta, point = 0, 60_000 // DECAY
+        delta = 0
         if self.decayed:
-            points = max(0, at - self.decayed) // point
-            delta, self.decayed = -points, self.decayed + points * point  # what is left of a point counts later
+            points = max(0, at - self.decayed) // POINT
+            delta, self.decayed = -points, self.decayed + points * POINT  # what is left of a point counts later
         else:
             self.decayed = at
         focus = max(0.0, (1 - min(1, 2 * dense)) * (1 - min(1, swing)))

@@ -59,3 +59,58 @@ def test_stream_equals_batch(spark):
     rows = lambda x: sorted(tuple(r) for r in x.collect())
     batch = rows(freshness_state(spark, d))
     assert batch == rows(freshness_state_stream(spark, d)) and len({r[3] for r in batch}) == 3
+
+
+def test_new_starts_lower_panic_and_hold_it_off():
+    s = Session(0, score=90, level=4, decayed=1)
+    s.orient(10_000)
+    assert (s.score, s.level, s.quiet) == (50, 3, 55_000)
+    s.orient(60_000)
+    assert (s.score, s.level, s.quiet) == (35, 2, 105_000)
+    s.orient(100_000)  # the third within two minutes of the one before
+    assert (s.score, s.quiet) == (35, 105_000)
+    s.orient(220_000)
+    assert s.score == 0 and s.orients == 1
+    s = Session(0, quiet=50_000)
+    for i in range(20):
+        s.call(1000 * i, 1, "ab"[i % 2])
+    assert s.score == 0
+    s.call(50_000, 1, "a")
+    assert s.score == 15 + 10 + 25 - 3  # a burst, an oscillation and depth, once they count again; and three points of decay
+
+
+def test_time_alone_lowers_the_level_and_ends_the_session():
+    s = Session(0, score=100, level=4, decayed=1, seen=1)
+    times = []
+    while s.level:
+        times.append((s.next_change() - 1) // 1000)
+        assert s.settle(s.next_change())
+    assert times == [252, 492, 732, 972]  # 80, 60, 40 and 20 undercut, at 5 a minute
+    assert s.next_change() == 1 + 30 * MIN and not s.settle(1 + 30 * MIN)
+
+
+def test_the_watch_replays_the_stream_over_batches(spark, tmp_path):
+    """Six files with some rows out of order, the last also with rows that are too late."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from codeatlas.streaming import events as S
+
+    rng = random.Random(9)
+    at, rows = 0, []
+    for i in range(600):
+        at += rng.choice([1, 2, 5, 20, 90])
+        rows.append((i, 1_700_000_000_000_000 + at * 1_000_000, i % 3, rng.choice(["click", "view", "error", "signup"] if i % 5 == 0 else ["click", "view"]), float(rng.randrange(9))))
+    rows += [(600 + i, rows[-1][1] + (4000 + i) * 1_000_000, 9, "click", 1.0) for i in range(2)]  # time goes on
+    order = sorted(rows, key=lambda r: r[1] + rng.randrange(0, 200) * 1_000_000)
+    schema = "event_id long, us long, user_id long, event_type string, value double"
+    table = lambda x: spark.createDataFrame(x, schema).withColumn("ts", F.timestamp_micros("us")).drop("us")
+    late = [(900, rows[0][1], 1, "error", 8.0)]
+    parts = [order[i : i + 101] for i in range(0, len(order), 101)] + [late]
+    for i, part in enumerate(parts):
+        table(part).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    files = spark.readStream.schema(table(rows).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = sorted(map(str, S.run_once(S.watch_stream(files)).collect()))
+    want = sorted(map(str, S.watch_batch(table(rows), max(r[1] for r in rows) // 1000 - 600_000).collect()))
+    assert got == want and any("settled" in r for r in got) and any("ended" in r for r in got) and any("level=2" in r for r in got)
