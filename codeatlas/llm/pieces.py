@@ -24,6 +24,7 @@ holds that much more; a very long unit (a run of letters without a space) is exp
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -322,7 +323,7 @@ def _answer(key, rows: pa.Table, known: pa.Table, wide: bool) -> pa.Table:
     return pa.table({"own": rows["block"], "found": pa.array(found, pa.binary())})
 
 
-def _assemble(key, blocks: pa.Table, known: pa.Table, wide: bool, surface: list[bytes] | None) -> pa.Table:
+def _assemble(key, blocks: pa.Table, known: pa.Table, wide: bool, surface: list[bytes] | None, digest: bool) -> pa.Table:
     """Ids of a block's documents. Equal blocks share a key and have the same units; blocks that differ can't pass for
     each other, as the number of units is checked."""
     sizes, flat = {}, {}
@@ -364,9 +365,12 @@ def _assemble(key, blocks: pa.Table, known: pa.Table, wide: bool, surface: list[
             spelt, ends = _gather(letters, at, own)
             of_word = _runs(spelt.tobytes(), ends[own_edges[words]])
             del spelt, ends
-            out["decoded"] += [_spoken(b"".join(map(of_word.__getitem__, each[a:b].tolist()))) for a, b in zip(at_doc, at_doc[1:], strict=False)]
+            texts = (_spoken(b"".join(map(of_word.__getitem__, each[a:b].tolist()))) for a, b in zip(at_doc, at_doc[1:], strict=False))
+            out["decoded"] += [hashlib.sha256(t.encode()).hexdigest() for t in texts] if digest else list(texts)
     kinds = {"doc_id": pa.int64(), "n_units": pa.int64(), "packed": pa.binary(), "decoded": pa.string()}
-    return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+    whole = pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+    # many small batches, so that nothing holds a block's texts and ids at once on the other side
+    return pa.Table.from_batches(whole.to_batches(max_chunksize=128), whole.schema)
 
 
 def _spoken(raw: bytes) -> str:
@@ -378,9 +382,10 @@ def _decoded(packed: bytes, surface: list[bytes]) -> str:
     return _spoken(b"".join(map(surface.__getitem__, np.frombuffer(packed, np.int32).tolist())))
 
 
-def encode(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """doc_id, n_units and the ids of each row, packed as little-endian 32-bit numbers; and what they decode to, if
-    asked for (in the same tasks, which then need one Python worker each instead of two)."""
+def encode(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, digest: bool = False) -> DataFrame:
+    """doc_id, n_units and the ids of each row, packed as little-endian 32-bit numbers; and what they decode to, or the
+    SHA-256 of that (``decoded_sha256``), if asked for (in the same tasks, which then need one Python worker each instead
+    of two)."""
     light = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"),
         F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"),
@@ -397,9 +402,11 @@ def encode(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES, id_col
     own = places.groupBy("bucket", "unit").agg(F.min("block").alias("block"), F.min("place").alias("place")).filter("block is not null and place is not null")
     known = encode_units(own.select("bucket", "unit"), model).withColumnRenamed("bucket", "own_bucket")
     found = rows.groupBy("bucket").cogroup(known.groupBy("own_bucket")).applyInArrow(on_pair(_answer, wide=wide), "own long, found binary")
-    schema = "doc_id long, n_units long, packed binary" + ", decoded string" * decoded
-    f = on_pair(_assemble, wide=wide, surface=model.surface() if decoded else None)
-    return blocks.groupBy("block").cogroup(found.groupBy("own")).applyInArrow(f, schema)
+    read = decoded or digest
+    schema = "doc_id long, n_units long, packed binary" + ", decoded string" * read
+    f = on_pair(_assemble, wide=wide, surface=model.surface() if read else None, digest=digest)
+    out = blocks.groupBy("block").cogroup(found.groupBy("own")).applyInArrow(f, schema)
+    return out.withColumnRenamed("decoded", "decoded_sha256") if digest else out
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
@@ -415,6 +422,8 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
     return encoded.mapInPandas(run, schema)
 
 
-def digests(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_units, n_ids, digests of the ids and of the decoded text; and the columns to keep."""
-    return decoded.select("doc_id", "n_units", (F.octet_length("packed") / 4).cast("long").alias("n_ids"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), *keep)
+def digests(encoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_units, n_ids, digests of the ids and of the decoded text; and the columns to keep. encoded: with the
+    decoded text or its digest."""
+    text = F.col("decoded_sha256") if "decoded_sha256" in encoded.columns else F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    return encoded.select("doc_id", "n_units", (F.octet_length("packed") / 4).cast("long").alias("n_ids"), F.sha2("packed", 256).alias("ids_sha256"), text, *keep)

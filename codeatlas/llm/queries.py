@@ -75,7 +75,7 @@ def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.Model(tokenizer_file("piece_bpe_32k.model"))
-    return pieces.digests(pieces.encode(_table(spark, sf_dir, "documents"), model, decoded=True))
+    return pieces.digests(pieces.encode(_table(spark, sf_dir, "documents"), model, digest=True))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
