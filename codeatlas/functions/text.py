@@ -176,14 +176,15 @@ def type_one(text: Column, hash_comments: Column) -> Column:
     return F.trim(F.regexp_replace(bare, BLANKS, " "))
 
 
-def type_two(code: Column) -> Column:
-    """Code with each identifier that isn't a keyword in place of its number in order of first use, one text at a time."""
+def type_two(code: Column, keywords: frozenset[str] = KEYWORDS, words: str = "[A-Za-z0-9_]+") -> Column:
+    """Code with each identifier that isn't a keyword in place of its number in order of first use, one text at a time.
+    words: what may be an identifier, unless it begins with a digit."""
 
     def renamed(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
             names: dict[str, str] = {}
-            name = lambda m: m[0] if m[0] in KEYWORDS or m[0][0].isdigit() else names.setdefault(m[0], f"_v{len(names)}")
-            return None if text is None else re.sub("[A-Za-z0-9_]+", name, text)
+            name = lambda m: m[0] if m[0] in keywords or m[0][0].isdigit() else names.setdefault(m[0], f"_v{len(names)}")
+            return None if text is None else re.sub(words, name, text)
 
         return texts.map(one)
 

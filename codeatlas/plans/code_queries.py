@@ -287,10 +287,9 @@ _CODE = "regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_]+')"
 @query(f"WITH t AS (SELECT doc_id AS id, {_CODE} AS w FROM documents WHERE text IS NOT NULL) SELECT min(id) AS first_id, count(*) AS copies FROM t WHERE len(w) >= 10 GROUP BY list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z_]') THEN list_position(w, x)::VARCHAR ELSE x END) HAVING count(*) > 1")
 def renamed_clones(s, d):
     """Texts that are equal once each identifier stands as the place where it first occurs."""
-    w = F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_]+"), F.lit(0))
-    x = table(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), w.alias("w")).filter(F.size("w") >= 10)
-    form = F.transform("w", lambda t: F.when(t.rlike("^[A-Za-z_]"), F.array_position(F.col("w"), t).cast("string")).otherwise(t))
-    g = x.groupBy(F.sha2(F.array_join(form, "\x1f"), 256).alias("h")).agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    long = F.regexp_count("text", F.lit("[A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_]+")) >= 10
+    x = table(s, d, "documents").filter("text is not null").filter(long).select(F.col("doc_id").alias("id"), T.type_two(F.col("text"), frozenset(), "[A-Za-z_][A-Za-z0-9_]*").alias("form"))
+    g = x.groupBy(F.sha2("form", 256).alias("h")).agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     return g.filter("copies > 1").select("first_id", "copies")
 
 
@@ -354,12 +353,15 @@ def _file_pairs(s, d):
     return edges(s, d).join(a, "src").join(b, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
-@query(f"WITH {F_SQL} SELECT sha256(string_agg(id || ':' || name, chr(10) ORDER BY id || ':' || name)) AS digest, count(*) AS n, CASE WHEN count(*) >= 20 THEN 'healthy' ELSE 'degraded' END AS verdict FROM (SELECT min(id) AS id, name FROM func GROUP BY name)")
+@query(f"""WITH {F_SQL}, x AS (SELECT min(id) AS id, name FROM func GROUP BY name), p AS (SELECT id // 1000 AS part, sha256(string_agg(id || ':' || name, chr(10) ORDER BY id)) AS d, count(*) AS n FROM x GROUP BY 1)
+  SELECT sha256(string_agg(d, chr(10) ORDER BY part)) AS digest, sum(n)::BIGINT AS n, CASE WHEN sum(n) >= 20 THEN 'healthy' ELSE 'degraded' END AS verdict FROM p""")
 def bundle_digest(s, d):
-    """Digest of the distinct names in order: a bounded list of lines."""
-    x = functions(s, d).groupBy("name").agg(F.min("id").alias("id")).select(F.concat_ws(":", F.col("id").cast("string"), "name").alias("line"))
-    out = x.agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    return out.select(F.sha2(F.array_join("lines", "\n"), 256).alias("digest"), F.size("lines").cast("long").alias("n"), F.when(F.size("lines") >= 20, "healthy").otherwise("degraded").alias("verdict"))
+    """Digest of the distinct names: of a thousand ids at a time, and then of those digests in order."""
+    x = functions(s, d).groupBy("name").agg(F.min("id").alias("id"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("id", "name"))), lambda r: F.concat_ws(":", r["id"].cast("string"), r["name"]))
+    parts = x.groupBy(F.floor(F.col("id") / 1000).alias("part")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("d"), F.count("*").alias("n"))
+    out = parts.agg(F.sort_array(F.collect_list(F.struct("part", "d"))).alias("all"), F.sum("n").alias("n"))
+    return out.select(F.sha2(F.array_join("all.d", "\n"), 256).alias("digest"), "n", F.when(F.col("n") >= 20, "healthy").otherwise("degraded").alias("verdict"))
 
 
 @query(f"WITH {N}, {E} SELECT '  ' || chr(34) || a.file || chr(34) || ' -> ' || chr(34) || b.file || chr(34) || ' [weight=' || count(*) || '];' AS line FROM edge e JOIN node a ON e.src = a.id JOIN node b ON e.dst = b.id WHERE a.file <> b.file GROUP BY a.file, b.file")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codeatlas.plans.history_queries import tool_rollup
+from codeatlas.session import shared_dir
 from codeatlas.sources.tables import table
 from codeatlas.streaming import events as S
+from codeatlas.streaming.upkeep import Upkeep
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -72,7 +76,29 @@ def debounced_stream(s, d):
     return _plain(S.run_once(S.debounced(_typed(_stream(s, d)), "kind", "10 minutes", 1_800_000, 4)))
 
 
-for f in (stream_tool_stats, stream_hourly_events, freshness_state, freshness_state_stream, session_watch, session_watch_stream, debounced, debounced_stream):
+def _versions(s, d):
+    """Three batches of file versions, of parts: all; a fifth with other functions and calls; an eleventh deleted."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    p = table(s, d, "part").withColumn("path", F.concat(F.lit("f"), text(k)))
+    called = lambda *names: F.array(*[F.struct(F.lit("main").alias("caller"), n.alias("callee")) for n in names])
+    name = lambda mark, c: F.concat(F.lit(mark), text(c))
+    row = lambda df, v, gone, functions, calls: df.select("path", F.lit(v).cast("long").alias("version"), F.concat(F.lit(f"v{v}:"), text(k)).alias("hash"), F.lit(gone).alias("deleted"), functions.alias("functions"), calls.alias("calls"))
+    one = row(p, 1, False, F.array(name("f", k % 700), name("g", k * 7 % 1500)), called(name("f", F.col("p_size") * 13 % 900), name("g", k * 3 % 1600)))
+    two = row(p.filter(k % 5 == 0), 2, False, F.array(name("h", k % 300)), called(name("f", k % 700), name("h", k % 400)))
+    none = F.array().cast("array<string>")
+    return [one, two, row(p.filter(k % 11 == 0), 3, True, none, F.array().cast("array<struct<caller:string,callee:string>>"))]
+
+
+def incremental_refresh(s, d):
+    """Edges after three batches of file versions, each with what was left stale by its budget, and the rest after them."""
+    upkeep = Upkeep(s, f"{shared_dir(s)}/codeatlas-upkeep-{uuid.uuid4().hex}", 8)
+    for i, batch in enumerate(_versions(s, d)):
+        upkeep.apply(batch, i)
+    upkeep.drain()
+    return upkeep.read("edges").drop("bucket")
+
+
+for f in (incremental_refresh, stream_tool_stats, stream_hourly_events, freshness_state, freshness_state_stream, session_watch, session_watch_stream, debounced, debounced_stream):
     QUERIES[f.__name__] = f
 ORACLE_SQL["stream_tool_stats"] = "SELECT event_type AS tool, count(*) AS calls, floor(avg(value) + 0.5)::BIGINT AS avg_ms, max(value) AS max_ms FROM events GROUP BY event_type"
 ORACLE_SQL["stream_hourly_events"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING started + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
@@ -83,3 +109,9 @@ _SESSIONS = """WITH RECURSIVE e AS (SELECT event_type AS kind, ts, ts - lag(ts)
   SELECT p.kind, started, max(s.ts) AS ended, count(*)::INT AS n, count(*) >= 4 AS bulk FROM p JOIN s ON s.kind = p.kind AND s.session = p.session AND s.ts >= started AND (until IS NULL OR s.ts < until) GROUP BY p.kind, p.session, started"""
 ORACLE_SQL["debounced"] = _SESSIONS
 ORACLE_SQL["debounced_stream"] = _SESSIONS.replace("GROUP BY p.kind, p.session, started", "JOIN (SELECT kind, session, max(ts) AS last FROM s GROUP BY ALL) z ON z.kind = p.kind AND z.session = p.session WHERE z.last + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY p.kind, p.session, started")
+ORACLE_SQL["incremental_refresh"] = """WITH p AS (SELECT p_partkey AS k, 'f' || p_partkey AS path, p_size FROM part WHERE p_partkey % 11 <> 0),
+  fn AS (SELECT path, unnest(CASE WHEN k % 5 = 0 THEN ['h' || (k % 300)] ELSE ['f' || (k % 700), 'g' || (k * 7 % 1500)] END) AS name FROM p),
+  c AS (SELECT path, 'main' AS caller, unnest(CASE WHEN k % 5 = 0 THEN ['f' || (k % 700), 'h' || (k % 400)] ELSE ['f' || (p_size * 13 % 900), 'g' || (k * 3 % 1600)] END) AS callee FROM p),
+  u AS (SELECT name, min(path) AS sole, count(DISTINCT path) AS n FROM fn GROUP BY name)
+  SELECT DISTINCT c.path, caller, callee, CASE WHEN o.path IS NOT NULL THEN c.path WHEN n = 1 THEN sole END AS target, CASE WHEN o.path IS NOT NULL THEN 'same_file' WHEN n = 1 THEN 'name_only' WHEN n > 1 THEN 'ambiguous' ELSE 'external' END AS basis
+  FROM c LEFT JOIN fn o ON c.path = o.path AND callee = o.name LEFT JOIN u ON callee = u.name"""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions import text as T
+from codeatlas.plans.code_queries import TOKENS_SQL
 from codeatlas.sources.tables import nodes, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -22,18 +23,13 @@ def query(sql: str | None = None):
     return add
 
 
-TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)"
-
-
-def _plain(text):
-    """Lower-case words of two characters or more (texts hold no camel-case identifiers)."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 1)
+TOKENS = TOKENS_SQL.format("text")
 
 
 def bm25(docs, terms: list[str]):
     """(doc_id, score) by BM25 of the query's terms, repeats of a term counted. Lengths and document frequencies are
     of all documents; only rows of the query's terms are shuffled."""
-    words = docs.select("doc_id", _plain(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    words = docs.select("doc_id", T.tokenize(F.col("text")).alias("w")).withColumn("len", F.size("w"))
     total = words.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
     wanted = F.array(*[F.lit(t) for t in sorted(set(terms))])
     tf = words.select("doc_id", "len", F.explode(F.filter("w", lambda x: F.array_contains(wanted, x))).alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
@@ -68,11 +64,11 @@ def filtered_search(s, d):
     return kept.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query("""WITH l AS (SELECT doc_id * 1000000 + i AS doc_id, left(lines[i], 1000) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i) WHERE trim(lines[i]) <> ''), """ + BM25_SQL.removeprefix("WITH ").replace("FROM documents", "FROM l") + " SELECT doc_id AS line_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 50")
+@query("""WITH l AS (SELECT {'doc': doc_id, 'line': i} AS doc_id, left(lines[i], 1000) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i) WHERE trim(lines[i]) <> ''), """ + BM25_SQL.removeprefix("WITH ").replace("FROM documents", "FROM l") + " SELECT doc_id.doc AS doc_id, doc_id.line AS line, score FROM bm ORDER BY score DESC, bm.doc_id LIMIT 50")
 def text_line_search(s, d):
     """BM25 over lines."""
-    lines = text_lines(s, d).select((F.col("doc_id") * 1000000 + F.col("line")).alias("doc_id"), "text")
-    return bm25(lines, QUERY).orderBy(F.desc("score"), "doc_id").limit(50).withColumnRenamed("doc_id", "line_id")
+    lines = text_lines(s, d).select(F.struct("doc_id", "line").alias("doc_id"), "text")
+    return bm25(lines, QUERY).orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id.doc_id", "doc_id.line", "score")
 
 
 KNN_SQL = "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), k AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.e::DOUBLE[]), 6) AS score FROM embeddings, q)"
@@ -214,7 +210,9 @@ def documents_rollup(s, d):
     return table(s, d, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), (F.grouping("lang") + F.grouping("source")).cast("long").alias("level"))
 
 
-@query("SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2 FROM documents GROUP BY lang")
+@query("SELECT lang, source, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 6)::DOUBLE AS share FROM documents GROUP BY lang, source")
 def capability_pivot(s, d):
-    p = table(s, d, "documents").groupBy("lang").pivot("source", ["src0", "src1", "src2"]).count()
-    return p.na.fill(0, ["src0", "src1", "src2"])
+    """Languages by sources, all of them: how many, and their share of the language."""
+    x = table(s, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    total = x.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("total"))
+    return x.join(total, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "source", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
