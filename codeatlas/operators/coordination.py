@@ -169,21 +169,18 @@ def stale_references(texts: DataFrame, retired: DataFrame) -> DataFrame:
 def meetings(asked: DataFrame, pairs: DataFrame) -> DataFrame:
     """(start, goal, hops): which of the asked (start, goal) meet over pairs (src, dst), in the fewest steps. All starts go
     a step in each round; a start whose goals are all found, or that finds nothing new, goes no further."""
-    open_ = materialize(asked.select("start", "goal").distinct(), "asked")
-    seen = front = materialize(open_.select("start", F.col("start").alias("id")).distinct(), "met")
-    found, hops = None, 0
-    while True:
-        hit = materialize(open_.join(front.withColumnRenamed("id", "goal"), ["start", "goal"]).select("start", "goal", F.lit(hops).alias("hops")), "met")
-        found = hit if found is None else found.unionByName(hit)
-        open_ = materialize(open_.join(hit, ["start", "goal"], "left_anti"), "asked")
-        front = front.join(open_.select("start").distinct(), "start", "left_semi")
-        on = front.join(pairs, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
+    asked = materialize(asked.select("start", "goal").distinct(), "asked")
+    seen = front = materialize(asked.select("start", F.col("start").alias("id")).distinct(), "met")
+    found, hops = asked.sparkSession.createDataFrame([], asked.schema).withColumn("hops", F.lit(0)), 0
+    while not front.isEmpty():
+        found = found.unionByName(materialize(asked.join(front.withColumnRenamed("id", "goal"), ["start", "goal"]).withColumn("hops", F.lit(hops)), "met"))
+        waiting = asked.join(found, ["start", "goal"], "left_anti").select("start").distinct()
+        on = front.join(waiting, "start", "left_semi").join(pairs, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
         front = materialize(on.join(seen, ["start", "id"], "left_anti"), "met")
-        if front.isEmpty():
-            return found
         seen, hops = seen.unionByName(front), hops + 1
         if hops % 8 == 0:
             seen, found = materialize(seen, "met"), materialize(found, "met")
+    return found
 
 
 def verify_claims(claims: DataFrame, nodes: DataFrame, edges: DataFrame, roots: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -206,9 +203,11 @@ def verify_claims(claims: DataFrame, nodes: DataFrame, edges: DataFrame, roots:
     reach = x.filter("kind in ('reaches', 'impacts') and sid is not null and oid is not null")
     forth = F.col("kind") == "reaches"
     reach = reach.select("claim", F.when(forth, F.col("sid")).otherwise(F.col("oid")).alias("start"), F.when(forth, F.col("oid")).otherwise(F.col("sid")).alias("goal"))
-    met = reach.join(meetings(reach, edges.select("src", "dst").distinct()), ["start", "goal"]).select("claim", "hops")
-    live = G.bfs(edges, roots).select(F.col("id").alias("sid"), F.lit(True).alias("live"))
-    surely = G.bfs(edges.filter("conf <> 'synthesized'"), roots).select(F.col("id").alias("sid"), F.lit(True).alias("surely"))
+    pairs = materialize(edges.select("src", "dst").distinct(), "pairs")
+    met = reach.join(meetings(reach, pairs), ["start", "goal"]).select("claim", "hops")
+    sure = G.bfs(edges.filter("conf <> 'synthesized'"), roots).select("id")
+    live = G.bfs(pairs, sure).select(F.col("id").alias("sid"), F.lit(True).alias("live"))  # what synthesized edges add
+    surely = sure.select(F.col("id").alias("sid"), F.lit(True).alias("surely"))
     callers = edges.groupBy(F.col("dst").alias("sid")).agg(F.count_if(F.col("conf") != "synthesized").alias("callers"), F.count_if(F.col("conf") == "synthesized").alias("made"))
     said = decisions.groupBy(F.col("id").alias("subject")).agg(F.min("status").alias("status"), F.lit(True).alias("recorded"))
     gone = retirement(decisions).select(F.col("id").alias("subject"), "superseded_by")
