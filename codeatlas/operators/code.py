@@ -59,16 +59,31 @@ def http_edges(calls: DataFrame, routes: DataFrame) -> DataFrame:
     rank = F.when(F.col("path") != F.col("url"), 2).when(known("cm") & known("rm"), 0).otherwise(1)
     method = F.when(known("cm") & known("rm"), F.col("cm")).otherwise(F.col("rm"))
     direct = direct.select("caller_file", "url", "cm", "handler_file", method.alias("method"), "path", rank.alias("rank"))
-    parts = lambda p: F.split(F.regexp_replace(p, ":param", "*"), "/")
-    rest = c.join(direct.select("caller_file", "url", "cm").distinct(), ["caller_file", "url", "cm"], "left_anti").withColumn("a", parts(F.col("url")))
-    wild = rest.withColumn("n", F.size("a")).join(r.withColumn("b", parts(F.col("path"))).withColumn("n", F.size("b")), "n").filter(fits)
-    wild = wild.filter(F.forall(F.zip_with("a", "b", lambda x, y: (x == y) | (x == "*") | (y == "*")), lambda ok: ok))
+    rest = c.join(direct.select("caller_file", "url", "cm").distinct(), ["caller_file", "url", "cm"], "left_anti")
+    wild = rest.join(wildcard_matches(rest.select("url"), r.select("path")), "url").join(r, "path").filter(fits)
     wild = wild.select("caller_file", "handler_file", F.when(known("cm"), F.col("cm")).otherwise(F.col("rm")).alias("method"), "path", F.lit(2).alias("rank"))
     both = direct.select("caller_file", "handler_file", "method", "path", "rank").unionByName(wild)
     out = both.groupBy("caller_file", "handler_file", "method", "path").agg(F.min("rank").alias("rank"))
     return out.select("caller_file", "handler_file", "method", "path", F.element_at(F.array(F.lit("exact"), F.lit("path"), F.lit("fuzzy")), F.col("rank") + 1).alias("confidence"))
 
 
+def wildcard_matches(urls: DataFrame, paths: DataFrame) -> DataFrame:
+    """(url, path) of as many segments, each equal or a parameter on either side. A path waits under the rarest of its
+    segments that are no parameters, and a url asks under each of its own; where the url has a parameter in that place,
+    it asks for all that wait there."""
+    split = lambda p: F.split(F.regexp_replace(p, ":param", "*"), "/")
+    ways = paths.select("path", split(F.col("path")).alias("b")).distinct().withColumn("n", F.size("b"))
+    words = ways.select("path", "n", F.posexplode("b").alias("i", "v")).filter("v not in ('*', '')")
+    often = words.groupBy("n", "i", "v").agg(F.count("*").alias("often"))
+    rarest = words.join(often, ["n", "i", "v"]).groupBy("path").agg(F.min(F.struct("often", "i", "v")).alias("x"))
+    ways = ways.join(rarest, "path", "left").select("path", "b", "n", F.coalesce("x.i", F.lit(-1)).alias("i"), F.coalesce("x.v", F.lit("")).alias("v"))
+    asked = urls.select("url", split(F.col("url")).alias("a")).distinct().withColumn("n", F.size("a"))
+    under = asked.select("url", "a", "n", F.posexplode("a").alias("i", "v")).filter("v <> ''")
+    under = under.unionByName(asked.select("url", "a", "n", F.lit(-1).alias("i"), F.lit("").alias("v")))
+    met = under.filter("v <> '*'").join(ways, ["n", "i", "v"]).unionByName(under.filter("v = '*'").drop("v").join(ways, ["n", "i"]))
+    return met.filter(F.forall(F.zip_with("a", "b", lambda x, y: (x == y) | (x == "*") | (y == "*")), lambda ok: ok)).select("url", "path")
+
+
 def channel_edges(emits: DataFrame, listens: DataFrame, most: int = 8) -> DataFrame:
     """Distinct (src, dst) of emitters and listeners of a channel; channels with more than ``most`` different listeners
     make none. emits: channel, src; listens: channel, dst."""
@@ -100,14 +115,20 @@ def anchor_freshness(anchors: DataFrame, nodes: DataFrame, renames: DataFrame) -
 
 def map_requirements(requirements: DataFrame, functions: DataFrame, least: float = 0.7, first: int = 2) -> DataFrame:
     """(requirement, id, score): functions whose name is the requirement's (1), holds it or is held by it (0.8), or shares
-    words with it (their Jaccard similarity times 0.7): the best ``first`` of at least ``least``. requirements: a bounded
-    list (broadcast); functions: id, name."""
+    words with it (their Jaccard similarity times 0.7): the best ``first`` of at least ``least``. requirements:
+    requirement; functions: id, name. Both sides meet on a shared word, or where the first three letters of one occur in
+    the other; what has neither letters nor digits meets nothing."""
     flat = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
-    names = functions.groupBy("name").agg(F.min("id").alias("id"))
-    r = requirements.select("requirement", flat(F.col("requirement")).alias("rf"), words(F.col("requirement")).alias("rw"))
-    n = names.select("id", flat(F.col("name")).alias("nf"), words(F.col("name")).alias("nw"))
-    x = n.join(F.broadcast(r), (F.contains("nf", F.col("rf"))) | F.contains("rf", F.col("nf")) | F.arrays_overlap("nw", "rw"))
+    r = requirements.filter("requirement is not null").select("requirement", flat(F.col("requirement")).alias("rf"), words(F.col("requirement")).alias("rw")).distinct().filter("rf <> ''")
+    names = functions.filter("name is not null").groupBy("name").agg(F.min("id").alias("id"))
+    n = names.select("id", flat(F.col("name")).alias("nf"), words(F.col("name")).alias("nw")).filter("nf <> ''")
+    start = lambda c: F.substring(c, 1, 3).alias("key")
+    grams = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*[F.substring(F.col(c), i, F.lit(k)) for k in (1, 2, 3)]))))).alias("key")
+    met = r.select("requirement", start("rf")).join(n.select("id", grams("nf")), "key").unionByName(r.select("requirement", grams("rf")).join(n.select("id", start("nf")), "key"))
+    met = met.unionByName(r.select("requirement", F.explode("rw").alias("key")).join(n.select("id", F.explode("nw").alias("key")), "key"))
+    x = met.select("requirement", "id").distinct().join(r, "requirement").join(n, "id")
+    x = x.filter(F.contains("nf", F.col("rf")) | F.contains("rf", F.col("nf")) | F.arrays_overlap("nw", "rw"))
     score = F.when(F.col("nf") == F.col("rf"), 1.0).when(F.contains("nf", F.col("rf")) | F.contains("rf", F.col("nf")), 0.8).otherwise(T.jaccard(F.col("nw"), F.col("rw")) * 0.7)
     order = Window.partitionBy("requirement").orderBy(F.desc("score"), "id")
     return x.select("requirement", "id", F.round(score, 6).alias("score")).filter(F.col("score") >= least).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= first).drop("n")
