@@ -24,3 +24,17 @@ def test_every_rung(spark):
     assert got == {"own": plain(2, "self_cls"), "up": plain(5, "self_cls"), "super": out, "near": plain(18, "self_cls"), "lone": plain(17, "self_cls"), "split": (None, "ambiguous", "self_cls", 2),
                    "type": plain(7, "type_name"), "imported": plain(7, "type_name"), "lower": out, "dotted": plain(8, "same_file"), "java": out, "infer": plain(6, "type_inference"), "chain": plain(9, "re_export"), "direct": out,
                    "nested": plain(11, "same_file"), "recursive": plain(11, "same_file"), "first": plain(10, "same_file"), "sole": plain(13, "name_only"), "both": (None, "ambiguous", "name_only", 2), "out": out, "typed": out, "null": out, "nobody": out}
+
+
+def test_wildcards_equal_brute_force(spark):
+    from itertools import product
+
+    from codeatlas.operators.code import wildcard_matches
+
+    parts = ["a", "b", ":param", "c"]
+    paths = ["/" + "/".join(p) for n in (1, 2, 3) for p in product(parts, repeat=n)] + ["/", "/a//b"]
+    urls = paths[::2] + [None]
+    split = lambda p: p.replace(":param", "*").split("/")
+    fits = lambda u, p: len(split(u)) == len(split(p)) and all(x == y or "*" in (x, y) for x, y in zip(split(u), split(p), strict=True))
+    got = [tuple(r) for r in wildcard_matches(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame([(p,) for p in paths + [None]], "path string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(u, p) for u in urls if u for p in paths if fits(u, p)}
