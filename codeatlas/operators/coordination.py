@@ -228,16 +228,17 @@ def verify_claims(claims: DataFrame, nodes: DataFrame, edges: DataFrame, roots:
     return x.select("claim", F.when(F.col("reason").isin(yes), "confirmed").when(F.col("reason").isin(no), "refuted").otherwise("unverifiable").alias("verdict"), "reason", F.when(two, F.col("hops")).alias("hops"))
 
 
-def ways_to(surface: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, path): the shortest path from each node to a node of ``surface`` (id), by edges (src, dst); of equal ones that
-    whose nodes come first. Level by level, each node taking the least of its successors' paths."""
+def ways_to(surface: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, path): the shortest path from each node to a node of ``surface`` (id), by edges (src, dst), of at most so many
+    (null: any); of equal ones that whose nodes come first. Level by level, each node taking the least of its
+    successors' paths."""
     pairs = materialize(edges.select("src", "dst").distinct(), "pairs")
 
     def step(front):
         on = front.join(pairs, F.col("id") == F.col("dst")).groupBy("src").agg(F.min("path").alias("path"))
         return on.select(F.col("src").alias("id"), F.concat(F.array("src"), "path").alias("path"))
 
-    return fixpoint(surface.select("id").distinct().withColumn("path", F.array("id")), ["id"], step, "ways")
+    return fixpoint(surface.select("id").distinct().withColumn("path", F.array("id")), ["id"], step, "ways", rounds)
 
 
 def opened_paths(old: DataFrame, new: DataFrame, surface: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas.operators import graph as G
+from codeatlas.operators.coordination import ways_to
 from codeatlas.session import materialize
 
 
@@ -68,6 +69,29 @@ def node_changes(old: DataFrame, new: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(stale.select(F.lit("stale-caller").alias("change"), F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(None).cast("string").alias("basis")))
 
 
+def select_tests(nodes: DataFrame, edges: DataFrame, changed: DataFrame, tested_by: DataFrame, depth: int = 12) -> DataFrame:
+    """(test, confidence, source, path): the tests to run for changed nodes (id), each by its surest way, then the shortest,
+    then the least. call: the test reaches a changed node in 1 call (high), up to 3 (medium) or up to ``depth`` (low);
+    tested_by: it is known to test one (high) or a node that reaches one (medium); same_file: it tests another node of
+    the file of a changed node to which no test was found (low; the path is the test alone). nodes: id, file, is_test;
+    edges: src, dst; tested_by: id, test."""
+    seeds = materialize(nodes.join(changed.select("id").distinct(), "id").filter("not coalesce(is_test, false)").select("id", "file"), "changed")
+    ways = ways_to(seeds.select("id"), edges, depth)
+    known = tested_by.select("id", "test").filter("id is not null and test is not null").distinct()
+    steps = F.size("path") - 1
+    rows = lambda df, rank, source, path: df.select("test", rank.alias("rank"), F.lit(source).alias("source"), path.alias("path"))
+    called = ways.filter(steps > 0).join(nodes.filter("is_test").select("id"), "id").withColumnRenamed("id", "test")
+    out = rows(called, F.when(steps == 1, 0).when(steps <= 3, 1).otherwise(2), "call", F.col("path"))
+    out = out.unionByName(rows(ways.join(known, "id"), F.when(steps == 0, 0).otherwise(1), "tested_by", F.concat(F.array("test"), "path")))
+    best = lambda df: df.groupBy("test").agg(F.min(F.struct("rank", F.size("path").alias("n"), "path", "source")).alias("x")).select("test", "x.rank", "x.source", "x.path")
+    found = materialize(best(out), "selected")
+    bare = seeds.join(found.select(F.element_at("path", -1).alias("id")).distinct(), "id", "left_anti").select("file").filter("file is not null").distinct()
+    beside = nodes.select("id", "file").join(bare, "file").join(known, "id").select("test").distinct()
+    all_ = best(found.unionByName(rows(beside, F.lit(2), "same_file", F.array("test"))))
+    level = F.get(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), F.col("rank"))
+    return all_.select("test", level.alias("confidence"), "source", "path")
+
+
 def landmark_evidence(fans: DataFrame, churn: DataFrame) -> DataFrame:
     """(id, label, evidence) for each landmark label of each node, with what it rests on. fans: id, file, fan_in, fan_out;
     churn: file, churn (a file that changed 12 times or more is volatile)."""

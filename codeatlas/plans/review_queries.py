@@ -69,3 +69,23 @@ def landmark_evidence(s, d):
     p = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("file"))
     churn = table(s, d, "lineitem").join(p, "l_partkey").groupBy("file").agg(F.countDistinct("l_orderkey").alias("churn"))
     return R.landmark_evidence(fans(s, d).withColumn("file", F.expr(_MODULE)), churn)
+
+
+_TESTED = "tb AS MATERIALIZED (SELECT a.id, b.id AS test FROM node a JOIN node b ON b.id = a.id + 1 WHERE a.id % 6 = 1 AND b.lang LIKE 'STANDARD%' AND a.lang NOT LIKE 'STANDARD%')"
+
+
+@query(f"""{REC}, {_TESTED}, pair AS MATERIALIZED (SELECT DISTINCT src, dst FROM edge WHERE conf NOT IN ('external', 'synthesized')), seed AS MATERIALIZED (SELECT id, file FROM fan WHERE fan_in >= 3 AND lang NOT LIKE 'STANDARD%'),
+  level(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT pair.src, depth + 1 FROM level JOIN pair ON level.id = pair.dst WHERE depth < 12), far AS MATERIALIZED (SELECT id, min(depth) AS depth FROM level GROUP BY id),
+  nxt AS MATERIALIZED (SELECT pair.src AS id, min(pair.dst) AS nxt FROM pair JOIN far a ON a.id = pair.src JOIN far b ON b.id = pair.dst WHERE b.depth = a.depth - 1 GROUP BY 1),
+  way(id, path, tip) AS (SELECT id, [id], id FROM far UNION ALL SELECT way.id, list_append(path, nxt), nxt FROM way JOIN nxt ON nxt.id = way.tip), ways AS MATERIALIZED (SELECT id, path FROM way WHERE tip IN (SELECT id FROM seed)),
+  c AS (SELECT w.id AS test, CASE WHEN len(path) = 2 THEN 0 WHEN len(path) <= 4 THEN 1 ELSE 2 END AS rank, 'call' AS source, path FROM ways w JOIN node USING (id) WHERE len(path) > 1 AND lang LIKE 'STANDARD%' UNION ALL SELECT test, CASE WHEN len(path) = 1 THEN 0 ELSE 1 END, 'tested_by', list_prepend(test, path) FROM ways JOIN tb USING (id)),
+  best AS MATERIALIZED (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY test ORDER BY rank, len(path), path, source) = 1), bare AS (SELECT DISTINCT file FROM seed WHERE id NOT IN (SELECT path[-1] FROM best)),
+  z AS (SELECT * FROM best UNION ALL SELECT DISTINCT test, 2, 'same_file', [test] FROM tb JOIN node USING (id) WHERE file IN (SELECT file FROM bare))
+  SELECT test, ['high', 'medium', 'low'][rank + 1] AS confidence, source, list_aggregate(path, 'string_agg', '>') AS path FROM z QUALIFY row_number() OVER (PARTITION BY test ORDER BY rank, len(path), path, source) = 1""")
+def test_selection(s, d):
+    """The tests to run for the functions that three or more call, by calls, by what they are known to test, by file."""
+    f = nodes(s, d).select("id", "file", F.col("lang").like("STANDARD%").alias("is_test"))
+    tests = f.filter("is_test").select((F.col("id") - 1).alias("id"), F.col("id").alias("test"))
+    known = f.filter("id % 6 = 1 and not is_test").select("id").join(tests, "id")
+    x = R.select_tests(f, edges(s, d).filter("conf not in ('external', 'synthesized')"), fans(s, d).filter("fan_in >= 3").select("id"), known)
+    return x.withColumn("path", F.array_join(F.transform("path", lambda i: i.cast("string")), ">"))

@@ -38,3 +38,11 @@ def test_landmark_evidence(spark):
     fans = spark.createDataFrame([(1, "a", 5, 5), (2, None, 0, 0), (3, "b", 1, 1), (4, "b", 0, 1)], "id long, file string, fan_in long, fan_out long")
     got = {tuple(r) for r in R.landmark_evidence(fans, spark.createDataFrame([("b", 12), ("a", 11)], "file string, churn long")).collect()}
     assert got == {(1, "hub", "fan-in 5"), (1, "orchestrator", "fan-out 5"), (1, "chokepoint", "fan-in 5, fan-out 5"), (2, "dead", "no edges"), (3, "volatile", "churn 12"), (4, "volatile", "churn 12"), (4, "entrypoint", "fan-out 1")}
+
+
+def test_select_tests(spark):
+    nodes = [(1, "a", False), (2, "a", False), (3, "b", False), (4, "b", False), (5, "c", False), (10, "t", True), (11, "t", True), (12, "t", True), (13, "t", True), (14, None, True), (15, "t", True), (6, None, None)]
+    edges = [(10, 1, "x"), (2, 1, "x"), (11, 2, "x"), (11, 2, "y"), (1, 2, "x"), (12, 11, "x"), (13, 12, "x"), (14, 99, "x")]
+    known = [(2, 15), (2, 15), (4, 14), (1, 13), (None, 10), (5, None)]
+    got = R.select_tests(spark.createDataFrame(nodes, "id long, file string, is_test boolean"), spark.createDataFrame(edges, EDGES), spark.createDataFrame([(1,), (3,), (10,), (6,), (77,)], "id long"), spark.createDataFrame(known, "id long, test long"))
+    assert {r.test: (r.confidence, r.source, r.path) for r in got.collect()} == {10: ("high", "call", [10, 1]), 11: ("medium", "call", [11, 2, 1]), 12: ("medium", "call", [12, 11, 2, 1]), 13: ("high", "tested_by", [13, 1]), 14: ("low", "same_file", [14]), 15: ("medium", "tested_by", [15, 2, 1])}
