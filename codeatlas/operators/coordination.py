@@ -173,9 +173,11 @@ def meetings(asked: DataFrame, pairs: DataFrame) -> DataFrame:
     seen = front = materialize(asked.select("start", F.col("start").alias("id")).distinct(), "met")
     found, hops = asked.sparkSession.createDataFrame([], asked.schema).withColumn("hops", F.lit(0)), 0
     while not front.isEmpty():
-        found = found.unionByName(materialize(asked.join(front.withColumnRenamed("id", "goal"), ["start", "goal"]).withColumn("hops", F.lit(hops)), "met"))
-        waiting = asked.join(found, ["start", "goal"], "left_anti").select("start").distinct()
-        on = front.join(waiting, "start", "left_semi").join(pairs, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
+        hit = materialize(asked.join(front.withColumnRenamed("id", "goal"), ["start", "goal"]).withColumn("hops", F.lit(hops)), "met")
+        if not hit.isEmpty():
+            found = found.unionByName(hit)
+            asked = materialize(asked.join(hit, ["start", "goal"], "left_anti"), "asked")
+        on = front.join(asked.select("start").distinct(), "start", "left_semi").join(pairs, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
         front = materialize(on.join(seen, ["start", "id"], "left_anti"), "met")
         seen, hops = seen.unionByName(front), hops + 1
         if hops % 8 == 0:
