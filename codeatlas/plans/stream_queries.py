@@ -24,8 +24,8 @@ def stream_tool_stats(s, d):
 
 
 def stream_hourly_events(s, d):
-    """Hours that the watermark has passed: their counts are final, and their state is gone."""
-    return S.run_once(S.windowed(_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n"))
+    """All hours, those that the watermark hasn't passed included: the stream's whole result after its last batch."""
+    return S.run_once(S.windowed(_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n"), "complete")
 
 
 def freshness_state(s, d):
@@ -101,7 +101,7 @@ def incremental_refresh(s, d):
 for f in (incremental_refresh, stream_tool_stats, stream_hourly_events, freshness_state, freshness_state_stream, session_watch, session_watch_stream, debounced, debounced_stream):
     QUERIES[f.__name__] = f
 ORACLE_SQL["stream_tool_stats"] = "SELECT event_type AS tool, count(*) AS calls, floor(avg(value) + 0.5)::BIGINT AS avg_ms, max(value) AS max_ms FROM events GROUP BY event_type"
-ORACLE_SQL["stream_hourly_events"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING started + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+ORACLE_SQL["stream_hourly_events"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 _SESSIONS = """WITH RECURSIVE e AS (SELECT event_type AS kind, ts, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events),
   s AS (SELECT kind, ts, count(*) FILTER (gap IS NULL OR gap >= INTERVAL 10 MINUTE) OVER (PARTITION BY kind ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM e),
   c(kind, session, started) AS (SELECT kind, session, min(ts) FROM s GROUP BY ALL UNION ALL SELECT c.kind, c.session, min(s.ts) FROM c JOIN s ON s.kind = c.kind AND s.session = c.session AND s.ts - c.started >= INTERVAL 30 MINUTE GROUP BY c.kind, c.session, c.started),

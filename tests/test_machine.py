@@ -114,3 +114,12 @@ def test_the_watch_replays_the_stream_over_batches(spark, tmp_path):
     got = sorted(map(str, S.run_once(S.watch_stream(files)).collect()))
     want = sorted(map(str, S.watch_batch(table(rows), max(r[1] for r in rows) // 1000 - 600_000).collect()))
     assert got == want and any("settled" in r for r in got) and any("ended" in r for r in got) and any("level=2" in r for r in got)
+
+
+def test_hourly_stream_has_the_last_hours(spark):
+    from codeatlas.plans.history_queries import hourly_events
+    from codeatlas.plans.stream_queries import stream_hourly_events
+
+    d = "/root/testdata/sf0.001"
+    rows = lambda x: sorted((r.started, r.event_type, r.n) for r in x.collect())
+    assert rows(stream_hourly_events(spark, d)) == rows(hourly_events(spark, d))
