@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions import text as T
+from codeatlas.session import materialize
 
 SELF = ["self", "cls", "this", "super"]
 _RUNGS = ["self_cls", "type_name", "import", "same_file", "name_only"]
@@ -140,16 +141,24 @@ HAZARDS = ["WAW", "RAW", "shared-append", "WAR", "soft-coupling"]
 
 def hazards(writes: DataFrame, reads: DataFrame, coupled: DataFrame) -> DataFrame:
     """(a, b, kind, n): the strongest hazard between each two tasks that have one, and its number of witnesses. writes:
-    task, id, file, mode (modify or append); reads: task, id; coupled: task, file. Pairs come from what tasks share."""
-    pair = lambda x, y, key, *more: x.select(F.col("task").alias("a"), *key, *[F.col(m).alias(f"a_{m}") for m in more]).join(y.select(F.col("task").alias("b"), *key, *[F.col(m).alias(f"b_{m}") for m in more]), key)
-    both = pair(writes, writes, ["id"], "mode").filter("a < b")
-    modify = (F.col("a_mode") == "modify") | (F.col("b_mode") == "modify")
-    x = both.select("a", "b", F.when(modify, 0).otherwise(2).alias("kind"), F.col("id").cast("string").alias("witness"))
-    sorted_pair = lambda df, kind, key: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(kind).alias("kind"), F.col(key).cast("string").alias("witness"))
-    x = x.unionByName(sorted_pair(pair(writes.select("task", "id"), reads, ["id"]), 1, "id"))
-    files = writes.select("task", "file").distinct()
-    x = x.unionByName(sorted_pair(pair(files, files, ["file"]), 3, "file")).unionByName(sorted_pair(pair(reads, reads, ["id"]), 3, "id"))
-    x = x.unionByName(sorted_pair(pair(files, coupled, ["file"]), 4, "file"))
-    each = x.distinct().groupBy("a", "b", "kind").agg(F.count("*").alias("n"))
-    best = each.groupBy("a", "b").agg(F.min(F.struct("kind", "n")).alias("x"))
-    return best.select("a", "b", F.element_at(F.array(*[F.lit(h) for h in HAZARDS]), F.col("x.kind") + 1).alias("kind"), F.col("x.n").alias("n"))
+    task, id, file, mode (modify or append); reads: task, id; coupled: task, file. Pairs come from what tasks share; a file
+    and a symbol are two witnesses, and one by which two tasks meet in both directions is one."""
+    # a row for each task and item with all that the task does to it, so that two tasks meet on an item once
+    w = writes.groupBy("task", "id").agg(F.max(F.col("mode") == "modify").alias("modify"), F.lit(True).alias("write"))
+    held = materialize(w.join(reads.select("task", "id", F.lit(True).alias("read")).distinct(), ["task", "id"], "full").na.fill(False), "held")
+    own = writes.filter("file is not null").select("task", "file", F.lit(True).alias("own")).distinct()
+    files = materialize(own.join(coupled.select("task", "file", F.lit(True).alias("beside")).distinct(), ["task", "file"], "full").na.fill(False), "files")
+
+    def meet(x: DataFrame, key: str) -> DataFrame:
+        side = lambda t: x.select(key, *[F.col(c).alias(t if c == "task" else f"{t}_{c}") for c in x.columns if c != key])
+        return side("a").join(side("b"), key).filter("a < b")
+
+    one = lambda test: F.expr(f"int({test})")
+    both = "a_write and b_write"
+    item = [one(f"{both} and (a_modify or b_modify)"), one("(a_write and b_read) or (a_read and b_write)"), one(f"{both} and not (a_modify or b_modify)"), one("a_read and b_read"), F.lit(0)]
+    file = [F.lit(0), F.lit(0), F.lit(0), one("a_own and b_own"), one("(a_own and b_beside) or (a_beside and b_own)")]
+    names = [f"n{k}" for k in range(len(HAZARDS))]
+    met = meet(held, "id").select("a", "b", *[c.alias(n) for c, n in zip(item, names, strict=True)]).unionByName(meet(files, "file").select("a", "b", *[c.alias(n) for c, n in zip(file, names, strict=True)]))
+    each = met.groupBy("a", "b").agg(*[F.sum(n).alias(n) for n in names])
+    best = F.coalesce(*[F.when(F.col(n) > 0, F.struct(F.lit(h).alias("kind"), F.col(n).alias("n"))) for n, h in zip(names, HAZARDS, strict=True)])
+    return each.select("a", "b", best.alias("x")).filter("x is not null").select("a", "b", "x.kind", "x.n")

@@ -75,3 +75,15 @@ def test_the_innermost_span_encloses(spark):
     spans = spark.createDataFrame([("f", 1, 0, 500), ("f", 2, 60, 70), ("f", 3, 62, 72), ("g", 4, 0, 9)], "file string, id long, first long, last long")
     sites = spark.createDataFrame([("f", 65), ("f", 71), ("f", 300), ("f", 501), ("g", 9)], "file string, line long")
     assert {(r.file, r.line): r.owner for r in C.enclosing(sites, spans).collect()} == {("f", 65): 2, ("f", 71): 3, ("f", 300): 1, ("f", 501): None, ("g", 9): 4}
+
+
+def test_tasks_meet_on_an_item_once(spark, monkeypatch):
+    """Both write and read one symbol, and both own and are coupled with one file: one witness each, from one row a pair."""
+    seen = []
+    monkeypatch.setattr(C, "materialize", lambda df, label: seen.append(df) or df)
+    writes = spark.createDataFrame([(1, 10, "f", "append"), (2, 10, "f", "append"), (3, 12, "f", "append")], "task long, id long, file string, mode string")
+    reads = spark.createDataFrame([(1, 10), (2, 10), (4, 12)], "task long, id long")
+    coupled = spark.createDataFrame([(1, "f"), (2, "f"), (5, "f"), (5, "f")], "task long, file string")
+    got = {(r.a, r.b): (r.kind, r.n) for r in C.hazards(writes, reads, coupled).collect()}
+    assert got == {(1, 2): ("RAW", 1), (1, 3): ("WAR", 1), (2, 3): ("WAR", 1), (3, 4): ("RAW", 1), (1, 5): ("soft-coupling", 1), (2, 5): ("soft-coupling", 1), (3, 5): ("soft-coupling", 1)}
+    assert [df.groupBy("task", c).count().filter("count > 1").count() for df, c in zip(seen, ("id", "file"), strict=True)] == [0, 0]
