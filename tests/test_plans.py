@@ -77,3 +77,19 @@ def test_waves_and_chains(spark):
     chains = {r.task: (r.total, r.steps, r.after) for r in V.longest_chains(t, n).collect()}
     assert {i: chains[i] for i in best} == best and all(chains[i] == (None, None, None) for i in (26, 27, 28, 29))
     assert V.waves(t.limit(0), n, spark.createDataFrame(holds, "task long, resource long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_waves_take_rounds_by_blocks_of_tasks(spark, block, monkeypatch):
+    rng = random.Random(11)
+    tasks = list(range(0, 180, 2))
+    needs = [(t, rng.choice([x for x in tasks if x < t])) for t in tasks[5:] if t % 3] + [(tasks[9], tasks[2]), (tasks[9], tasks[8]), (tasks[4], 77)]
+    holds = [(t, "hot") for t in tasks if t % 8] + [(t, f"r{rng.randrange(9)}") for t in tasks] + [(tasks[3], "own"), (tasks[3], "hot"), (tasks[3], "hot")]
+    written = []
+    write = V.materialize
+    monkeypatch.setattr(V, "materialize", lambda df, label: written.append(label) or write(df, label))
+    monkeypatch.setattr(V, "BLOCK", block)
+    t = spark.createDataFrame([(x,) for x in tasks], "task long")
+    got = {r.task: r.wave for r in V.waves(t, spark.createDataFrame(needs, "task long, needs long"), spark.createDataFrame([*holds, (0, None)], "task long, resource string")).collect()}
+    assert got == schedule(tasks, needs, holds) and max(got.values()) > 60
+    assert len(written) < 6 + 3 * -(-len(tasks) // block)
