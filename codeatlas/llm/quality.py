@@ -30,6 +30,9 @@ from codeatlas.llm.common import apart, give_back, save
 
 FEATURES = 16
 
+#: Bytes of a block of numbers in a fit, in the driver.
+BLOCK_BYTES = 4 << 20
+
 
 def features(text: str | None) -> np.ndarray:
     """Numbers that describe a text, each of about unit size."""
@@ -57,14 +60,22 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> n
     if len(y) == 0 or y.min() == y.max():
         share = (float(y.sum()) + 1) / (len(y) + 2)
         return np.concatenate([[np.log(share / (1 - share))], np.zeros(x.shape[1] if x.ndim == 2 else FEATURES)])
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.concatenate([np.ones((len(x), 1)), (x - mean) / sd], axis=1)
-    w = np.zeros(z.shape[1])
+    # a block of rows at a time is made into numbers of 64 bits: of the whole sample, that is far more than its packed bits
+    size = max(1, BLOCK_BYTES // (8 * (x.shape[1] + 1)))
+    blocks = [slice(i, i + size) for i in range(0, len(x), size)]
+    mean = x.mean(axis=0, dtype=float)
+    sd = np.sqrt(sum(((x[b] - mean) ** 2).sum(axis=0) for b in blocks) / len(x)) + 1e-9
+    w = np.zeros(x.shape[1] + 1)
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        bent, slope = np.diag(penalty), -penalty * w
+        for b in blocks:
+            z = np.concatenate([np.ones((len(y[b]), 1)), (x[b] - mean) / sd], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            slope += z.T @ (y[b] - p)
+            bent += (z * (p * (1 - p))[:, None]).T @ z
+        step = np.linalg.solve(bent, slope)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -164,8 +175,10 @@ def train_toxic(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_wind
 
     got = rows.select(vector("text").alias("x"), "_y").toPandas()  # 64 bytes a row of the sample
     got = got.sort_values(["x", "_y"])
-    x = np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=len(best)) for b in got["x"]], float).reshape(len(got), -1)
-    return best, fit(x, (got["_y"].to_numpy(float) > 0.5).astype(float), ridge=10.0)
+    bits = np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(got), -(-len(best) // 8))
+    w = fit(np.unpackbits(bits, axis=1, count=len(best)), (got["_y"].to_numpy(float) > 0.5).astype(float), ridge=10.0)
+    give_back()
+    return best, w
 
 
 def score_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", threshold: float = 0.5) -> DataFrame:

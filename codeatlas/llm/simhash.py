@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.llm.common import apart, give_back, mix, save
@@ -335,7 +335,14 @@ def close_links(distinct: DataFrame, far: int = FAR) -> DataFrame:
     distinct: rep, n, wide; texts without shingles have none."""
     light = distinct.filter("n > 0").select("rep", "wide")
     spread = light.mapInPandas(_banded, "band int, rep long, wide array<long>").repartition("band").sortWithinPartitions("band", "rep")
-    return spread.mapInPandas(_close(far), "u long, v long").distinct()
+    return fewer(spread.mapInPandas(_close(far), "u long, v long").distinct())
+
+
+def fewer(links: DataFrame) -> DataFrame:
+    """Links that connect the same: each v to its smallest u, and its other u to that one instead. A text has a u for each
+    of its bands at most; near copies share most of these, which so become one link each."""
+    low = F.min("u").over(Window.partitionBy("v"))
+    return links.select(low.alias("u"), F.when(F.col("u") == low, F.col("v")).otherwise(F.col("u")).alias("v")).distinct()
 
 
 def _similar_forest(sets: list[np.ndarray], share: int, of: int) -> np.ndarray:

@@ -225,3 +225,25 @@ def test_near_copies_come_from_simhash(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == set(range(0, 80, 2))
     monkeypatch.setattr(simhash.close_links, "__defaults__", (-1,))
     assert simhash.keep_one(docs(spark, rows)).count() == 80
+
+
+def test_a_fit_over_many_windows_takes_little_of_the_driver():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = (rng.random((6000, 512)) < 0.2).astype(np.uint8)
+    y = (x[:, :8].sum(axis=1) > 1).astype(float)
+    tracemalloc.start()
+    w = quality.fit(x, y, ridge=10.0, rounds=4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # the sample in numbers of 64 bits is 25 MB
+    assert ((w[0] + x @ w[1:] > 0) == (y > 0.5)).mean() > 0.95
+
+
+def test_links_of_near_copies_become_fewer(spark):
+    rows = [(u, v) for v in range(100, 400) for u in (3, 5, 8, 9) if (u + v) % 5] + [(3, 5), (500, 501)]
+    links = spark.createDataFrame(rows, "u long, v long")
+    few = simhash.fewer(links)
+    assert few.count() < 320 < len(rows)
+    assert sorted(simhash.components(few).collect()) == sorted(simhash.components(links).collect())
