@@ -167,21 +167,28 @@ def stale_references(texts: DataFrame, retired: DataFrame) -> DataFrame:
 
 
 def meetings(asked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(start, goal, hops): which of the asked (start, goal) meet over pairs (src, dst), in the fewest steps. All starts go
-    a step in each round; a start whose goals are all found, or that finds nothing new, goes no further."""
-    asked = materialize(asked.select("start", "goal").distinct(), "asked")
-    seen = front = materialize(asked.select("start", F.col("start").alias("id")).distinct(), "met")
-    found, hops = asked.sparkSession.createDataFrame([], asked.schema).withColumn("hops", F.lit(0)), 0
-    while not front.isEmpty():
-        hit = materialize(asked.join(front.withColumnRenamed("id", "goal"), ["start", "goal"]).withColumn("hops", F.lit(hops)), "met")
-        if not hit.isEmpty():
-            found = found.unionByName(hit)
-            asked = materialize(asked.join(hit, ["start", "goal"], "left_anti"), "asked")
-        on = front.join(asked.select("start").distinct(), "start", "left_semi").join(pairs, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
-        front = materialize(on.join(seen, ["start", "id"], "left_anti"), "met")
-        seen, hops = seen.unionByName(front), hops + 1
+    """(start, goal, hops): which of the asked (start, goal) meet over pairs (src, dst), in the fewest steps. Starts go a
+    step forward and goals a step back, in turn, so that either goes half the way. What isn't met and has an end that
+    finds nothing new has no path, and ends without such pairs go no further."""
+    asked = materialize(asked.select("start", "goal").filter("start is not null and goal is not null").distinct(), "asked")
+    found = asked.filter("start = goal").withColumn("hops", F.lit(0))
+    left, hops = materialize(asked.filter("start <> goal"), "asked"), 0
+    steps = {"start": pairs.select(F.col("src").alias("at"), F.col("dst").alias("to")), "goal": pairs.select(F.col("dst").alias("at"), F.col("src").alias("to"))}
+    seen = {end: materialize(left.select(end, F.col(end).alias("id")).distinct(), "met") for end in steps}
+    front = dict(seen)
+    while not left.isEmpty():
+        end, other = ("goal", "start") if hops % 2 else ("start", "goal")
+        on = front[end].join(left.select(end).distinct(), end, "left_semi").join(steps[end], F.col("id") == F.col("at")).select(end, F.col("to").alias("id")).distinct()
+        front[end] = materialize(on.join(seen[end], [end, "id"], "left_anti"), "met")
+        seen[end], hops = seen[end].unionByName(front[end]), hops + 1
+        # a shortest path of so many steps has a node that is just so far from either end
+        hit = left.join(front[end], end).join(front[other], [other, "id"]).select("start", "goal").distinct()
+        hit = materialize(hit.withColumn("hops", F.lit(hops)), "met")
+        found = found.unionByName(hit)
+        left = left.join(hit, ["start", "goal"], "left_anti").join(front[end].select(end).distinct(), end, "left_semi")
+        left = materialize(left.select("start", "goal"), "asked")
         if hops % 8 == 0:
-            seen, found = materialize(seen, "met"), materialize(found, "met")
+            seen, found = {k: materialize(v, "met") for k, v in seen.items()}, materialize(found, "met")
     return found
 
 

@@ -113,3 +113,27 @@ def test_certificate(spark):
     old, new = [(1, 2, "import"), (5, 6, "import")], [(1, 2, "import"), (2, 3, "import"), (2, 4, "import"), (3, 9, "import"), (4, 9, "import"), (7, 8, "import")]
     x = K.certificate(spark.createDataFrame(old, EDGES), spark.createDataFrame(new, EDGES), spark.createDataFrame([(9,)], "id long"))
     assert {(r.change, r.src, r.dst): r.path for r in x.collect()} == {("opened", 2, 3): [2, 3, 9], ("opened", 2, 4): [2, 4, 9], ("opened", 3, 9): [3, 9], ("opened", 4, 9): [4, 9], ("added", 7, 8): None, ("removed", 5, 6): None}
+
+
+def test_meetings_search_from_both_ends(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(110)}) + [(100 + i, 101 + i) for i in range(40)] + [(200, 201)]
+    asked = [(rng.randrange(60), rng.randrange(60)) for _ in range(80)] + [(7, 7), (100, 107), (107, 100), (100, 200), (None, 3)]
+    written = []
+    write = K.materialize
+    monkeypatch.setattr(K, "materialize", lambda df, label: written.append(label) or write(df, label))
+    p = spark.createDataFrame(pairs, "src long, dst long")
+    meet = lambda x: {(r.start, r.goal): r.hops for r in K.meetings(spark.createDataFrame(x, "start long, goal long"), p).collect()}
+    want = {}
+    for a, b in {x for x in asked if x[0] is not None}:
+        far, todo = {a: 0}, [a]
+        for n in todo:
+            for s, t in pairs:
+                if s == n and t not in far:
+                    far[t] = far[n] + 1
+                    todo.append(t)
+        if b in far:
+            want[a, b] = far[b]
+    assert meet(asked) == want
+    written.clear()
+    assert meet([(100, 200)]) == {} and len(written) < 12  # nobody calls 200: forty steps from 100 tell no more
