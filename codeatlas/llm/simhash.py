@@ -219,8 +219,9 @@ def _key_udf():
 
 #: SimHash of the shingle sets: WORDS fingerprints of 64 majority bits, and BANDS samples of ROWS of these bits. Sets of
 #: similarity 0.8 and equal size differ in 0.151 of the bits (the angle between them over pi): 7 in 10,000 such pairs share
-#: no sample, and hardly any differs in more than FAR bits, as unrelated sets do but for one pair in three million.
-WORDS, BANDS, ROWS, FAR = 2, 48, 12, 36
+#: no sample, and hardly any differs in more than FAR bits, as unrelated sets do but for two pairs in 10**16. With 128 bits
+#: it was one pair in three million: enough, among millions of texts, to chain unrelated ones into one group.
+WORDS, BANDS, ROWS, FAR = 4, 48, 12, 64
 _FLIP = mix(np.random.default_rng(5).integers(1, 1 << 63, WORDS, np.uint64))
 _BITS = np.stack([np.random.default_rng(100 + i).permutation(64 * WORDS)[:ROWS] for i in range(BANDS)])
 
@@ -230,12 +231,25 @@ def wide_fingerprint(own: np.ndarray) -> np.ndarray:
     return np.array([majority(mix(own ^ f)) for f in _FLIP], np.int64)
 
 
+def node_of(wide: np.ndarray) -> np.ndarray:
+    """A number for each wide fingerprint (rows of WORDS numbers): texts that share all bits are one node of the links."""
+    out = np.zeros(len(wide), np.uint64)
+    for w in wide.view(np.uint64).T:
+        out = mix(out ^ w)
+    return out.view(np.int64)
+
+
 def bands(wide: np.ndarray) -> np.ndarray:
     """The samples of a wide fingerprint, each a number of its own range."""
     bits = np.unpackbits(wide.view(np.uint8), bitorder="little").astype(np.int32)
     return (bits[_BITS] << np.arange(ROWS, dtype=np.int32)).sum(axis=1, dtype=np.int32) + (np.arange(BANDS, dtype=np.int32) << ROWS)
 
 
+def _wides(raw: pd.Series) -> np.ndarray:
+    """Wide fingerprints from their bytes, a row each."""
+    return np.frombuffer(b"".join(raw), np.int64).reshape(-1, WORDS)
+
+
 def _packed(own: np.ndarray) -> bytes:
     """Hashes of 56 bits, seven bytes each."""
     return own.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
@@ -253,8 +267,19 @@ def _sketches(size: int):
             for i in range(0, len(x), 1000):
                 part = x.iloc[i : i + 1000]
                 sets = [shingles(t, size) for t in part["text"]]
-                wide = [wide_fingerprint(v) for _, v in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "fp": [_signed(k) for k, _ in sets], "n": [len(v) for _, v in sets], "wide": wide, "own": [_packed(v) for _, v in sets]})
+                wide = np.stack([wide_fingerprint(v) for _, v in sets])
+                yield pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "fp": [_signed(k) for k, _ in sets], "n": [len(v) for _, v in sets], "node": node_of(wide), "wide": [w.tobytes() for w in wide]})
+            give_back()
+
+    return run
+
+
+def _sets(size: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            for i in range(0, len(x), 1000):
+                sets = [shingles(t, size) for t in x["text"].iloc[i : i + 1000]]
+                yield pd.DataFrame({"rep": [_signed(k) for k, _ in sets], "own": [_packed(v) for _, v in sets]})
             give_back()
 
     return run
@@ -306,15 +331,15 @@ def _close_forest(wide: np.ndarray, far: int) -> np.ndarray:
 def _close(far: int):
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in _whole(frames, "band"):
-            cut, rep = _cuts(x["band"].to_numpy()), x["rep"].to_numpy()
-            wide = np.stack(x["wide"].to_numpy()).view(np.uint64)
+            cut, wide = _cuts(x["band"].to_numpy()), _wides(x["wide"]).view(np.uint64)
+            node = node_of(wide)
             u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip(cut, cut[1:], strict=False):
                 if b - a > 1:
                     root = _close_forest(wide[a:b], far)
                     own = np.flatnonzero(root != np.arange(b - a))
-                    u.append(rep[a + root[own]])
-                    v.append(rep[a + own])
+                    u.append(node[a + root[own]])
+                    v.append(node[a + own])
             yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
         give_back()
 
@@ -322,19 +347,19 @@ def _close(far: int):
 
 
 def _banded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row of each text for each of its bands."""
+    """A row of each wide fingerprint for each of its bands."""
     for x in frames:
         for i in range(0, len(x), 1000):
-            part = x.iloc[i : i + 1000]
-            keys = np.concatenate([bands(w) for w in part["wide"]])
-            yield pd.DataFrame({"band": keys, "rep": np.repeat(part["rep"].to_numpy(), BANDS), "wide": [w for w in part["wide"] for _ in range(BANDS)]})
+            part = x["wide"].iloc[i : i + 1000]
+            keys = np.concatenate([bands(w) for w in _wides(part)])
+            yield pd.DataFrame({"band": keys, "wide": [w for w in part for _ in range(BANDS)]})
 
 
 def close_links(distinct: DataFrame, far: int = FAR) -> DataFrame:
     """Links (u, v) that connect what any two wide fingerprints of a band with at most ``far`` differing bits connect.
-    distinct: rep, n, wide; texts without shingles have none."""
-    light = distinct.filter("n > 0").select("rep", "wide")
-    spread = light.mapInPandas(_banded, "band int, rep long, wide array<long>").repartition("band").sortWithinPartitions("band", "rep")
+    distinct: node, n, wide; texts without shingles have none."""
+    light = distinct.filter("n > 0").groupBy("node").agg(F.first("wide").alias("wide")).select("wide")
+    spread = light.mapInPandas(_banded, "band int, wide binary").repartition("band").sortWithinPartitions("band", "wide")
     return fewer(spread.mapInPandas(_close(far), "u long, v long").distinct())
 
 
@@ -389,13 +414,16 @@ def _verify(share: int, of: int):
     return links
 
 
-def similar_links(own: DataFrame, distinct: DataFrame, share: int = 4, of: int = 5, group_shingles: int = 1 << 20) -> DataFrame:
-    """Links (u, v) that connect what any two texts of close fingerprints with a similarity of share / of connect. own: the
-    saved sketches; distinct: rep (a text's hash), low (its smallest id), n, wide. What close fingerprints connect is
-    searched together; where that holds more than ``group_shingles``, it is dealt into parts, and each two parts are."""
+def similar_links(light: DataFrame, distinct: DataFrame, size: int = 5, share: int = 4, of: int = 5, group_shingles: int = 1 << 20) -> DataFrame:
+    """Links (u, v) that connect what any two texts of close fingerprints with a similarity of share / of connect. light:
+    doc_id, no_id, text; distinct: rep (a text's hash), low (its smallest id), n, node, wide. What close fingerprints connect
+    is searched together; where that holds more than ``group_shingles``, it is dealt into parts, and each two parts are. Only
+    texts that have others close to them get their shingle sets written."""
     near = components(close_links(distinct))
     near = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())  # the least has no row
-    spread = save(distinct.select("rep", "n").join(near, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("band")), "close")
+    shared = distinct.filter("n > 0").groupBy("node").count().filter("count > 1").join(near, "node", "left_anti")
+    near = near.unionByName(shared.select("node", F.col("node").alias("component")))  # texts with all bits in common
+    spread = save(distinct.filter("n > 0").select("rep", "n", "node").join(near, "node").select("rep", "n", F.col("component").alias("band")), "close")
     total = spread.groupBy("band").agg(F.ceil(F.sum("n") / group_shingles).alias("parts"))
     dealt = spread.join(total, "band").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
@@ -404,8 +432,8 @@ def similar_links(own: DataFrame, distinct: DataFrame, share: int = 4, of: int =
     # of the rows of a text, those with its smallest id, by one narrow key (another row that has it does no harm)
     key = lambda *c: F.xxhash64(*c).alias("key")
     wanted = distinct.join(members.select("rep").distinct(), "rep", "left_semi").select(key("rep", "low.no_id", "low.doc_id"))
-    sets = own.withColumn("key", key("fp", "no_id", "doc_id")).join(wanted, "key", "left_semi").select(F.col("fp").alias("rep"), "own")
-    sets = save(sets.groupBy("rep").agg(F.first("own").alias("own")), "sets")
+    texts = light.withColumn("fp", _key_udf()("text")).select(key("fp", "no_id", "doc_id"), "text").join(wanted, "key", "left_semi")
+    sets = save(texts.groupBy("key").agg(F.first("text").alias("text")).select("text").mapInPandas(_sets(size), "rep long, own binary"), "sets")
     return members.join(sets, "rep").repartition("grp").sortWithinPartitions("grp", "rep").mapInPandas(_verify(share, of), "u long, v long").distinct()
 
 
@@ -414,10 +442,10 @@ def keep_one(docs: DataFrame, size: int = 5, share: int = 4, of: int = 5, id_col
     with the smallest id (any one, of rows that repeat it). Candidates are texts with close SimHash fingerprints (see
     ``WORDS``), and each link is verified over the whole sets."""
     light = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_BIG)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).cast("string").alias("text"))
-    own = save(light.mapInPandas(_sketches(size), "doc_id long, no_id boolean, fp long, n long, wide array<long>, own binary"), "sketches")
+    own = save(light.mapInPandas(_sketches(size), "doc_id long, no_id boolean, fp long, n long, node long, wide binary"), "sketches")
     low = F.min(F.struct("no_id", "doc_id")).alias("low")
-    distinct = save(own.groupBy(F.col("fp").alias("rep")).agg(low, F.first("n").alias("n"), F.first("wide").alias("wide")), "distinct")
-    found = components(similar_links(own, distinct, share, of, group_shingles))
+    distinct = save(own.groupBy(F.col("fp").alias("rep")).agg(low, *[F.first(c).alias(c) for c in ("n", "node", "wide")]), "distinct")
+    found = components(similar_links(light, distinct, size, share, of, group_shingles))
     label = distinct.select("rep", "low").join(found, F.col("rep") == F.col("node"), "left").select(F.coalesce("component", "rep").alias("label"), "rep", "low")
     first = label.groupBy("label").agg(F.min(F.struct("low", "rep")).alias("x")).select(F.col("x.rep").alias("kept"), F.col("x.low.no_id").alias("kept_no"), F.col("x.low.doc_id").alias("kept_id"))
     # which of these several rows share

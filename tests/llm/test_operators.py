@@ -247,3 +247,18 @@ def test_links_of_near_copies_become_fewer(spark):
     few = simhash.fewer(links)
     assert few.count() < 320 < len(rows)
     assert sorted(simhash.components(few).collect()) == sorted(simhash.components(links).collect())
+
+
+def test_unrelated_texts_are_not_chained_and_leave_no_sets(spark, monkeypatch):
+    """Of two million pairs of unrelated fingerprints none is near the bound; sets are written for texts that have others
+    close to them alone."""
+    rng = np.random.default_rng(12)
+    wide = np.array([simhash.wide_fingerprint(rng.integers(1, 1 << 56, 60, np.uint64)) for _ in range(2000)]).view(np.uint64)
+    assert min(int(sum(np.bitwise_count(a[i] ^ a[i + 1 :]).astype(int) for a in wide.T).min()) for i in range(len(wide) - 1)) > simhash.FAR + 8
+    written = {}
+    write = simhash.save
+    monkeypatch.setattr(simhash, "save", lambda df, label: written.setdefault(label, write(df, label)) if label in ("sketches", "sets") else write(df, label))
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 300))) for i in range(60)]
+    rows += [(100, rows[0][1] + " more"), (101, rows[0][1]), (102, rows[0][1].upper())]
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == set(range(60))
+    assert written["sets"].count() == 2 and not {"own", "text"} & set(written["sketches"].columns)
