@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as X
 
 from codeatlas.functions import text as T
+from codeatlas.operators.fixpoint import numbered
 from codeatlas.session import materialize
 
 SELF = ["self", "cls", "this", "super"]
@@ -139,26 +146,127 @@ def map_requirements(requirements: DataFrame, functions: DataFrame, least: float
 HAZARDS = ["WAW", "RAW", "shared-append", "WAR", "soft-coupling"]
 
 
-def hazards(writes: DataFrame, reads: DataFrame, coupled: DataFrame) -> DataFrame:
+#: What a task does to an item, as bits, and for each kind which two sets of them (one of either task) witness it.
+_DOES = {"write": 1, "modify": 2, "read": 4, "own": 8, "beside": 16}
+
+
+def _witness() -> np.ndarray:
+    codes = np.arange(32)
+    w, m, r, o, b = ((codes & x > 0) for x in _DOES.values())
+    both = lambda x, y: x[:, None] & y | y[:, None] & x
+    change = m[:, None] | m
+    return np.stack([both(w, w) & change, both(w, r), both(w, w) & ~change, both(r, r) | both(o, o), both(o, b)])
+
+
+def _side(x: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The tasks of a block, and for each item held the place of its task, the item and what the task does to it."""
+    item, bits = (pa.concat_arrays(x[c].chunks) for c in ("item", "bits"))
+    return pa.concat_arrays(x["task"].chunks), np.repeat(np.arange(len(item)), pc.list_value_length(item).to_numpy()), item.flatten().to_numpy(), bits.flatten().to_numpy()
+
+
+def _counts(a: tuple, b: tuple, test: np.ndarray) -> np.ndarray:
+    """Witnesses of each kind for each task of a and of b. An item that many hold is a column of a product of matrices,
+    the others list the pairs that hold them."""
+    (one, ra, ia, ca), (two, rb, ib, cb) = a, b
+    size = len(one) * len(two)
+    out = np.zeros((len(test), size), np.int32)
+    shared = np.intersect1d(ia, ib)
+    if not len(shared):
+        return out
+    va, vb = np.isin(ia, shared), np.isin(ib, shared)
+    ra, pa_, ca, rb, pb, cb = ra[va], np.searchsorted(shared, ia[va]), ca[va], rb[vb], np.searchsorted(shared, ib[vb]), cb[vb]
+    na, nb = np.bincount(pa_, minlength=len(shared)), np.bincount(pb, minlength=len(shared))
+    crowded = na * nb * 256 > size
+    many = np.flatnonzero(crowded)
+    for at in range(0, len(many), 256):
+        sides = []
+        for n, r, p, c in ((len(one), ra, pa_, ca), (len(two), rb, pb, cb)):
+            x, col = np.zeros((n, min(256, len(many) - at)), np.uint8), np.searchsorted(many, p) - at
+            here = crowded[p] & (col >= 0) & (col < x.shape[1])
+            x[r[here], col[here]] = c[here]
+            sides.append(x)
+        for code in np.unique(sides[0]):
+            mine = (sides[0] == code).astype(np.float32)
+            for k in np.flatnonzero(test[:, code, np.unique(sides[1])].any(axis=1)):
+                out[k] += (mine @ test[k, code][sides[1]].astype(np.float32).T).astype(np.int32).ravel()
+    la, lb = ~crowded[pa_], ~crowded[pb]
+    ra, pa_, ca, order = ra[la], pa_[la], ca[la], np.argsort(pb[lb], kind="stable")
+    rb, pb, cb = rb[lb][order], pb[lb][order], cb[lb][order]
+    first, n = np.searchsorted(pb, pa_), nb[pa_]
+    cut = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), 1 << 21), side="left").tolist() if len(n) else []
+    for lo, hi in zip(cut, [*cut[1:], len(n)], strict=False):
+        k = n[lo:hi]
+        i = np.repeat(np.arange(lo, hi), k)
+        j = np.repeat(first[lo:hi] - (np.cumsum(k) - k), k) + np.arange(len(i))
+        at = ra[i] * len(two) + rb[j]
+        for kind in range(len(test)):
+            hit = test[kind][ca[i], cb[j]]
+            if hit.any():
+                out[kind] += np.bincount(at[hit], minlength=size).astype(np.int32)
+    return out
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by two blocks, each with a task and all it holds: the pairs of a task of either block."""
+    test, held = _witness(), []
+
+    def solve() -> Iterator[pa.RecordBatch]:
+        x = pa.Table.from_batches(held)
+        alone = x["p"][0] == x["q"][0]
+        a = _side(x.filter(pc.invert(x["second"]))) if alone or not pc.all(x["second"]).as_py() else None
+        b = a if alone else _side(x.filter(x["second"])) if pc.any(x["second"]).as_py() else None
+        if a is None or b is None:
+            return
+        counts = _counts(a, b, test)
+        kind, n = np.full(counts.shape[1], -1, np.int8), np.zeros(counts.shape[1], np.int64)
+        for k in reversed(range(len(test))):
+            hit = counts[k] > 0
+            kind[hit], n[hit] = k, counts[k][hit]
+        if alone:
+            kind[np.tri(len(a[0]), dtype=bool).ravel()] = -1
+        found = np.flatnonzero(kind >= 0)
+        for at in range(0, len(found), 1 << 16):
+            own = found[at : at + (1 << 16)]
+            i, j = np.divmod(own, len(b[0]))
+            yield pa.RecordBatch.from_arrays([a[0].take(pa.array(i)), b[0].take(pa.array(j)), pa.array(kind[own]), pa.array(n[own])], ["x", "y", "k", "n"])
+
+    for batch in batches:
+        p, q = batch["p"].to_numpy(), batch["q"].to_numpy()
+        cuts = [0, *(np.flatnonzero((p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), len(p)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and hi > lo and (held[0]["p"][0].as_py(), held[0]["q"][0].as_py()) != (p[lo], q[lo]):
+                yield from solve()
+                held.clear()
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from solve()
+
+
+def hazards(writes: DataFrame, reads: DataFrame, coupled: DataFrame, block: int = 2048) -> DataFrame:
     """(a, b, kind, n): the strongest hazard between each two tasks that have one, and its number of witnesses. writes:
-    task, id, file, mode (modify or append); reads: task, id; coupled: task, file. Pairs come from what tasks share; a file
-    and a symbol are two witnesses, and one by which two tasks meet in both directions is one."""
+    task, id, file, mode (modify or append); reads: task, id; coupled: task, file. A file and a symbol are two witnesses, and
+    one by which two tasks meet in both directions is one. Tasks are dealt into blocks of about ``block``; each two blocks
+    meet in one place, so a pair is counted where it is made and neither pairs nor witnesses are sent on."""
     # a row for each task and item with all that the task does to it, so that two tasks meet on an item once
     w = writes.groupBy("task", "id").agg(F.max(F.col("mode") == "modify").alias("modify"), F.lit(True).alias("write"))
     held = materialize(w.join(reads.select("task", "id", F.lit(True).alias("read")).distinct(), ["task", "id"], "full").na.fill(False), "held")
     own = writes.filter("file is not null").select("task", "file", F.lit(True).alias("own")).distinct()
     files = materialize(own.join(coupled.select("task", "file", F.lit(True).alias("beside")).distinct(), ["task", "file"], "full").na.fill(False), "files")
 
-    def meet(x: DataFrame, key: str) -> DataFrame:
-        side = lambda t: x.select(key, *[F.col(c).alias(t if c == "task" else f"{t}_{c}") for c in x.columns if c != key])
-        return side("a").join(side("b"), key).filter("a < b")
-
-    one = lambda test: F.expr(f"int({test})")
-    both = "a_write and b_write"
-    item = [one(f"{both} and (a_modify or b_modify)"), one("(a_write and b_read) or (a_read and b_write)"), one(f"{both} and not (a_modify or b_modify)"), one("a_read and b_read"), F.lit(0)]
-    file = [F.lit(0), F.lit(0), F.lit(0), one("a_own and b_own"), one("(a_own and b_beside) or (a_beside and b_own)")]
-    names = [f"n{k}" for k in range(len(HAZARDS))]
-    met = meet(held, "id").select("a", "b", *[c.alias(n) for c, n in zip(item, names, strict=True)]).unionByName(meet(files, "file").select("a", "b", *[c.alias(n) for c, n in zip(file, names, strict=True)]))
-    each = met.groupBy("a", "b").agg(*[F.sum(n).alias(n) for n in names])
-    best = F.coalesce(*[F.when(F.col(n) > 0, F.struct(F.lit(h).alias("kind"), F.col(n).alias("n"))) for n, h in zip(names, HAZARDS, strict=True)])
-    return each.select("a", "b", best.alias("x")).filter("x is not null").select("a", "b", "x.kind", "x.n")
+    def told(x: DataFrame, key: str) -> DataFrame:
+        """Items that several tasks hold, by numbers."""
+        several = x.filter(F.col("task").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("tasks")).filter("tasks > 1").select(key)
+        bits = sum(F.col(c).cast("int") * _DOES[c] for c in x.columns if c in _DOES)
+        return x.join(numbered(several, [F.col(key)], "item"), key).filter("task is not null").select("task", "item", bits.cast("tinyint").alias("bits"))
+
+    rows = told(held, "id").unionByName(told(files, "file").withColumn("item", -1 - F.col("item")))
+    tasks, size = held.select("task").unionByName(files.select("task")).agg(F.count_distinct("task"), F.count("*")).first()
+    blocks = max(1, -(-tasks // block), -(-size // (1 << 20)))
+    packed = rows.groupBy("task").agg(F.collect_list(F.struct("item", "bits")).alias("x")).select("task", F.col("x.item").alias("item"), F.col("x.bits").alias("bits"), F.pmod(F.xxhash64("task"), F.lit(blocks)).alias("block"))
+    dealt = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = dealt.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).alias("second"), "task", "item", "bits")
+    dealt = dealt.repartition(min(4096, blocks * (blocks + 1) // 2), "p", "q").sortWithinPartitions("p", "q")
+    kind = held.schema["task"].dataType
+    met = dealt.mapInArrow(_meet, X.StructType([X.StructField("x", kind), X.StructField("y", kind), X.StructField("k", X.ByteType()), X.StructField("n", X.LongType())]))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.get(F.array(*[F.lit(h) for h in HAZARDS]), F.col("k").cast("int")).alias("kind"), "n")

@@ -87,3 +87,41 @@ def test_tasks_meet_on_an_item_once(spark, monkeypatch):
     got = {(r.a, r.b): (r.kind, r.n) for r in C.hazards(writes, reads, coupled).collect()}
     assert got == {(1, 2): ("RAW", 1), (1, 3): ("WAR", 1), (2, 3): ("WAR", 1), (3, 4): ("RAW", 1), (1, 5): ("soft-coupling", 1), (2, 5): ("soft-coupling", 1), (3, 5): ("soft-coupling", 1)}
     assert [df.groupBy("task", c).count().filter("count > 1").count() for df, c in zip(seen, ("id", "file"), strict=True)] == [0, 0]
+
+
+def test_hazards_of_tasks_in_many_blocks(spark):
+    """Each two blocks meet in one place, whether an item is held by few or by many; pairs aren't sent on."""
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    some = lambda n: [None, *range(n)]
+    writes = list({(t, i): (t, i, f"f{i % 5}" if i is None or i % 7 else None, rng.choice(["modify", "append", None])) for t, i in ((rng.choice(some(40)), rng.choice(range(60))) for _ in range(150))}.values())
+    reads = [(rng.choice(some(40)), rng.choice([*some(60), 3, 3, 3])) for _ in range(120)]
+    coupled = [(rng.choice(some(40)), rng.choice([None, "f1", "f2", "f9"])) for _ in range(25)]
+    did: dict = {}
+    for t, i, f, mode in writes:
+        did.setdefault((t, "id", i), set()).update({"write", "modify"} if mode == "modify" else {"write"})
+        did.setdefault((t, "file", f), set()).add("own")
+    for t, i in reads:
+        did.setdefault((t, "id", i), set()).add("read")
+    for t, f in coupled:
+        did.setdefault((t, "file", f), set()).add("beside")
+    want: dict = {}
+    for (a, s, i), (b, z, j) in itertools.product(did, did):
+        if None not in (a, b, i) and a < b and (s, i) == (z, j):
+            x, y = did[a, s, i], did[b, z, j]
+            write, cross = "write" in x and "write" in y, lambda m, n: (m in x and n in y) or (n in x and m in y)  # noqa: E731, B023
+            change = "modify" in x or "modify" in y
+            kinds = [write and change, cross("write", "read"), write and not change, cross("read", "read") or cross("own", "own"), cross("own", "beside")]
+            for k in (k for k, hit in enumerate(kinds) if hit):
+                want.setdefault((a, b), {}).setdefault(k, 0)
+                want[a, b][k] += 1
+    best = {p: (C.HAZARDS[min(n)], n[min(n)]) for p, n in want.items()}
+    w, r, c = spark.createDataFrame(writes, "task long, id long, file string, mode string"), spark.createDataFrame(reads, "task long, id long"), spark.createDataFrame(coupled, "task long, file string")
+    for block in (2, 7, 100):
+        got = C.hazards(w, r, c, block=block)
+        rows = got.collect()
+        assert len(rows) == len(best) and {(x.a, x.b): (x.kind, x.n) for x in rows} == best
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("MapInArrow")] and "Join" not in plan[: plan.index("MapInArrow")]
